@@ -29,6 +29,12 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_join
+
+    return ngram_join.join(table(spark, sf_dir, "documents"))
+
+
 def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -39,6 +45,12 @@ def op5_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_ids(spark, path, digest=True).withColumnRenamed("key", "doc_id")
 
 
+def op6_embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import pq
+
+    return pq.link(table(spark, sf_dir, "embeddings"))
+
+
 def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import langid
 
@@ -63,5 +75,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op5_token_ids, op7_language, op9_quality, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op9_quality, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
