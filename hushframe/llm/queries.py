@@ -61,6 +61,12 @@ def op7_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", (fold("doc_id", 4) == 2).alias("held_out"), "lang_pred", "score")
 
 
+def op8_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import html_text
+
+    return html_text.extract_pages(table(spark, sf_dir, "pages"), ["page_id", "url"])
+
+
 def op9_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import quality
 
@@ -75,5 +81,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op9_quality, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op8_html, op9_quality, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
