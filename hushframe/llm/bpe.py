@@ -183,11 +183,11 @@ def decode_documents(encoded: DataFrame, path: str, pattern: str, key: str = "do
     return encoded.select(encoded[key].alias("key"), "ids").mapInArrow(run, f"key {kind}, data binary").withColumnRenamed("key", key)
 
 
-def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """Encodes every text and decodes its ids, in one pass: digests of both.
 
-    Columns: ``key``, n_tokens, ids_sha256, decoded_sha256 (SQL names as in the
-    query contract). Rows are independent, so nothing is exchanged: a lost
+    Columns: ``key``, n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``,
+    ids (array<int>). Rows are independent, so nothing is exchanged: a lost
     executor costs its running tasks only. A null text counts as empty; repeated
     rows give repeated rows; other columns of ``docs`` are ignored.
     """
@@ -195,15 +195,22 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(path, pattern)
         named = bpe.text_of.__getitem__
-        for batch in batches:
-            counts, ids_sha, data_sha = [], [], []
+        for batch in (b.slice(at, 256) for b in batches for at in range(0, b.num_rows, 256)):
+            counts, ids_sha, data_sha, arrays = [], [], [], []
             for value in batch.column(1):
-                ids = bpe.encode(value.as_py() or "").tolist()
+                found = bpe.encode(value.as_py() or "")
+                ids = found.tolist()
+                if with_ids:
+                    arrays.append(found)
                 counts.append(len(ids))
                 ids_sha.append(hashlib.sha256(" ".join(map(named, ids)).encode()).hexdigest())
                 data_sha.append(hashlib.sha256(bpe.decode(ids)).hexdigest())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())], names=["key", "n_tokens", "ids_sha256", "decoded_sha256"])
+            cols = [batch.column(0), pa.array(counts, pa.int64()), pa.array(ids_sha, pa.string()), pa.array(data_sha, pa.string())]
+            if with_ids:
+                ends = np.cumsum([0, *counts]).astype(np.int32)
+                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate([*arrays, np.zeros(0, np.uint32)]).astype(np.int32))))
+            yield pa.RecordBatch.from_arrays(cols, names=["key", "n_tokens", "ids_sha256", "decoded_sha256", *(["ids"] if with_ids else [])])
 
     kind = docs.schema[key].dataType.simpleString()
     picked = docs.select(docs[key].alias("key"), docs[text].alias("text"))
-    return picked.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string").withColumnRenamed("key", key)
+    return picked.mapInArrow(run, f"key {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string" + (", ids array<int>" if with_ids else "")).withColumnRenamed("key", key)

@@ -155,3 +155,22 @@ def judge(docs: DataFrame, keep: list[str], groups: tuple[str, str] = ("lang", "
     within = [F.coalesce(bin_of(r) <= F.col(f"max_{r}"), F.lit(True)) for r in RATIOS]
     ok = within[0] & within[1] & within[2]
     return joined.select(*measured.columns, base_failed().alias("base_failed"), (~base_failed() & ok).alias("kept"))
+
+
+def kept_rows(docs: DataFrame, groups: tuple[str, str] = ("lang", "source"), text: str = "text") -> DataFrame:
+    """``docs`` without the rows that are judged to fail.
+
+    The rows are measured twice: for the sketches, and again beside their texts, so
+    that texts need neither be exchanged nor written in between.
+    """
+    from .common import written
+
+    limit = written(thresholds(measure(docs, list(groups), text), groups), "quality-fences").withColumnsRenamed({g: f"_{g}" for g in groups})
+    measured = measure(docs, docs.columns, text)
+    names = [m.split()[0] for m in MEASURES.split(", ")]
+    if set(names) & set(docs.columns):
+        raise ValueError(f"columns {sorted(set(names) & set(docs.columns))} are names of measures")
+    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
+    joined = measured.join(limit, same[0] & same[1], "left")
+    within = [F.coalesce(bin_of(r) <= F.col(f"max_{r}"), F.lit(True)) for r in RATIOS]
+    return joined.filter(~base_failed() & within[0] & within[1] & within[2]).select(*docs.columns)

@@ -29,6 +29,14 @@ def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.round_trip(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op3_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import ngram_trie
+
+    learned = fold("doc_id", 7)
+    out = ngram_trie.score(table(spark, sf_dir, "documents"), learned != 2)
+    return out.select("doc_id", (fold("doc_id", 7) == 2).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op4_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import ngram_join
 
@@ -81,5 +89,5 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op8_html, op9_quality, op10_mixing)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_score, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op8_html, op9_quality, op10_mixing)}
 ORACLE_SQL: dict[str, str] = {}
