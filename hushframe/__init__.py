@@ -1,0 +1 @@
+"""Detect, replace, rewrite and audit sensitive entities in text columns of DataFrames."""
