@@ -191,21 +191,63 @@ def records(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np
         at += 1
 
 
-class WordCache(dict):
-    """Word -> its ids as bytes, by the library; starts anew at ``limit`` entries."""
+#: How the tokenizer's own pre-tokenizer cuts lower-case text.
+PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+#: Entries of a generation of a cache.
+WORDS, PIECES_HELD = 300_000, 400_000
 
-    def __init__(self, tokenizer, limit: int = 300_000):
-        self.tokenizer, self.limit = tokenizer, limit
 
-    def fill(self, words: set[str]) -> None:
-        new = [w for w in words if w not in self]
-        if len(self) + len(new) > self.limit:
+class Cache(dict):
+    """Two generations: when the young one is full it becomes the old one, and what is used again returns."""
+
+    limit = WORDS
+
+    def __init__(self):
+        self.old: dict = {}
+
+    def __missing__(self, key):
+        found = self.old.get(key)
+        if found is None:
+            found = self.make(key)
+        if len(self) >= self.limit:
+            self.old = dict(self)
             self.clear()
-            new = list(words)
-        for at in range(0, len(new), 4096):
-            part = new[at : at + 4096]
-            for word, got in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self[word] = np.array(got.ids, np.uint32).tobytes()
+        self[key] = found
+        return found
+
+
+class PieceCache(Cache):
+    """Piece -> its ids as bytes, by the library."""
+
+    limit = PIECES_HELD
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.encode = tokenizer.encode
+
+    def make(self, piece: str) -> bytes:
+        return np.array(self.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+
+
+class WordCache(Cache):
+    """Word (no white space) -> its ids as bytes.
+
+    A word that is new is lower-cased and cut as the library would, and its pieces
+    looked up; so "the", "The" and "the," ask the library once. A word that has a
+    character above U+012F, where lower-casing and composing take more care, or that may
+    have a special token, goes to the library whole.
+    """
+
+    def __init__(self, tokenizer):
+        import regex
+
+        super().__init__()
+        self.pieces, self.cut = PieceCache(tokenizer), regex.compile(PIECES).findall
+
+    def make(self, word: str) -> bytes:
+        if (word.isascii() or max(word) < "\u0130") and "<|" not in word:
+            return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
+        return self.pieces[word]
 
 
 _tokenizers: dict[str, WordCache] = {}
@@ -223,16 +265,13 @@ def words_of(path: str) -> WordCache:
 
 
 def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids (32 bits each) of each text, for a tokenizer that drops white space.
+    """Ids (32 bits each) of each text, for a tokenizer that lower-cases and drops white space.
 
     Such a tokenizer never looks across white space, so texts are cut at spaces and
     new lines and each distinct piece goes to the library once per cache.
     """
-    cache = words_of(path)
-    split = [(x or "").replace("\n", " ").split(" ") for x in texts]
-    need = set().union(*split) if split else set()
-    cache.fill(need)
-    return [b"".join(map(cache.__getitem__, x)) for x in split]
+    get = words_of(path).__getitem__
+    return [b"".join(map(get, (x or "").replace("\n", " ").split(" "))) for x in texts]
 
 
 def bounds(docs: DataFrame, key: str, rows: int) -> list[int]:
