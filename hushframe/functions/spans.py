@@ -83,7 +83,8 @@ def _last(items: Column, predicate) -> Column:
 def apply_decisions(entities: Column, decisions: Column) -> Column:
     """Drops, relabels or keeps spans by id; the last proper decision counts, without one a span stays."""
     verdict = lambda d: F.lower(strip(d["decision"]))
-    proper = F.filter(F.coalesce(decisions, F.array().cast("array<struct<id:string,decision:string,proposed_label:string,reason:string>>")), lambda d: (strip(d["id"]) != "") & verdict(d).isin("keep", "reclass", "drop"))
+    slim = F.transform(decisions, lambda d: F.struct(*(d[k].alias(k) for k in ("id", "decision", "proposed_label"))))
+    proper = F.filter(F.coalesce(slim, F.array().cast("array<struct<id:string,decision:string,proposed_label:string>>")), lambda d: (strip(d["id"]) != "") & verdict(d).isin("keep", "reclass", "drop"))
     paired = F.transform(entities, lambda e: F.struct(e.alias("e"), _last(proper, lambda d: strip(d["id"]) == e["id"]).alias("d")))
     stay = F.filter(paired, lambda p: F.coalesce(verdict(p["d"]) != "drop", F.lit(True)))
     label = lambda p: strip(p["d"]["proposed_label"])

@@ -26,10 +26,10 @@ def fill(template: str, values: dict[str, str], strict: bool = True) -> str:
 
 
 def fill_columns(template: str, values: dict[str, Column]) -> Column:
-    """The same with columns: one concatenation."""
+    """The same with columns: one concatenation; nulls are empty."""
     parts, at = [], 0
     for m in PLACE.finditer(template):
-        parts += [F.lit(template[at : m.start()]), values[m[1]]]
+        parts += [F.lit(template[at : m.start()]), F.coalesce(values[m[1]], F.lit(""))]
         at = m.end()
     return F.concat(*parts, F.lit(template[at:]))
 

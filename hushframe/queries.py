@@ -238,7 +238,7 @@ def _decisions() -> Column:
 _VERDICT = "case when e % 5 = 0 and (s + 1) % 4 > 0 then (s + 1) % 4 else s % 4 end"
 
 
-@query(f"select id, s, e, case when v = 2 and e % 2 = 0 then 'place' else label end as label from (select *, {_VERDICT} as v from (select distinct id, s, e, label from ({_SPAN_SQL}))) where v <> 3")
+@query(f"select distinct id, s, e, case when v = 2 and e % 2 = 0 then 'place' else label end as label from (select *, {_VERDICT} as v from (select distinct id, s, e, label from ({_SPAN_SQL}))) where v <> 3")
 def decisions_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _line_spans(spark, sf_dir).withColumn("decisions", _decisions())
     out = rows.select("id", F.explode(F.array_distinct(F.transform(spans.apply_decisions(F.col("spans"), F.col("decisions")), lambda e: F.struct(e["start_position"].alias("s"), e["end_position"].alias("e"), e["label"].alias("label"))))).alias("u"))
@@ -442,7 +442,7 @@ def entity_prf(spark: SparkSession, sf_dir: str) -> DataFrame:
     return counted.select("doc_id", "c.tp", "c.fp", "c.fn", F.round(text.ratio(c["tp"], c["tp"] + c["fp"]), 9).alias("precision"), F.round(text.ratio(c["tp"], c["tp"] + c["fn"]), 9).alias("recall"))
 
 
-@query(f"{_RESOLVED} select d.doc_id, count_if(s % 2 = 0) as matched, count_if(s % 2 = 0) as matched_alike from documents d left join spans s using (doc_id) group by d.doc_id")
+@query(f"{_RESOLVED} select d.doc_id, count(case when s % 2 = 0 then 1 end) as matched, count(case when s % 2 = 0 then 1 end) as matched_alike from documents d left join spans s using (doc_id) group by d.doc_id")
 def relaxed_matching(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Largest matching of found and expected spans (here: resolved, so each overlaps its own only)."""
     far = F.transform("expected", lambda e: F.when(e["value"] == "zz", spans.span(e["value"], e["label"], F.lit(1 << 30), F.lit((1 << 30) + 2), F.lit(1.0), "truth")).otherwise(e))
@@ -510,10 +510,10 @@ def leakage_mass(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _answers(spark, sf_dir).select("id", F.round(rewrite.leakage_mass(a, q), 6).alias("leakage_mass"), rewrite.any_high_leaked(a, q).alias("any_high_leaked"))
 
 
-@query(f"{_RW} select id, round(mass / most, 6) as weighted_leakage_rate from t")
+@query(f"{_RW} select id, round(mass / most + 1e-9, 6) as weighted_leakage_rate from t")
 def weighted_leakage_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = _answers(spark, sf_dir).withColumn("m", rewrite.leakage_mass(F.col("answers"), F.col("questions")))
-    return rows.select("id", F.round(rewrite.weighted_leakage_rate(F.col("m"), F.col("questions")), 6).alias("weighted_leakage_rate"))
+    return rows.select("id", F.round(rewrite.weighted_leakage_rate(F.col("m"), F.col("questions")) + 1e-9, 6).alias("weighted_leakage_rate"))
 
 
 @query(f"{_RW} select id, high or round(mass, 9) > 1.0 as needs_repair, high or round(mass, 9) > 2.0 or round(utility, 9) < 0.5 as needs_review from t")
@@ -539,9 +539,9 @@ def privacy_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.explode(rewrite.privacy_questions(F.col("d"))).alias("q")).select("id", F.col("q.id").alias("n"), F.col("q.question").alias("question"))
 
 
-@query("select doc_id, case when doc_id % 3 = 0 then text else upper(text) end as output, case when doc_id % 3 = 0 then 1.0 else 0.25 end as utility_score, doc_id % 3 <> 0 as needs_human_review from documents")
+@query("select doc_id, case when doc_id % 3 = 0 then text else text || '!' end as output, case when doc_id % 3 = 0 then 1.0::double else 0.25::double end as utility_score, doc_id % 3 <> 0 as needs_human_review from documents")
 def pass_through(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = _docs(spark, sf_dir).withColumns({"output": F.upper(schemas.TEXT), "utility_score": F.lit(0.25), "needs_human_review": F.lit(True)})
+    rows = _docs(spark, sf_dir).withColumns({"output": F.concat(schemas.TEXT, F.lit("!")), "utility_score": F.lit(0.25), "needs_human_review": F.lit(True)})
     return rewrite.pass_through(rows, F.col("doc_id") % 3 != 0, schemas.TEXT, "output").select("doc_id", "output", "utility_score", "needs_human_review")
 
 
