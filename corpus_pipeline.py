@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from hushframe.llm import bpe, langid, mixing, ngram_join, quality
 from hushframe.llm.common import fold, scratch, table, written
@@ -21,8 +20,7 @@ def tell_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
     """Drops rows whose language can't be told: no letter, or no profile near."""
     learned = fold("doc_id", 4)
     profiles = langid.fit(langid.training_sample(docs, (learned >= 0) & (learned != 2)))
-    told = langid.predict(docs, profiles, docs.columns)
-    return told.filter((F.col("lang_pred") != langid.UNKNOWN) & (F.col("score") >= LEAST_COSINE)).select(*docs.columns)
+    return langid.told_rows(docs, profiles, LEAST_COSINE)
 
 
 def apply_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

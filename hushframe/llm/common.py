@@ -64,3 +64,9 @@ def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, key: str, seed
     order = F.xxhash64(F.lit(seed), F.col(key))
     w = Window.partitionBy(stratum).orderBy(order, F.col(key))
     return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_stratum).drop("_rank")
+
+
+def apart(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:
+    """``df`` with its columns named _c0, _c1, ... and the new names of ``named``: no name can clash with one of ours."""
+    names = [f"_c{i}" for i in range(len(df.columns))]
+    return df.toDF(*names), [names[df.columns.index(c)] for c in named]

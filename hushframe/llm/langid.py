@@ -156,6 +156,16 @@ def training_sample(docs: DataFrame, fold_column, per_language: int = PER_LANGUA
     """At most ``per_language`` rows of each language for which ``fold_column`` is true."""
     from .common import bounded_sample
 
+    docs = docs.select(key, "text", lang)
     ids = bounded_sample(docs.filter(fold_column & F.col(lang).isNotNull() & F.col("text").isNotNull()).select(key, lang), lang, per_language, key, SEED)
     # at most per_language ids a language
     return docs.join(F.broadcast(ids.select(F.col(key).alias("_id")).distinct()), F.col(key) == F.col("_id"), "left_semi")
+
+
+def told_rows(docs: DataFrame, profiles: dict[str, np.ndarray], least: float, text: str = "text") -> DataFrame:
+    """``docs`` without the rows whose language can't be told: no letter, or no profile with a cosine of ``least``."""
+    from .common import apart
+
+    plain, (t,) = apart(docs, text)
+    told = predict(plain, profiles, plain.columns, t)
+    return told.filter((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)).select(*plain.columns).toDF(*docs.columns)

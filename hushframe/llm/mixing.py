@@ -57,11 +57,14 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     hash bucket (4,096 rows a source at most, whatever its rows); only the documents
     of the one bucket where it ends are ordered, so a hot source isn't sorted in one
     task. Rows without words are taken as often as the whole repetitions. A null
-    source is a source of its own, the last; a null text has no words; equal rows
+    source is a source of its own, the last; columns of ``docs`` that are named like
+    the added ones are left out; a null text has no words; equal rows
     differ in nothing, so either may be taken. Reruns agree.
     """
-    from .common import scratch
+    from .common import apart, scratch
 
+    theirs = docs.columns
+    docs, (text, source, key) = apart(docs, text, source, key)
     hashed = F.md5(F.concat_ws("/", F.lit(seed), F.col(key).cast("string")))
     sized = docs.withColumn("size", size_of(text)).withColumn("_hash", hashed).withColumn("_bucket", F.substring("_hash", 1, DIGITS))
     slim = sized.select(F.col(source).alias("_source"), F.col(key).alias("_key"), "size", "_hash", "_bucket")
@@ -98,16 +101,20 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     extra = F.when((F.col("size") > 0) & F.coalesce(before, F.lit(False)), 1).otherwise(0)
     copies = F.coalesce(F.col("_whole"), F.lit(0)) + extra
     part = F.when(F.coalesce((F.col("_bucket") == F.col("_last")) & (place == mark), F.lit(False)), F.col("_cut.part")).otherwise(0)
-    return joined.select(*docs.columns, "size", "source_size", "target", copies.cast("int").alias("copies"), part.cast("long").alias("part"))
+    added = {"size": F.col("size"), "source_size": F.col("source_size"), "target": F.col("target"), "copies": copies.cast("int"), "part": part.cast("long")}
+    return joined.select(*(F.col(c).alias(n) for c, n in zip(docs.columns, theirs, strict=True) if n not in added), *(c.alias(n) for n, c in added.items()))
 
 
-def repeated(docs: DataFrame, **options) -> DataFrame:
+def repeated(docs: DataFrame, text: str = "text", source: str = "source", key: str = "doc_id", **options) -> DataFrame:
     """The mix as whole rows of ``docs``, each as often as it is taken.
 
     The row of a source at which its target is met is taken once more if more than
     half of it fits.
     """
-    mixed = mix(docs, **options)
+    from .common import apart
+
+    plain, (text, source, key) = apart(docs, text, source, key)
+    mixed = mix(plain, text, source, key, **options)
     times = F.col("copies") + F.when(2 * F.col("part") > F.col("size"), 1).otherwise(0)
     each = mixed.withColumn("_times", times.cast("int")).filter("_times > 0")
-    return each.withColumn("_time", F.explode(F.expr("sequence(1, _times)"))).select(*docs.columns)
+    return each.withColumn("_time", F.explode(F.expr("sequence(1, _times)"))).select(*plain.columns).toDF(*docs.columns)

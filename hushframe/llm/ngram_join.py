@@ -307,13 +307,16 @@ def _parts(members: DataFrame) -> int:
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), members.count() // 20_000)
 
 
-def representatives(docs: DataFrame, key: str = "doc_id", **options) -> DataFrame:
+def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """``docs`` with one row of each class; rows that repeat a kept key are reduced to one."""
-    decided = join(docs, key, **options).filter("kept").select(F.col(key).alias("_kept"))
+    from .common import apart
+
+    theirs, (docs, (key, text)) = docs.columns, apart(docs, key, text)
+    decided = join(docs, key, text, **options).filter("kept").select(F.col(key).alias("_kept"))
     once = written(decided.groupBy("_kept").agg(F.count(F.lit(1)).alias("_rows")), "ngram-kept")
     out = docs.join(once, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
     repeats = once.filter("_rows > 1 and _kept is not null").select("_kept")
     if not repeats.isEmpty():
         more = out.join(repeats, out[key] == F.col("_kept"), "left_semi").dropDuplicates([key])
         out = out.join(repeats, out[key] == F.col("_kept"), "left_anti").unionByName(more)
-    return out
+    return out.toDF(*theirs)

@@ -163,14 +163,12 @@ def kept_rows(docs: DataFrame, groups: tuple[str, str] = ("lang", "source"), tex
     The rows are measured twice: for the sketches, and again beside their texts, so
     that texts need neither be exchanged nor written in between.
     """
-    from .common import written
+    from .common import apart, written
 
-    limit = written(thresholds(measure(docs, list(groups), text), groups), "quality-fences").withColumnsRenamed({g: f"_{g}" for g in groups})
-    measured = measure(docs, docs.columns, text)
-    names = [m.split()[0] for m in MEASURES.split(", ")]
-    if set(names) & set(docs.columns):
-        raise ValueError(f"columns {sorted(set(names) & set(docs.columns))} are names of measures")
-    same = [F.col(g).eqNullSafe(F.col(f"_{g}")) for g in groups]
-    joined = measured.join(limit, same[0] & same[1], "left")
+    plain, (t, first, second) = apart(docs, text, *groups)
+    by = (first, second)
+    limit = written(thresholds(measure(plain, list(by), t), by), "quality-fences").withColumnsRenamed({g: f"_of{g}" for g in by})
+    measured = measure(plain, plain.columns, t)
+    joined = measured.join(limit, F.col(first).eqNullSafe(F.col(f"_of{first}")) & F.col(second).eqNullSafe(F.col(f"_of{second}")), "left")
     within = [F.coalesce(bin_of(r) <= F.col(f"max_{r}"), F.lit(True)) for r in RATIOS]
-    return joined.filter(~base_failed() & within[0] & within[1] & within[2]).select(*docs.columns)
+    return joined.filter(~base_failed() & within[0] & within[1] & within[2]).select(*plain.columns).toDF(*docs.columns)

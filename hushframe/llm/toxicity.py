@@ -110,7 +110,7 @@ def training_sample(docs: DataFrame, labels: DataFrame, fold_column, per_label:
     one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
     ids = bounded_sample(one.filter(fold_column), "_label", per_label, key, SEED)
     # at most per_label ids a label
-    chosen = F.broadcast(ids.withColumnRenamed(key, "_id"))
+    docs, chosen = docs.select(key, "text"), F.broadcast(ids.withColumnRenamed(key, "_id"))
     return docs.join(chosen, docs[key] == F.col("_id")).select(docs["text"], "_label")
 
 
