@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import fold, scratch, table
+from .oracle import ORACLE_SQL  # noqa: F401
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -90,4 +91,3 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_score, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op8_html, op9_quality, op10_mixing)}
-ORACLE_SQL: dict[str, str] = {}
