@@ -84,3 +84,15 @@ def export(measurements: DataFrame, folder: str, suffix: str = ".parquet", overw
         rows = present(measurements.filter(F.col("record_type") == kind))
         tables[kind] = write_table(rows, f"{folder}/{kind}{suffix}", overwrite)
     return json.dumps({"tables": tables}, indent=2)
+
+
+def read_strictly(spark: SparkSession, path: str, most_bytes: int = 64 << 20, most_records: int = 1_000_000) -> DataFrame:
+    """Measurements that must all fit the schema; refused beyond the limits, before anything else is done with them."""
+    frame = spark.read.schema(MEASUREMENT).option("mode", "FAILFAST").json(path)
+    sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
+    if sizes > most_bytes:
+        raise InputError(f"{path}: {sizes} bytes, at most {most_bytes} are read")
+    kinds = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("record_type").isNull()).alias("bad"), F.countDistinct("run_id").alias("runs")).first()
+    if kinds.n > most_records or kinds.bad:
+        raise InputError(f"{path}: {kinds.n} records, {kinds.bad} without a type")
+    return frame
