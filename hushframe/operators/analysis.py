@@ -34,19 +34,25 @@ def failed(c: str = "status") -> Column:
     return F.coalesce(F.lower(c).isin("error", "failed"), F.lit(False))
 
 
-def merged_counts(df: DataFrame, keys: list[str], column: str) -> DataFrame:
-    """Maps of counts added up by key; entries that come to 0 are left out."""
-    each = df.select(*keys, F.explode(column).alias("_k", "_v")).groupBy(*keys, "_k").agg(F.sum("_v").alias("_v")).filter("_v <> 0")
-    return each.groupBy(*keys).agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("_k", "_v")))).alias(column))
+def merged_counts(df: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
+    """Maps of counts added up by key, all columns in one pass; entries that come to 0 are left out."""
+    none = F.array().cast("array<struct<c:string,k:string,v:bigint>>")
+
+    def listed(c: str) -> Column:
+        return F.coalesce(F.transform(F.map_entries(c), lambda e: F.struct(F.lit(c).alias("c"), e["key"].alias("k"), e["value"].alias("v"))), none)
+
+    each = df.select(*keys, F.explode(F.concat(*map(listed, columns))).alias("_e"))
+    sums = each.groupBy(*keys, F.col("_e.c").alias("_c"), F.col("_e.k").alias("_k")).agg(F.sum("_e.v").alias("_v")).filter("_v <> 0")
+    maps = (F.map_from_entries(F.sort_array(F.collect_list(F.when(F.col("_c") == c, F.struct("_k", "_v"))))).alias(c) for c in columns)
+    return sums.groupBy(*keys).agg(*maps)
 
 
 def with_merged(base: DataFrame, df: DataFrame, keys: list[str], columns: tuple[str, ...]) -> DataFrame:
     """``base`` with added-up maps of ``df``, empty where a group has none."""
-    for c in columns:
-        more = merged_counts(df, keys, c).withColumnsRenamed({k: f"_{k}" for k in keys})
-        on = reduce(lambda a, b: a & b, (base[k].eqNullSafe(more[f"_{k}"]) for k in keys))
-        base = base.join(more, on, "left").drop(*(f"_{k}" for k in keys)).withColumn(c, F.coalesce(c, F.create_map().cast("map<string,bigint>")))
-    return base
+    more = merged_counts(df, keys, columns).withColumnsRenamed({k: f"_{k}" for k in keys})
+    on = reduce(lambda a, b: a & b, (base[k].eqNullSafe(more[f"_{k}"]) for k in keys))
+    joined = base.join(more, on, "left").drop(*(f"_{k}" for k in keys))
+    return joined.withColumns({c: F.coalesce(c, F.create_map().cast("map<string,bigint>")) for c in columns})
 
 
 def _quality(prefix: str = "") -> dict[str, Column]:
