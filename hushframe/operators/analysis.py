@@ -10,10 +10,10 @@ from pyspark.sql import functions as F
 from ..functions.text import f1, ratio
 from ..sources.records import LABEL_MAPS, NUMBERS, REQUESTS, VERDICTS
 
-GROUP_KEYS = ("workload_id", "workload_category", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "entity_label_set_id", "entity_label_count", "gliner_threshold")
+GROUP_KEYS = ("workload_id", "workload_category", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "entity_label_set_id", "entity_label_count", "threshold")
 USAGE_KEYS = ("workload_id", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "dd_parser_compat", "workflow_name", "model_alias", "model_name", "model_provider_name")
-#: The stage that spans a whole run, and the error of a client that can't be used from a synchronous call.
-PIPELINE, BRIDGE_ERROR = "Anonymizer._run_internal", "SyncClientUnavailableError"
+#: The stage that spans a whole run unless said otherwise, and the error of a client that can't be used from a synchronous call.
+PIPELINE, BRIDGE_ERROR = "pipeline", "SyncClientUnavailableError"
 MODEL_KINDS = ("ndd_workflow", "model_workflow")
 
 
@@ -70,22 +70,23 @@ def _quality(prefix: str = "") -> dict[str, Column]:
     return out
 
 
-def case_rows(measurements: DataFrame, artifacts: DataFrame | None = None, traces: DataFrame | None = None) -> DataFrame:
+def case_rows(measurements: DataFrame, artifacts: DataFrame | None = None, traces: DataFrame | None = None, whole_run: str = PIPELINE) -> DataFrame:
     """A row for each case: one conditional aggregation of its records, beside one of its artifacts and traces.
 
-    A case is named by its tag, else by its run. First values follow the order of
+    ``whole_run``: the stage whose time is that of a whole run. A case is named by its
+    tag, else by its run. First values follow the order of
     time in a run that its records' own order gives.
     """
     named = measurements.withColumn("case_id", _tag("run_tags.case_id", "run_id")).filter("case_id is not null").withColumn("_n", F.monotonically_increasing_id())
     kind = lambda *names: F.col("record_type").isin(*names)
     record, judged, model, stage = kind("record"), kind("evaluation_record"), kind(*MODEL_KINDS), kind("stage")
-    pipeline = stage & (F.col("stage") == PIPELINE)
+    pipeline = stage & (F.col("stage") == whole_run)
     tags = {
         **{k: _tag(f"run_tags.{k}") for k in ("suite_id", "workload_id", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "dd_parser_compat", "repetition")},
         "workload_category": _tag("run_tags.workload_category", "run_tags.dataset_category"),
         "entity_label_set_id": _tag("run_tags.entity_label_set_id", "run_tags.entity_label_set", "run_tags.label_set", "detect.entity_label_source"),
         "entity_label_count": _tag("run_tags.entity_label_count", "detect.entity_label_count"),
-        "gliner_threshold": _tag("run_tags.gliner_threshold", "detect.gliner_threshold"),
+        "threshold": _tag("run_tags.threshold", "detect.threshold"),
         "topology_endpoint_count": _tag("run_tags.topology_endpoint_count", "run_tags.endpoint_count"),
         "topology_gpu_count": _tag("run_tags.topology_gpu_count", "run_tags.gpu_count"),
         "topology_tensor_parallelism": _tag("run_tags.topology_tensor_parallelism", "run_tags.tensor_parallelism"),

@@ -15,7 +15,7 @@ from pyspark.sql import types as T  # isort: skip
 _TAGS = _struct(
     suite_id=S, workload_id=S, workload_category=S, dataset_category=S, config_id=S, case_id=S, repetition=L,
     experimental_detection_strategy=S, experimental_replacement_strategy=S, dd_parser_compat=S,
-    entity_label_set_id=S, entity_label_set=S, label_set=S, entity_label_count=L, gliner_threshold=D,
+    entity_label_set_id=S, entity_label_set=S, label_set=S, entity_label_count=L, threshold=D,
     topology_endpoint_count=D, endpoint_count=D, topology_gpu_count=D, gpu_count=D,
     topology_tensor_parallelism=D, tensor_parallelism=D, topology_shard_count=D, shard_count=D,
 )
@@ -47,7 +47,7 @@ VERDICTS = (
 MEASUREMENT = _struct(
     record_type=S, run_id=S, run_tags=_TAGS, workflow_name=S, stage=S, status=S, elapsed_sec=D,
     **dict.fromkeys(REQUESTS, L), model_usage=T.MapType(S, _USAGE),
-    detect=_struct(validation_max_entities_per_call=L, entity_label_source=S, entity_label_count=L, gliner_threshold=D),
+    detect=_struct(validation_max_entities_per_call=L, entity_label_source=S, entity_label_count=L, threshold=D),
     **dict.fromkeys(NUMBERS, L), **dict.fromkeys(LABEL_MAPS, _COUNTS),
     **{v: B for _, v, _ in VERDICTS}, **{n: L for _, _, n in VERDICTS},
 )
@@ -60,11 +60,23 @@ ARTIFACT = _struct(
 TRACE = _struct(record_type=S, run_id=S, workflow_name=S, model_alias=S, status=S, error_type=S, is_async=B, run_tags=_TAGS)
 
 
-def read_measurements(spark: SparkSession, path: str) -> DataFrame:
+def _named(kind: T.DataType, names: dict[str, str]) -> T.DataType:
+    """A type with its fields under the names that files have."""
+    if isinstance(kind, T.StructType):
+        return T.StructType([T.StructField(names.get(f.name, f.name), _named(f.dataType, names)) for f in kind.fields])
+    if isinstance(kind, T.MapType):
+        return T.MapType(kind.keyType, _named(kind.valueType, names))
+    return kind
+
+
+def read_measurements(spark: SparkSession, path: str, names: dict[str, str] | None = None) -> DataFrame:
+    """Measurements of a file; ``names``: what fields of ours are called in it, where that differs."""
     suffix = suffix_of(path)
     if suffix not in (".jsonl", ".json"):
         raise InputError(f"{path}: measurements are .jsonl or .json")
-    return spark.read.schema(MEASUREMENT).option("multiLine", suffix == ".json").json(path)
+    theirs = _named(MEASUREMENT, names or {})
+    frame = spark.read.schema(theirs).option("multiLine", suffix == ".json").json(path)
+    return frame.select(*(F.col(f.name).cast(own.dataType).alias(own.name) for f, own in zip(theirs.fields, MEASUREMENT.fields, strict=True)))
 
 
 def read_artifacts(spark: SparkSession, path: str) -> DataFrame:

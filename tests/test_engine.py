@@ -135,7 +135,7 @@ def test_command_line(tmp_path, spark, people):
 
 
 def test_measurement_files(spark, tmp_path):
-    tag = {"case_id": "c1", "workload_id": "w", "gliner_threshold": 0.3}
+    tag = {"case_id": "c1", "workload_id": "w", "limit": 0.3}
     rows = [
         {"record_type": "record", "run_id": "r", "run_tags": tag, "final_entity_count": 3, "entity_true_positive_count": 2, "entity_false_positive_count": 1, "original_value_leak_label_counts": {"a": 1, "b": 0}},
         {"record_type": "stage", "run_id": "r", "run_tags": tag, "stage": analysis.PIPELINE, "elapsed_sec": 2.0, "status": "completed"},
@@ -144,13 +144,13 @@ def test_measurement_files(spark, tmp_path):
     (tmp_path / "m.jsonl").write_text("".join(json.dumps(r) + "\n" for r in rows))
     (tmp_path / "t" / "x").mkdir(parents=True)
     (tmp_path / "t" / "x" / "a.jsonl").write_text(json.dumps({"run_id": "r", "status": "error", "error_type": analysis.BRIDGE_ERROR, "messages": ["secret"], "run_tags": tag}) + "\n")
-    m, t = records.read_measurements(spark, f"{tmp_path}/m.jsonl"), records.read_traces(spark, f"{tmp_path}/t")
+    m, t = records.read_measurements(spark, f"{tmp_path}/m.jsonl", {"threshold": "limit"}), records.read_traces(spark, f"{tmp_path}/t")
     assert "messages" not in t.columns
     case = analysis.case_rows(m, traces=t).first()
     assert (case.case_id, case.record_count, case.records_per_pipeline_sec, case.observed_failed_request_rate) == ("c1", 1, 0.5, 0.25)
     assert (case.observed_bridge_fallback_requests, case.observed_non_bridge_total_requests, case.original_value_leak_label_counts) == (1, 3, {"a": 1})
     group = analysis.group_rows(analysis.case_rows(m)).first()
-    assert group.case_count == 1 and group.gliner_threshold == 0.3 and group.micro_entity_precision == pytest.approx(2 / 3)
+    assert group.case_count == 1 and group.threshold == 0.3 and group.micro_entity_precision == pytest.approx(2 / 3)
     use = analysis.usage_group_rows(analysis.usage_rows(m)).first()
     assert (use.model_name, use.sum_observed_total_tokens, use.observed_failed_request_rate) == ("m", 9, 0.25)
     assert "record" in records.export(m, f"{tmp_path}/out")
