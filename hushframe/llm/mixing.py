@@ -16,6 +16,9 @@ from .common import WORD
 WEIGHTS, MAX_EPOCHS, SEED = (5, 2, 1), 3, "mix-1"
 #: Hash buckets of a source: the first three of the 32 hexadecimal digits.
 DIGITS = 3
+#: Sources up to which the plan (a row a source) is broadcast, so that no text is exchanged; parts into
+#: which a source's rows are dealt where there are more.
+BROADCAST_SOURCES, SALTS = 20_000, 64
 
 
 def size_of(text: str = "text") -> Column:
@@ -61,7 +64,7 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     the added ones are left out; a null text has no words; equal rows
     differ in nothing, so either may be taken. Reruns agree.
     """
-    from .common import apart, scratch
+    from .common import apart, scratch, written
 
     theirs = docs.columns
     docs, (text, source, key) = apart(docs, text, source, key)
@@ -95,7 +98,15 @@ def mix(docs: DataFrame, text: str = "text", source: str = "source", key: str =
     cut = upto_here.filter(F.col("_upto") > F.col("_open")).groupBy("_source").agg(F.min(met).alias("_cut")).withColumnRenamed("_source", "_cut_source")
     plan = plan.join(cut, F.col("_plan_source").eqNullSafe(F.col("_cut_source")), "left").drop("_cut_source")
 
-    joined = sized.withColumn("_source", F.col(source)).join(plan, same_source, "left")
+    plan = written(plan, "mix-plan")
+    dealt = sized.withColumn("_source", F.col(source))
+    if plan.count() <= BROADCAST_SOURCES:
+        joined = dealt.join(F.broadcast(plan), same_source, "left")
+    else:
+        # a source may hold a third of all rows: its plan is repeated, its rows are dealt into parts
+        salted = plan.withColumn("_plan_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        dealt = dealt.withColumn("_salt", F.pmod(F.xxhash64(F.col(key), "_hash"), F.lit(SALTS)).cast("int"))
+        joined = dealt.join(salted, same_source & (F.col("_salt") == F.col("_plan_salt")), "left")
     place, mark = F.struct(F.col("_hash"), F.col(key).alias("_key"), F.col("size")), F.struct("_cut._hash", "_cut._key", "_cut.size")
     before = (F.col("_bucket") < F.col("_last")) | ((F.col("_bucket") == F.col("_last")) & (F.col("_cut").isNull() | (place < mark)))
     extra = F.when((F.col("size") > 0) & F.coalesce(before, F.lit(False)), 1).otherwise(0)

@@ -186,7 +186,9 @@ def test_water_filling(spark):
         assert [got[k] for k in names] == pytest.approx(want)
 
 
-def test_mixing(spark, docs, none):
+@pytest.mark.parametrize("most", [0, 20_000])
+def test_mixing(spark, docs, none, monkeypatch, most):
+    monkeypatch.setattr(mixing, "BROADCAST_SOURCES", most)
     made = [(i, "w " * (i % 37), f"s{i % 4}" if i % 9 else None) for i in range(800)]
     df = spark.createDataFrame(made, "doc_id long, text string, source string")
     one, two = mixing.mix(df).collect(), mixing.mix(df.repartition(5)).collect()
