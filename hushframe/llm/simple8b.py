@@ -29,77 +29,89 @@ HEADER = struct.Struct("<4sIIQII")
 
 def widths(values: np.ndarray) -> np.ndarray:
     """Bits of each value, 0 for 0."""
-    out = np.zeros(len(values), np.int64)
+    if not len(values) or values.max() < 1 << 53:  # exact as floats
+        return np.frexp(values.astype(np.float64))[1].astype(np.uint8)
+    out = np.zeros(len(values), np.uint8)
     left = values.copy()
     for step in (32, 16, 8, 4, 2, 1):
         high = left >> np.uint64(step)
         big = high > 0
-        out += big * step
+        out += (big * step).astype(np.uint8)
         left = np.where(big, high, left)
-    return out + (left > 0)
+    return out + (left > 0).astype(np.uint8)
+
+
+#: Zeros after each block, so that no word's values reach into the next one.
+PAD = 128
 
 
 def pack(values: np.ndarray, block: int = BLOCK) -> tuple[np.ndarray, np.ndarray]:
     """Words and the word at which each block starts (and, last, their number).
 
-    Each word takes as many of the next values of its block as any selector can.
+    Each word takes as many of the next values of its block as any selector can: the
+    greatest width of a run is known for all places at once, longer runs from shorter.
     """
     values = np.ascontiguousarray(values, np.uint64)
     n = len(values)
     blocks = -(-n // block)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(1, np.int64)
-    bits = widths(values)
-    at = np.arange(n)
-    end = np.minimum((at // block + 1) * block, n)
-    best = np.zeros(n, np.int8)
-    todo = np.ones(n, bool)
-    present = np.flatnonzero(np.bincount(bits, minlength=65))
-    lowest = present[0]
-    for s in range(1, 16):
+    room = block + PAD
+    padded = np.zeros((blocks, room), np.uint64)
+    full = n // block
+    padded[:full, :block] = values[: full * block].reshape(full, block)
+    if full < blocks:
+        padded[full, : n - full * block] = values[full * block :]
+    padded = padded.reshape(-1)
+    most = {1: widths(padded)}
+
+    def run(count: int) -> np.ndarray:
+        if count not in most:
+            part = max(c for c in most if c < count and 2 * c >= count) if any(2 * c >= count for c in most) else None
+            half = most[part] if part else run(-(-count // 2))
+            shift = count - (part or -(-count // 2))
+            out = half.copy()
+            np.maximum(half[:-shift], half[shift:], out=out[:-shift])
+            most[count] = out
+        return most[count]
+
+    best = np.zeros(len(padded), np.uint8)
+    for s in range(15, 0, -1):
         count, width = SELECTORS[s]
-        if width < lowest or (s < 15 and SELECTORS[s + 1][0] == count):
-            continue
-        # how far values of at most this width go on from here
-        stop = np.where(bits > width, at, n)
-        stop = np.minimum(np.minimum.accumulate(stop[::-1])[::-1], end)
-        fits = todo & ((stop - at >= count) | (stop == end)) & (stop > at)
-        best[fits] = s
-        todo &= ~fits
-    counts = np.array([c for c, _ in SELECTORS])
+        np.copyto(best, np.uint8(s), where=run(count) <= width)
+    counts = np.array([1, *(c for c, _ in SELECTORS[1:])])
     # all blocks step through their values together
-    lane = np.arange(blocks) * block
-    stops = np.minimum(lane + block, n)
+    lane = np.arange(blocks) * room
+    stops = lane + np.minimum(block, n - np.arange(blocks) * block)
     starts, owners = [], []
     live = np.arange(blocks)
     while len(live):
         here = lane[live]
         starts.append(here)
         owners.append(live)
-        lane[live] = here + counts[best[here]]
-        live = live[lane[live] < stops[live]]
+        here = here + counts[best[here]]
+        lane[live] = here
+        live = live[here < stops[live]]
     start, owner = np.concatenate(starts), np.concatenate(owners)
-    order = np.lexsort((start, owner))
+    order = np.argsort(start, kind="stable")
     start, owner = start[order], owner[order]
     chosen = best[start]
-    size = 1 + (chosen == 0)
+    size = 1 + (chosen == 0).astype(np.int64)
     place = np.cumsum(size) - size
     words = np.zeros(int(size.sum()), np.uint64)
-    padded = np.concatenate([values, np.zeros(120, np.uint64)])
     for s in range(16):
         mine = np.flatnonzero(chosen == s)
         if not len(mine):
             continue
         count, width = SELECTORS[s]
+        at = start[mine]
         if s == 0:
-            words[place[mine] + 1] = values[start[mine]]
+            words[place[mine] + 1] = padded[at]
             continue
         word = np.full(len(mine), s << 60, np.uint64)
         if width:
-            room = np.minimum(stops[owner[mine]] - start[mine], count)
             for k in range(count):
-                got = padded[start[mine] + k] << np.uint64(k * width)
-                word |= np.where(k < room, got, np.uint64(0))
+                word |= padded[at + k] << np.uint64(k * width)
         words[place[mine]] = word
     offsets = np.concatenate([np.searchsorted(owner, np.arange(blocks)), [len(owner)]])
     ends = np.concatenate([place, [len(words)]])
@@ -194,7 +206,7 @@ def records(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np
 #: How the tokenizer's own pre-tokenizer cuts lower-case text.
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of a cache.
-WORDS, PIECES_HELD = 300_000, 400_000
+WORDS, PIECES_HELD = 450_000, 600_000
 
 
 class Cache(dict):
