@@ -136,7 +136,7 @@ def protected(disposition: Column) -> Column:
 
 def privacy_questions(disposition: Column) -> Column:
     """A question for each entity to protect, numbered from 1."""
-    text = lambda d: F.concat(F.lit("Can the "), d["entity_label"], F.lit(" '"), d["entity_value"], F.lit("' be deduced from the rewritten text?"))
+    text = lambda d: F.concat(F.lit("Could a stranger who reads only the new text name the "), d["entity_label"], F.lit(" '"), d["entity_value"], F.lit("'?"))
     return F.transform(protected(disposition), lambda d, i: F.struct((i + 1).alias("id"), text(d).alias("question"), d["sensitivity"].alias("sensitivity"), d["entity_label"].alias("entity_label"), d["entity_value"].alias("entity_value"), d["category"].alias("category")))
 
 

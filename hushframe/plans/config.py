@@ -10,22 +10,34 @@ from ..operators.replace import Annotate, Hash, Redact, Substitute
 from ..operators.rewrite import Rewrite
 from ..sources.tables import InputError, is_remote
 
-#: The labels that are looked for by default, with an example each.
-LABELS = {
-    "occupation": "registered nurse", "certificate_license_number": "RN-123456", "first_name": "Michael", "date_of_birth": "1986-12-29", "ssn": "007-52-4910",
-    "medical_record_number": "MRN-345672", "password": "P@ssw0rd!", "unique_id": "987654321", "phone_number": "949-307-5488", "national_id": "AB123456C",
-    "swift_bic": "DEUTDEFF", "company_name": "MediaPulse", "country": "Japan", "license_plate": "JXK-732", "tax_id": "489-32-1765",
-    "employee_id": "EMP-001234", "pin": "1634", "state": "Texas", "email": "clayton.burke@hotmail.com", "date_time": "2023-07-31T16:34:56",
-    "api_key": "sk-abc123def456", "biometric_identifier": "BIO-782654913", "credit_debit_card": "4920 1254 5278 9812", "coordinate": "47.6062, -122.3321", "device_identifier": "490154203237518",
-    "city": "Houston", "postcode": "77450", "bank_routing_number": "061102356", "vehicle_identifier": "WBA4J52K9MJ129456", "health_plan_beneficiary_number": "FL123496719",
-    "url": "https://shopify.com", "ipv4": "192.168.1.1", "last_name": "Smith", "cvv": "161", "customer_id": "CUS439012",
-    "date": "07/15/2024", "user_name": "jeffreymoon87", "street_address": "739 Main St", "ipv6": "2a02:4d60:1031::85e1:7341:9203:4c56", "account_number": "125456289",
-    "time": "7:23 AM", "age": "76", "fax_number": "326-316-9410", "county": "Cook County", "gender": "female",
-    "sexuality": "heterosexual", "political_view": "Democrat", "race_ethnicity": "Korean", "religious_belief": "Buddhist", "language": "English",
-    "blood_type": "A+", "mac_address": "49:FD:EE:1A:3B:7C", "http_cookie": "session_id=abc123xyz", "employment_status": "full-time", "education_level": "high school",
-    "university": "UCLA", "court_name": "European Court of Human Rights", "prison_detention_facility": "Cook County Jail", "nationality": "Brazilian", "degree": "Ph.D.",
-    "field_of_study": "Public Health", "place_name": "Lake Tahoe", "landmark": "Big Ben", "organization_name": "World Health Organization", "monetary_amount": "$125",
+#: The names of the labels that are looked for by default.
+LABEL_NAMES = (
+    "occupation certificate_license_number first_name date_of_birth ssn medical_record_number password unique_id phone_number national_id swift_bic company_name country license_plate tax_id "
+    "employee_id pin state email date_time api_key biometric_identifier credit_debit_card coordinate device_identifier city postcode bank_routing_number vehicle_identifier health_plan_beneficiary_number "
+    "url ipv4 last_name cvv customer_id date user_name street_address ipv6 account_number time age fax_number county gender sexuality political_view race_ethnicity religious_belief language "
+    "blood_type mac_address http_cookie employment_status education_level university court_name prison_detention_facility nationality degree field_of_study place_name landmark organization_name monetary_amount"
+).split()
+#: Examples of the labels, for prompts.
+EXAMPLES = {
+    "occupation": ("beekeeper", "tram driver"), "certificate_license_number": ("PILOT-88-2041", "ELC 55109"), "first_name": ("Ottilie", "Bashir"), "date_of_birth": ("1971-02-17", "9 May 2003"),
+    "ssn": ("900-11-2233", "987-65-4320"), "medical_record_number": ("PAT-0077113", "KH/20881"), "password": ("tea4Two&scones", "lantern-Orbit-19"), "unique_id": ("u-55b0-9d", "0000417733"),
+    "phone_number": ("+49 30 5550 118", "(202) 555-0143"), "national_id": ("X1234567L", "850101-1239"), "swift_bic": ("ABNKNL2A", "TESTGB2LXXX"), "company_name": ("Fjordlight Ferries", "Quillon & Daughters"),
+    "country": ("Uruguay", "Latvia"), "license_plate": ("B-XY 4711", "7QRT902"), "tax_id": ("DE000111222", "12-0009876"), "employee_id": ("staff 40977", "W-1187"), "pin": ("8052", "330917"),
+    "state": ("Bavaria", "Oregon"), "email": ("o.lindqvist@example.org", "kitchen@cafe.example"), "date_time": ("2019-11-03 18:05", "3 June 2020, 07:40"), "api_key": ("key_live_0f3c77aa91", "tok-9QmZ11xx"),
+    "biometric_identifier": ("iris scan 20-771", "voiceprint VP0093"), "credit_debit_card": ("4000 0000 0000 0002", "5555-4444-3333-1111"), "coordinate": ("59.3293 N, 18.0686 E", "-33.8688, 151.2093"),
+    "device_identifier": ("SN C02-TEST-77", "356938035643809"), "city": ("Tartu", "Valparaiso"), "postcode": ("10115", "SW1A 0AA"), "bank_routing_number": ("011000015", "20-00-00"),
+    "vehicle_identifier": ("1M8GDM9AXKP042788", "hull 88-B"), "health_plan_beneficiary_number": ("HP 44-0912", "A123456780"), "url": ("https://example.org/menu", "www.harbour.example"), "ipv4": ("203.0.113.9", "198.51.100.44"),
+    "last_name": ("Okonkwo", "Lindqvist"), "cvv": ("907", "4412"), "customer_id": ("client 7781", "K-00912"), "date": ("14 August 2011", "2001/12/24"), "user_name": ("moss_and_fern", "ravi.k.84"),
+    "street_address": ("12 Lantern Row", "Hauptgasse 7a"), "ipv6": ("2001:db8::8a2e:370", "2001:db8:0:1::5"), "account_number": ("NL00TEST0123456789", "88-1203-55"), "time": ("06:55", "half past nine"), "age": ("34 years old", "61"),
+    "fax_number": ("+44 20 7946 0991", "(303) 555-0178"), "county": ("Cornwall", "Kerry"), "gender": ("woman", "non-binary"), "sexuality": ("bisexual", "gay"), "political_view": ("liberal", "green voter"),
+    "race_ethnicity": ("Maori", "Sami"), "religious_belief": ("Quaker", "Hindu"), "language": ("Welsh", "Tagalog"), "blood_type": ("O negative", "AB+"), "mac_address": ("00:00:5E:00:53:AF", "02-00-5e-10-00-01"),
+    "http_cookie": ("sid=77qz; Path=/", "cart_token=b41"), "employment_status": ("on parental leave", "self-employed"), "education_level": ("completed vocational training", "two years of college"),
+    "university": ("University of Coimbra", "Uppsala University"), "court_name": ("Leeds Crown Court", "Landgericht Bonn"), "prison_detention_facility": ("Alcatraz", "Fleet Prison"), "nationality": ("Icelandic", "Peruvian"),
+    "degree": ("Magister", "BSc"), "field_of_study": ("marine biology", "art history"), "place_name": ("Lake Baikal", "the Black Forest"), "landmark": ("the Atomium", "Charles Bridge"),
+    "organization_name": ("the rowing club of Ghent", "Friends of the Canal"), "monetary_amount": ("EUR 1,250", "40 pounds"),
 }
+#: Label -> its examples as a prompt shows them.
+LABELS = {name: ", ".join(EXAMPLES[name]) for name in LABEL_NAMES}
 #: What a replacement prompt says of a label without an example.
 NO_EXAMPLE = "(make up a realistic value)"
 

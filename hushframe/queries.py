@@ -532,7 +532,7 @@ def normalized_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("id", F.explode(full).alias("a")).select("id", F.col("a.id").alias("n"), F.col("a.answer").alias("answer"))
 
 
-@query(f"select id, cast(row_number() over (partition by id order by n) as integer) as n, 'Can the name ''' || pk || ''' be deduced from the rewritten text?' as question from (select l_orderkey as id, l_linenumber as n, pk, sk from ({_LINES})) where sk % 4 <> 0")
+@query(f"select id, cast(row_number() over (partition by id order by n) as integer) as n, 'Could a stranger who reads only the new text name the name ''' || pk || '''?' as question from (select l_orderkey as id, l_linenumber as n, pk, sk from ({_LINES})) where sk % 4 <> 0")
 def privacy_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = F.struct(F.col("n").alias("id"), F.lit("x").alias("source"), F.lit("direct").alias("category"), F.lit("high").alias("sensitivity"), F.lit("name").alias("entity_label"), F.col("pk").cast("string").alias("entity_value"), F.lit("r").alias("protection_reason"), F.when(F.col("sk") % 4 == 0, "leave_as_is").otherwise("replace").alias("protection_method_suggestion"), F.lit("high").alias("combined_risk_level"))
     rows = _lines(spark, sf_dir).groupBy("id").agg(F.sort_array(F.collect_list(d)).alias("d"))

@@ -19,7 +19,7 @@ from hushframe.streaming.stream import redact_stream
 
 @pytest.fixture(scope="module")
 def people(spark):
-    return spark.createDataFrame([(1, "Alice met Bob."), (2, "Nobody here."), (3, "mail a@b.co now")], "id long, text string")
+    return spark.createDataFrame([(1, "Mirela met Tadeo."), (2, "Nobody here."), (3, "mail a@b.co now")], "id long, text string")
 
 
 def scripted():
@@ -31,25 +31,25 @@ def scripted():
         if prompt.startswith("Say for each entity"):
             return json.dumps({"decisions": [{"id": "name_0_5", "decision": "keep"}]})
         if prompt.startswith("List entities"):
-            return json.dumps({"entities": [{"value": "Bob", "label": "name", "reason": "r"}]})
+            return json.dumps({"entities": [{"value": "Tadeo", "label": "name", "reason": "r"}]})
         if prompt.startswith("Make up"):
-            return json.dumps({"replacements": [{"original": "Alice", "label": "name", "synthetic": "Carol"}, {"original": "Bob", "label": "name", "synthetic": "Alice"}]})
+            return json.dumps({"replacements": [{"original": "Mirela", "label": "name", "synthetic": "Carol"}, {"original": "Tadeo", "label": "name", "synthetic": "Mirela"}]})
         if prompt.startswith("For each entity: sens"):
-            return json.dumps({"sensitivity_disposition": [{"id": 9, "source": "t", "category": "direct", "sensitivity": "high", "entity_label": "name", "entity_value": "Alice", "protection_reason": "r", "protection_method_suggestion": "replace", "combined_risk_level": "high"}]})
+            return json.dumps({"sensitivity_disposition": [{"id": 9, "source": "t", "category": "direct", "sensitivity": "high", "entity_label": "name", "entity_value": "Mirela", "protection_reason": "r", "protection_method_suggestion": "replace", "combined_risk_level": "high"}]})
         if prompt.startswith("Ask a question"):
             return json.dumps({"items": [{"id": 1, "aspect": "a", "importance": "critical", "question": "who?", "reference_answer": "x"}]})
         if prompt.startswith("Rewrite again"):
             return json.dumps({"rewritten_text": "Somebody met somebody."})
         if prompt.startswith("Rewrite the text"):
-            return json.dumps({"rewritten_text": "Alice met somebody."})
-        if prompt.startswith("Answer") and "deduced" in prompt:
-            return json.dumps({"answers": [{"id": 1, "answer": "yes" if "Alice met" in prompt else "no", "confidence": 0.9, "reason": "r", "evidence": []}]})
+            return json.dumps({"rewritten_text": "Mirela met somebody."})
+        if prompt.startswith("Answer") and "stranger" in prompt:
+            return json.dumps({"answers": [{"id": 1, "answer": "yes" if "Mirela met" in prompt else "no", "confidence": 0.9, "reason": "r", "evidence": []}]})
         if prompt.startswith("Score"):
             return json.dumps({"items": [{"id": 1, "score": 0.8, "reason": "r"}]})
         if prompt.startswith("Judge"):
             return json.dumps({"all_valid": True, "items": []})
-        if "Alice met Bob." in prompt and len(prompt) < 40:
-            return json.dumps({"entities": [{"text": "Alice", "label": "name", "start": 0, "end": 5, "score": 0.9}]})
+        if "Mirela met Tadeo." in prompt and len(prompt) < 40:
+            return json.dumps({"entities": [{"text": "Mirela", "label": "name", "start": 0, "end": 6, "score": 0.9}]})
         return "{}"
 
     return call
@@ -58,7 +58,7 @@ def scripted():
 def test_redacting_a_table(spark, people):
     got = Engine(spark).run(Config(replace=Redact()), Input(people))
     assert got.frame.columns == ["id", "text", "final_entities", "text_with_spans", "text_replaced"] or set(got.frame.columns) >= {"id", "text", "text_replaced"}
-    assert {r.id: r.text_replaced for r in got.frame.collect()} == {1: "Alice met Bob.", 2: "Nobody here.", 3: "mail [REDACTED_EMAIL] now"}
+    assert {r.id: r.text_replaced for r in got.frame.collect()} == {1: "Mirela met Tadeo.", 2: "Nobody here.", 3: "mail [REDACTED_EMAIL] now"}
     assert "<" in show(got.trace, 0) and got.failed.count() == 0
     assert got.metrics().agg(F.sum("final_entity_count")).first()[0] == 1
 
