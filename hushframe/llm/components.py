@@ -25,7 +25,7 @@ def forest(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
         label = new
 
 
-def components(edges: DataFrame, limit: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """node, component (the smallest node connected with it) for every node of an edge.
 
     ``edges``: columns a, b (long). Large and small stars alternate: each node's
@@ -38,7 +38,7 @@ def components(edges: DataFrame, limit: int = 60) -> DataFrame:
     low = F.least("a", "b").alias("a")
     now = written(edges.select(low, F.greatest("a", "b").alias("b")).filter("a < b").distinct(), "edges")
     mark = _mark(now)
-    for _ in range(limit):
+    while True:
         now = written(_small_star(_large_star(now)), "edges")
         before, mark = mark, _mark(now)
         if mark == before:

@@ -4,10 +4,12 @@ Bands and rows are chosen for a target recall at the least similarity. Documents
 are dealt by the hashes of their bands; pairs that share a band are verified on
 their full n-gram sets, so no pair below the limit is ever linked.
 
-Documents with the same n-gram set are one class and take part once. A pair that
-shares several bands is looked at in the first one only. Pairs are never put out:
-a task gives each class its number of links and a spanning forest of them. Large
-buckets are cut into blocks whose pairs different tasks verify.
+Documents with the same n-gram set are one class and take part once. Large buckets
+are cut into blocks, and pairs of blocks are dealt to tasks. A pair that shares
+several bands belongs to the first one: tasks first look, on band hashes alone, which
+members of a pair of blocks have such a pair there, and only these members' texts are
+sent and their full n-gram sets compared. Pairs are never put out: a task gives each
+class its number of links and a spanning forest of them.
 """
 
 from __future__ import annotations
@@ -28,20 +30,23 @@ from .components import components, forest
 
 #: Words of an n-gram; least similarity (as a fraction, exactly); recall aimed at there; most hashes.
 WORDS, LEAST, RECALL, MOST_HASHES, SEED = 5, (4, 5), 0.9995, 128, 5
-#: Members and set bytes of a block of a bucket; members up to which a bucket's pairs are looked at before sets are fetched.
-BLOCK, BLOCK_BYTES, FIRST_LOOK = 1024, 16 << 20, 3000
+#: Members and set bytes of a block of a bucket.
+BLOCK, BLOCK_BYTES = 512, 16 << 20
 #: Ids up to which those of colliding classes are broadcast (16 MB); beyond, documents are joined by exchange.
 BROADCAST_IDS = 2_000_000
 
 
 def choose_bands(similarity: float, recall: float, most: int = MOST_HASHES) -> tuple[int, int]:
-    """Bands and rows: the most rows (fewest false candidates) that reach the recall with ``most`` hashes."""
+    """Bands and rows: the most rows (fewest false candidates) that reach the recall with ``most`` hashes.
+
+    Raises ValueError where no number of rows does.
+    """
     for rows in range(most, 0, -1):
         miss = 1 - similarity**rows
         bands = 1 if miss <= 0 else math.ceil(math.log(1 - recall) / math.log(miss)) if miss < 1 else most + 1
         if bands * rows <= most:
             return max(1, bands), rows
-    return most, 1
+    raise ValueError(f"{most} hashes can't reach a recall of {recall} at a similarity of {similarity}")
 
 
 class Words(dict):
@@ -153,34 +158,34 @@ def _first_common(a: np.ndarray, b: np.ndarray, band: int) -> np.ndarray:
 
 
 def _needed(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Members of buckets that have a pair to verify there."""
-    for frame in whole_groups(frames, ["bucket"]):
-        cuts = _edges_of(frame, ["bucket"])
+    """Members of pairs of blocks that have a pair there whose first common band this is."""
+    keys = ["bucket", "i", "j"]
+    for frame in whole_groups(frames, keys):
+        cuts = _edges_of(frame, keys)
         keep = np.zeros(len(frame), bool)
-        bands = np.stack(frame["bands"].to_numpy())
-        which = frame["band"].to_numpy()
+        which, block = frame["band"].to_numpy(), frame["block"].to_numpy()
+        left, right = frame["i"].to_numpy(), frame["j"].to_numpy()
+        bands = frame["before"].to_numpy()
         for lo, hi in zip(cuts, cuts[1:], strict=False):
-            if hi - lo > FIRST_LOOK:
-                keep[lo:hi] = True
-                continue
-            mine, band = bands[lo:hi], int(which[lo])
-            if band == 0 and hi - lo > 1:
-                keep[lo:hi] = True
-                continue
-            for k in range(len(mine) - 1):
-                fresh = ~(mine[k + 1 :, :band] == mine[k, :band]).any(1)
-                if fresh.any():
+            mine = np.stack(bands[lo:hi])
+            one, other = np.flatnonzero(block[lo:hi] == left[lo]), np.flatnonzero(block[lo:hi] == right[lo])
+            for k in one:
+                rest = other[other > k] if left[lo] == right[lo] else other
+                fresh = rest[_first_common(mine[rest], mine[k : k + 1], int(which[lo]))]
+                if len(fresh):
                     keep[lo + k] = True
-                    keep[lo + k + 1 : hi] |= fresh
-        yield frame.loc[keep, ["bucket", "band", "rep", "n"]]
+                    keep[lo + fresh] = True
+        yield frame[keep]
 
 
-def _sets(n: int):
+def _keyed(n: int):
+    """Texts with the keys of their sets."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            grams = [shingles(x or b"", n).tobytes() for x in batch.column(1).cast(pa.binary()).to_pylist()]
-            h1, h2 = np.array([set_key(g) for g in grams], np.int64).reshape(-1, 2).T
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1), pa.array(h2), pa.array(grams, pa.binary())], names=["rep", "h1", "h2", "grams"])
+            keys = [set_key(shingles(x or b"", n).tobytes()) for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            h1, h2 = np.array(keys, np.int64).reshape(-1, 2).T
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(h1), pa.array(h2), batch.column(1)], names=["rep", "h1", "h2", "text"])
 
     return run
 
@@ -212,7 +217,7 @@ def intersections(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _verify(top: int, bottom: int):
+def _verify(top: int, bottom: int, n: int):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         keys = ["bucket", "i", "j"]
         for frame in whole_groups(frames, keys):
@@ -220,8 +225,8 @@ def _verify(top: int, bottom: int):
             reps, mult = frame["rep"].to_numpy(), frame["mult"].to_numpy()
             links, left, right = np.zeros(len(frame), np.int64), [], []
             for lo, hi in zip(cuts, cuts[1:], strict=False):
-                sets = [np.frombuffer(g, np.uint64) for g in frame["grams"].iloc[lo:hi]]
-                bands = np.stack(frame["bands"].iloc[lo:hi].to_numpy())
+                sets = [shingles(x.encode(), n) for x in frame["text"].iloc[lo:hi]]
+                bands = np.stack(frame["before"].iloc[lo:hi].to_numpy())
                 size = np.array([len(s) for s in sets])
                 common = intersections(sets).astype(np.int64)
                 # inter / union >= top / bottom in whole numbers
@@ -268,28 +273,27 @@ def join(docs: DataFrame, key: str = "doc_id", text: str = "text", n: int = WORD
     # a class's rows are counted in each task before they are exchanged
     classes = written(usable.groupBy("h1", "h2").agg(F.min("_id").alias("rep"), F.count(F.lit(1)).alias("mult"), F.first("n").alias("n"), F.first("bands").alias("bands")), "ngram-classes")
 
-    each = classes.select("rep", F.posexplode("bands").alias("band", "hash")).select("rep", "band", F.xxhash64("band", "hash").alias("bucket"))
-    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m")).filter("m > 1").select("bucket")
-    members = written(each.join(shared, "bucket"), "ngram-members")
-    body = classes.select("rep", "n", "mult", "bands")
-    looked = members.join(body, "rep").select("bucket", "band", "rep", "n", "bands")
-    parts = looked.repartition(_parts(members), "bucket").sortWithinPartitions("bucket", "rep")
-    needed = written(parts.mapInPandas(_needed, "bucket long, band int, rep long, n long"), "ngram-needed")
+    each = classes.select("rep", "n", F.posexplode("bands").alias("band", "hash")).select("rep", "n", "band", F.xxhash64("band", "hash").alias("bucket"))
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int")
+    shared = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("m"), blocks.alias("blocks")).filter("m > 1").select("bucket", "blocks")
+    members = written(each.select("rep", "band", "bucket").join(shared, "bucket"), "ngram-members")
+    # of a class, what a pair of blocks needs: the bands before this one, and how its set is known
+    body = classes.select("rep", "h1", "h2", "mult", "bands")
+    placed = members.join(body, "rep").withColumn("before", F.slice("bands", 1, F.col("band"))).drop("bands")
+    placed = placed.withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = placed.select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "band", "block", "rep", "h1", "h2", "mult", "before")
+    parts = _parts(members)
+    looked = dealt.filter("band > 0").repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep").mapInPandas(_needed, dealt.schema)
+    needed = written(dealt.filter("band = 0").union(looked), "ngram-needed")
 
     ids = needed.select("rep").distinct()
     ids = F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
     texts = docs.select(docs[key].cast("long").alias("rep"), docs[text].alias("_text")).join(ids, "rep", "left_semi")
     # where rows repeat a key with other texts, the class's own is told by its set's key
-    grams = texts.mapInArrow(_sets(n), "rep long, h1 long, h2 long, grams binary").join(classes.select("rep", "h1", "h2", "mult", "bands"), ["rep", "h1", "h2"]).dropDuplicates(["rep", "h1", "h2"])
-
-    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK), F.ceil(8 * F.sum("n") / BLOCK_BYTES)).cast("int")
-    sizes = needed.groupBy("bucket").agg(blocks.alias("blocks"))
-    placed = needed.select("bucket", "band", "rep").join(sizes, "bucket").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
-    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = other.select("bucket", "band", "rep", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    full = dealt.join(grams, "rep").select("bucket", "i", "j", "band", "rep", "mult", "block", "bands", "grams")
-    ready = full.repartition(_parts(members), "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
-    found = written(ready.mapInPandas(_verify(*least), "a long, b long, n long"), "ngram-links")
+    texts = texts.mapInArrow(_keyed(n), "rep long, h1 long, h2 long, text string").groupBy("rep", "h1", "h2").agg(F.first("text").alias("text"))
+    full = needed.join(texts, ["rep", "h1", "h2"]).select("bucket", "i", "j", "band", "rep", "mult", "block", "before", "text")
+    ready = full.repartition(parts, "bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "rep")
+    found = written(ready.mapInPandas(_verify(*least, n), "a long, b long, n long"), "ngram-links")
 
     counts = found.filter("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("links"))
     joined = components(found.filter("b is not null").select("a", "b")).withColumnRenamed("node", "rep")
@@ -308,15 +312,20 @@ def _parts(members: DataFrame) -> int:
 
 
 def representatives(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """``docs`` with one row of each class; rows that repeat a kept key are reduced to one."""
+    """``docs`` with one row of each class; rows that repeat a kept key are reduced to one.
+
+    Whole rows are exchanged once, by key, at every size of the table: the keys that
+    stay may be as many as the rows, so they are never broadcast. Rows with a null
+    key are classes of their own and stay without an exchange.
+    """
     from .common import apart
 
     theirs, (docs, (key, text)) = docs.columns, apart(docs, key, text)
-    decided = join(docs, key, text, **options).filter("kept").select(F.col(key).alias("_kept"))
+    decided = join(docs, key, text, **options).filter(F.col("kept") & F.col(key).isNotNull()).select(F.col(key).alias("_kept"))
     once = written(decided.groupBy("_kept").agg(F.count(F.lit(1)).alias("_rows")), "ngram-kept")
-    out = docs.join(once, docs[key].eqNullSafe(F.col("_kept")), "left_semi")
-    repeats = once.filter("_rows > 1 and _kept is not null").select("_kept")
+    out = docs.join(once.hint("shuffle_hash"), docs[key] == F.col("_kept"), "left_semi")
+    repeats = once.filter("_rows > 1").select("_kept")
     if not repeats.isEmpty():
         more = out.join(repeats, out[key] == F.col("_kept"), "left_semi").dropDuplicates([key])
         out = out.join(repeats, out[key] == F.col("_kept"), "left_anti").unionByName(more)
-    return out.toDF(*theirs)
+    return out.unionByName(docs.filter(F.col(key).isNull())).toDF(*theirs)
