@@ -9,13 +9,16 @@ without those before it, and all of them at once by array operations.
 
 from __future__ import annotations
 
+import re
 import struct
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
@@ -207,6 +210,8 @@ def records(data: bytes) -> Iterator[tuple[int, list[int | None], np.ndarray, np
 PIECES = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 #: Entries of a generation of a cache.
 WORDS, PIECES_HELD = 450_000, 600_000
+#: Shards at most; what null keys count as.
+MOST_SHARDS, NULL_KEY = 1 << 16, -(1 << 63)
 
 
 class Cache(dict):
@@ -228,38 +233,61 @@ class Cache(dict):
         return found
 
 
+def _byte_letters() -> dict[int, str]:
+    """Byte -> the character by which the vocabulary writes it: printable ones as they are, the others from U+0100 on."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in plain]
+    return {**{b: chr(b) for b in plain}, **{b: chr(256 + i) for i, b in enumerate(others)}}
+
+
 class PieceCache(Cache):
-    """Piece -> its ids as bytes, by the library."""
+    """Lower-case piece -> its ids as bytes, by the library's model alone."""
 
     limit = PIECES_HELD
 
-    def __init__(self, tokenizer):
+    def __init__(self, tokenizer, kind: str):
         super().__init__()
-        self.encode = tokenizer.encode
+        self.merge, self.kind, self.letters = tokenizer.model.tokenize, kind, _byte_letters()
 
     def make(self, piece: str) -> bytes:
-        return np.array(self.encode(piece, add_special_tokens=False).ids, np.uint32).tobytes()
+        if not piece.isascii() or not piece.isprintable():
+            piece = piece.encode().decode("latin-1").translate(self.letters)
+        return array(self.kind, [t.id for t in self.merge(piece)]).tobytes()
 
 
 class WordCache(Cache):
-    """Word (no white space) -> its ids as bytes.
+    """Word (no white space) -> its ids as bytes, and texts of Latin-1 characters.
 
-    A word that is new is lower-cased and cut as the library would, and its pieces
-    looked up; so "the", "The" and "the," ask the library once. A word that has a
-    character above U+012F, where lower-casing and composing take more care, or that may
-    have a special token, goes to the library whole.
+    Such a text is lower-cased and cut into pieces as the library would, and each piece
+    that is new goes to the library's model once. Other texts are cut at spaces: a word
+    that has a character above U+012F, where lower-casing and composing take more care,
+    or that may have a special token, goes through the whole library.
     """
 
     def __init__(self, tokenizer):
         import regex
 
         super().__init__()
-        self.pieces, self.cut = PieceCache(tokenizer), regex.compile(PIECES).findall
+        #: ids of two bytes where the vocabulary allows it
+        self.kind = "H" if tokenizer.get_vocab_size() <= 1 << 16 else "I"
+        self.pieces, self.cut, self.encode = PieceCache(tokenizer, self.kind), regex.compile(PIECES).findall, tokenizer.encode
+        # the same with the classes of Latin-1 written out, which is quicker
+        letters, numbers, white = ("".join(re.escape(chr(c)) for c in range(256) if regex.match(name, chr(c))) for name in (r"\p{L}", r"\p{N}", r"\s"))
+        self.cut_plain = re.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|[{letters}]+|[{numbers}]|[^{white}{letters}{numbers}]+").findall
+
+    def text(self, text: str) -> bytes:
+        if "<|" not in text:
+            try:
+                text.isascii() or text.encode("latin-1")
+                return b"".join(map(self.pieces.__getitem__, self.cut_plain(text.lower())))
+            except UnicodeEncodeError:
+                pass
+        return b"".join(map(self.__getitem__, text.replace("\n", " ").split(" ")))
 
     def make(self, word: str) -> bytes:
         if (word.isascii() or max(word) < "\u0130") and "<|" not in word:
             return b"".join(map(self.pieces.__getitem__, self.cut(word.lower())))
-        return self.pieces[word]
+        return array(self.kind, self.encode(word, add_special_tokens=False).ids).tobytes()
 
 
 _tokenizers: dict[str, WordCache] = {}
@@ -276,25 +304,36 @@ def words_of(path: str) -> WordCache:
     return _tokenizers[path]
 
 
-def encode_texts(texts: list[str | None], path: str) -> list[bytes]:
-    """Ids (32 bits each) of each text, for a tokenizer that lower-cases and drops white space.
+def encode_texts(texts: list[str | None], path: str) -> tuple[str, list[bytes]]:
+    """The kind of whole number (of array), and the ids of each text, for a tokenizer that lower-cases and drops white space.
 
-    Such a tokenizer never looks across white space, so texts are cut at spaces and
-    new lines and each distinct piece goes to the library once per cache.
+    Such a tokenizer never looks across white space, so texts can be cut into pieces and
+    each distinct piece goes to the library once per cache.
     """
-    get = words_of(path).__getitem__
-    return [b"".join(map(get, (x or "").replace("\n", " ").split(" "))) for x in texts]
+    words = words_of(path)
+    return words.kind, [words.text(x or "") for x in texts]
 
 
 def bounds(docs: DataFrame, key: str, rows: int) -> list[int]:
-    """Keys at which shards of about ``rows`` documents begin; one for each shard but the first."""
-    n = docs.count()
-    shards = max(1, -(-n // rows))
-    if shards == 1:
-        return []
+    """Keys at which shards of about ``rows`` documents begin, in order; one for each shard but the first.
+
+    There are at most MOST_SHARDS; beyond, shards grow with the table (a task streams
+    its shard). A key that fills several shards is there as often. Null keys count as
+    the least.
+    """
+    n, known = docs.agg(F.count(F.lit(1)), F.count(key)).first()
+    shards = max(1, min(MOST_SHARDS, -(-n // rows)))
+    nulls = int(shards * (n - known) // max(1, n))
+    some = shards - nulls
     # probabilities are spaced so that the sketch's error stays below a quarter of a shard
-    got = docs.stat.approxQuantile(key, [i / shards for i in range(1, shards)], 0.25 / shards)
-    return sorted({int(x) for x in got})
+    got = docs.stat.approxQuantile(key, [i / some for i in range(1, some)], 0.25 / some) if some > 1 else []
+    return [NULL_KEY] * nulls + sorted(int(x) for x in got)
+
+
+def shard_of(edges: np.ndarray, keys: np.ndarray, spread: np.ndarray) -> np.ndarray:
+    """Shard of each key; of a key that fills several, by ``spread`` (from 0 to below 1)."""
+    left, right = np.searchsorted(edges, keys, side="left"), np.searchsorted(edges, keys, side="right")
+    return np.where(right > left, left + 1 + ((right - left) * spread).astype(np.int64), left).astype(np.int32)
 
 
 def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", key: str = "doc_id", end_id: int = 2, shard_rows: int = 4096, record_ids: int = 1 << 20) -> None:
@@ -302,23 +341,24 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", ke
 
     Each text is encoded by the tokenizers library (no special tokens), ``end_id`` is
     appended. Documents are dealt by ranges of the key into shards, one file each;
-    only the packed ids are exchanged. Within a key, repeated rows are ordered by
-    their ids; a null key comes first, a null text is empty. Spark's own writer
+    only the packed ids are exchanged. Within a key, repeated rows are ordered by a
+    hash of their ids and by them, and fill several shards if they are many; a null
+    key comes first, a null text is empty. Spark's own writer
     commits the files, so a retried task leaves no second copy.
     """
     edges = bounds(docs, key, shard_rows)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cuts = np.array(edges, np.int64)
-        end = np.array([end_id], np.uint32).tobytes()
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 part = batch.slice(at, 512)
-                ids = [x + end for x in encode_texts(part.column(1).to_pylist(), tokenizer)]
+                kind, ids = encode_texts(part.column(1).to_pylist(), tokenizer)
+                size, end = kind.encode(), array(kind, [end_id]).tobytes()
                 keys = part.column(0)
-                shard = np.searchsorted(cuts, keys.fill_null(-(1 << 63)).to_numpy(), side="right").astype(np.int32)
-                small = [_narrow(x) for x in ids]
-                yield pa.RecordBatch.from_arrays([pa.array(shard), keys, pa.array(small, pa.binary())], names=["shard", "key", "ids"])
+                order = np.array([xxhash.xxh3_64_intdigest(x) >> 1 for x in ids], np.int64)
+                shard = shard_of(cuts, keys.fill_null(NULL_KEY).to_numpy(zero_copy_only=False), order / 2.0**63)
+                yield pa.RecordBatch.from_arrays([pa.array(shard), keys, pa.array(order), pa.array([size + x + end for x in ids], pa.binary())], names=["shard", "key", "order", "ids"])
 
     def pack_shard(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         keys, parts, held, shard = [], [], 0, None
@@ -329,39 +369,29 @@ def write_ids(docs: DataFrame, tokenizer: str, path: str, text: str = "text", ke
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], names=["data"])
 
         for batch in batches:
-            for s, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_pylist(), strict=True):
+            for s, k, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3).to_pylist(), strict=True):
                 if keys and (s != shard or held >= record_ids):
                     yield flush()
                     keys, parts, held = [], [], 0
                 shard = s
                 keys.append(k)
-                parts.append(_wide(ids))
+                parts.append(np.frombuffer(ids, ids[:1].decode(), offset=1))
                 held += len(parts[-1])
         if keys:
             yield flush()
 
     picked = docs.select(docs[key].cast("long").alias("key"), docs[text].alias("text"))
-    coded = picked.mapInArrow(encode, "shard int, key long, ids binary")
-    dealt = coded.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "ids")
+    coded = picked.mapInArrow(encode, "shard int, key long, order long, ids binary")
+    dealt = coded.repartitionById(len(edges) + 1, F.col("shard")).sortWithinPartitions("shard", "key", "order", "ids")
     packed = dealt.mapInArrow(pack_shard, "data binary")
     packed.select(F.col("data").cast("string").alias("value")).write.option("lineSep", "\n").text(path)
 
 
-def _narrow(ids: bytes) -> bytes:
-    """16 bits each where that does, after a byte that says so."""
-    values = np.frombuffer(ids, np.uint32)
-    return b"\x02" + values.astype(np.uint16).tobytes() if len(values) and values.max() < 65536 else b"\x04" + ids
-
-
-def _wide(ids: bytes) -> np.ndarray:
-    return np.frombuffer(ids, np.uint16 if ids[:1] == b"\x02" else np.uint32, offset=1)
-
-
 def read_ids(docs_session, path: str, digest: bool = False) -> DataFrame:
     """Documents of the files in ``path``: key, start, n_tokens, and ids or (digest) ids_crc32.
 
-    start: ids of all documents before it. Files are decoded once, each shard's
-    total (one row a shard) gives the starts.
+    start: ids of all documents before it. Files are decoded once, the shards'
+    totals (one row a shard) give the starts.
     """
     spark = docs_session
 
@@ -384,12 +414,9 @@ def read_ids(docs_session, path: str, digest: bool = False) -> DataFrame:
     kind = "long" if digest else "array<long>"
     files = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).select("content")
     rows = common.written(files.mapInArrow(run, f"shard int, place long, key long, n_tokens long, ids {kind}"), "ids-read")
-    totals = {r.shard: r.n for r in rows.groupBy("shard").agg(F.sum("n_tokens").alias("n")).collect()}
-    before, total = [], 0
-    for shard in sorted(totals):
-        before.append((shard, total))
-        total += totals[shard]
-    starts = spark.createDataFrame(before, "shard int, before long")
-    # one row a shard: as many as files; broadcast below Spark's own threshold, else joined by exchange
+    # one row a shard, of which there are at most MOST_SHARDS
+    before = Window.orderBy("shard").rowsBetween(Window.unboundedPreceding, -1)
+    totals = rows.groupBy("shard").agg(F.sum("n_tokens").alias("total"))
+    starts = F.broadcast(totals.select("shard", F.coalesce(F.sum("total").over(before), F.lit(0)).alias("before")))
     out = rows.join(starts, "shard").select("key", (F.col("before") + F.col("place")).alias("start"), "n_tokens", "ids")
     return out.withColumnRenamed("ids", "ids_crc32") if digest else out
