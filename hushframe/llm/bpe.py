@@ -13,7 +13,10 @@ leftmost on a tie, is the lowest of theirs too. A crossing merge would therefore
 also occur in the pair alone, against its being stable. The converse is the same
 argument read backwards.) So a join only has to look at its seam: it re-encodes a
 window of boundary tokens and grows it on each side until the pair at that edge of
-the window is stable; tokens outside can't change any more.
+the window is stable; tokens outside can't change any more. Where the window grows to
+the right only (a run of one character, whose remainder moves to the end), the tokens
+it has made and whose pairs are stable are settled and left behind, so that a long
+match costs its length times the depth of the tree, not its square.
 """
 
 from __future__ import annotations
@@ -21,6 +24,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterator
+from heapq import heapify, heappop, heappush
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +32,8 @@ from pyspark.sql import DataFrame
 
 #: Bytes up to which a string is a leaf of the tree; entries at which a cache starts anew.
 LEAF_BYTES, CACHE = 8, 300_000
+#: Bytes up to which merging looks through all pairs each time; longer strings take a heap.
+SHORT_BYTES = 48
 
 
 class Bpe:
@@ -40,6 +46,7 @@ class Bpe:
         self.text_of = {i: str(i) for i in self.token}
         self._stable: dict[tuple[bytes, bytes], bool] = {}
         self._merged: dict[bytes, list[bytes]] = {}
+        self._windows: dict[bytes, list[bytes]] = {}
         self._pieces = _Pieces(self)
 
     @classmethod
@@ -50,6 +57,8 @@ class Bpe:
 
     def merge(self, data: bytes) -> list[bytes]:
         """Merges the pair of the lowest rank, leftmost first, until none has a rank."""
+        if len(data) > SHORT_BYTES:
+            return self._merge_long(data)
         parts = [data[i : i + 1] for i in range(len(data))]
         get = self.ranks.get
         pairs = [get(a + b, 1 << 60) for a, b in zip(parts, parts[1:], strict=False)]
@@ -66,14 +75,40 @@ class Bpe:
                 pairs[i] = get(parts[i] + parts[i + 1], 1 << 60)
         return parts
 
+    def _merge_long(self, data: bytes) -> list[bytes]:
+        """The same with a heap of pairs (by rank, then place) and ends of parts, for many bytes."""
+        get, n = self.ranks.get, len(data)
+        end, before = list(range(1, n + 1)), list(range(-1, n - 1))
+        heap = [(rank, i, i + 2) for i in range(n - 1) if (rank := get(data[i : i + 2])) is not None]
+        heapify(heap)
+        while heap:
+            _, i, stop = heappop(heap)
+            # a pair is as it was pushed if its first part still ends where the second began, and that one at stop
+            middle = end[i]
+            if middle < 0 or middle >= n or middle == stop or end[middle] != stop:
+                continue
+            end[i], end[middle] = stop, -1
+            if stop < n:
+                before[stop] = i
+                if (rank := get(data[i : end[stop]])) is not None:
+                    heappush(heap, (rank, i, end[stop]))
+            if (first := before[i]) >= 0 and (rank := get(data[first:stop])) is not None:
+                heappush(heap, (rank, first, stop))
+        out, i = [], 0
+        while i < n:
+            out.append(data[i : end[i]])
+            i = end[i]
+        return out
+
     def merged(self, data: bytes) -> list[bytes]:
         """``merge`` with a cache of short strings; not to be changed by callers."""
-        if (known := self._merged.get(data)) is None:
+        held, limit = (self._merged, CACHE) if len(data) <= 16 else (self._windows, CACHE // 16)
+        if (known := held.get(data)) is None:
             known = self.merge(data)
-            if len(data) <= 16:
-                if len(self._merged) >= CACHE:
-                    self._merged.clear()
-                self._merged[data] = known
+            if len(data) <= 256:
+                if len(held) >= limit:
+                    held.clear()
+                held[data] = known
         return known
 
     def stable(self, left: bytes, right: bytes) -> bool:
@@ -85,20 +120,19 @@ class Bpe:
         return known
 
     def join(self, left: list[bytes], right: list[bytes]) -> list[bytes]:
-        """The encoding of the bytes of both: windows at the seam grow until both edges are stable."""
+        """The encoding of the bytes of both: a window at the seam grows until both of its edges are stable."""
         if not left or not right or self.stable(left[-1], right[0]):
             return left + right
-        i, j, step_i, step_j = len(left) - 1, 1, 1, 1
-        while True:
-            window = self.merged(b"".join(left[i:]) + b"".join(right[:j]))
-            open_left = i > 0 and not self.stable(left[i - 1], window[0])
-            open_right = j < len(right) and not self.stable(window[-1], right[j])
-            if not open_left and not open_right:
-                return left[:i] + window + right[j:]
-            if open_left:
-                i, step_i = max(0, i - step_i), step_i * 2
-            if open_right:
-                j, step_j = min(len(right), j + step_j), step_j * 2
+        settled, at = list(left), 0
+        while settled and at < len(right) and not self.stable(settled[-1], right[at]):
+            window, step = self.merged(settled.pop() + right[at]), 1
+            at += 1
+            while settled and not self.stable(settled[-1], window[0]):
+                window = self.merged(b"".join(settled[-step:]) + b"".join(window))
+                del settled[-step:]
+                step *= 2
+            settled += window
+        return settled + right[at:]
 
     def reduce(self, data: bytes) -> list[bytes]:
         if len(data) <= self.leaf_bytes:
@@ -189,7 +223,8 @@ def round_trip(docs: DataFrame, path: str, pattern: str, text: str = "text", key
     Columns: ``key``, n_tokens, ids_sha256, decoded_sha256 and, with ``with_ids``,
     ids (array<int>). Rows are independent, so nothing is exchanged: a lost
     executor costs its running tasks only. A null text counts as empty; repeated
-    rows give repeated rows; other columns of ``docs`` are ignored.
+    rows give repeated rows; other columns of ``docs`` are ignored. A long match (a run
+    of one character, say) takes time in proportion to its length and the tree's depth.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
