@@ -2,15 +2,24 @@
 
 A page is cut into blocks of text. A linear classifier over a block's ancestors,
 words, links and punctuation gives what it costs to call the block content or
-boilerplate: the capacities to the two terminals. Blocks next to each other, and
-blocks of one parent, are joined by edges that cost their capacity if the labels
-differ. The minimum cut, found by augmenting paths, is the cheapest labelling.
+boilerplate: the capacities to the two terminals. Smoothness edges cost their capacity
+if the labels of their ends differ: blocks next to each other are joined by one that is
+the weaker the further apart they are in the tree of elements, and blocks whose
+elements follow each other below one parent by another. A maximum flow finds the
+cheapest labelling: what a block of few words says for itself weighs less than its
+edges, so it goes with the blocks around it.
+
+The edges are nested arcs over the row of blocks, so there is always a block with two
+neighbours at most. Its flow is settled in closed form (it becomes capacities of its
+neighbours and of one edge between them), and the next one's after it: a page takes
+time in proportion to its blocks. In other graphs, what is left is solved by
+augmenting paths.
 """
 
 from __future__ import annotations
 
 import re
-from collections import deque
+from collections import Counter, deque
 from collections.abc import Iterator
 from html import unescape
 
@@ -25,39 +34,47 @@ CLOSES_P = BLOCKS - {"html", "head", "body", "title", "option", "optgroup"}
 SIBLINGS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
 LISTS = frozenset("ul ol menu dl table select body html article section div".split())
 
-#: Weights of the classifier, in thousandths; positive speaks for content.
-IN_TAG = {"article": 2500, "main": 2000, "nav": -6000, "footer": -6000, "aside": -6000, "form": -6000, "header": -4000, "menu": -6000, "head": -20000, "select": -6000, "button": -6000, "dialog": -6000, "label": -3000, "figure": -200, "fieldset": -4000}
-OWN_TAG = {"p": 900, "h1": 700, "h2": 500, "h3": 500, "h4": 400, "blockquote": 900, "pre": 700, "td": -200, "li": -300, "dd": 200, "dt": 0}
-BAD_NAME, GOOD_NAME = -6000, 1200
-LENGTH, LINKS, SENTENCE, BIAS = 400, -4000, 500, -900
-#: Capacities between blocks next to each other, and between blocks of one parent that follow each other.
-NEXT, SAME_PARENT = 300, 450
+#: Weights of the classifier, in thousandths; positive speaks for content. Pages have no labels: the weights are parameters.
+IN_TAG = {"article": 900, "main": 900, "nav": -3000, "footer": -3000, "aside": -3000, "form": -3000, "header": -2500, "menu": -3000, "head": -20000, "select": -3000, "button": -3000, "dialog": -3000, "label": -1500, "figure": -200, "fieldset": -2000}
+OWN_TAG = {"p": 300, "h1": 500, "h2": 400, "h3": 400, "h4": 300, "blockquote": 300, "pre": 300, "td": -100, "li": -150, "dd": 100, "dt": 0}
+BAD_NAME, GOOD_NAME = -3000, 500
+LENGTH, LINKS, SENTENCE, BIAS = 350, -4000, 400, -1200
+#: Capacities between blocks next to each other (of sibling elements; less by the cube of the distance in the tree), and between blocks of one parent that follow each other.
+NEXT, SAME_PARENT = 450, 450
 #: Words in class, id or role that speak for boilerplate and for content.
 BAD = frozenset("ad ads advert advertisement advertising adbox adslot banner sponsor sponsored promo promoted cookie cookies consent gdpr notice notification alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search form pagination pager legal copyright toc complementary contentinfo dialog".split())
 GOOD = frozenset("article articlebody content main post entry body story text maincontent postcontent entrycontent".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
+#: A quoted value ends where white space, / or > follows its quote; a tag with another quote in it ends at the first >.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']++|=\s*"[^"]{0,4096}+"(?=[\s/>])|=\s*'[^']{0,4096}+'(?=[\s/>])|"[^"]{0,4096}+"(?=[\s/>])|'[^']{0,4096}+'(?=[\s/>]))*+)>|([^>]*)(?:>|\Z))""", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z]+")
 
 
 class Block:
-    __slots__ = ("cost", "parent", "text")
+    """Text, score, and where it hangs: number of its element's parent, depth, and distance in the tree from the block before."""
+
+    __slots__ = ("cost", "depth", "distance", "parent", "text")
 
-    def __init__(self, text: str, cost: int, parent: int):
-        self.text, self.cost, self.parent = text, cost, parent
+    def __init__(self, text: str, cost: int, parent: int, depth: int, distance: int):
+        self.text, self.cost, self.parent, self.depth, self.distance = text, cost, parent, depth, distance
 
 
 class _Node:
-    __slots__ = ("bad", "container", "good", "inherited", "number", "tag")
+    __slots__ = ("container", "depth", "good", "holder", "inherited", "number", "tag", "up")
 
-    def __init__(self, tag: str, number: int, inherited: int, good: bool, container: bool, bad: bool):
-        self.tag, self.number, self.inherited, self.good, self.container, self.bad = tag, number, inherited, good, container, bad
+    def __init__(self, tag: str, number: int, inherited: int, good: bool, container: bool, up: _Node | None):
+        self.tag, self.number, self.inherited, self.good, self.container = tag, number, inherited, good, container
+        block = up is None or tag in BLOCKS
+        #: the nearest element that makes blocks, that one's depth among such, and the one above it
+        self.holder = self if block else up.holder
+        self.depth = (up.depth + 1 if up else 0) if block else up.depth
+        self.up = (up.holder if up else None) if block else up.up
 
 
 def _open(tag: str, attributes: str, parent: _Node, number: int) -> _Node:
-    """What a block below the new element inherits: boilerplate counts once, as does content."""
-    inherited, good, bad = parent.inherited, parent.good, parent.bad
+    """What a block below the new element inherits: content counts once."""
+    inherited, good = parent.inherited, parent.good
     own = IN_TAG.get(tag, 0)
     if tag == "header" and parent.container:
         own = 0  # the article's own heading
@@ -69,34 +86,48 @@ def _open(tag: str, attributes: str, parent: _Node, number: int) -> _Node:
     if own > 0 and not good:
         inherited, good = inherited + own, True
     elif own < 0:
-        inherited, bad = inherited + own, True
-    return _Node(tag, number, inherited, good, parent.container or tag in ("article", "main"), bad)
+        inherited += own
+    return _Node(tag, number, inherited, good, parent.container or tag in ("article", "main"), parent)
 
 
 def blocks(html: str) -> list[Block]:
     """Blocks of text in page order, with their classifier scores."""
     out: list[Block] = []
-    root = _Node("", 0, 0, False, False, False)
+    root = _Node("", 0, 0, False, False, None)
     stack, number, pieces, linked, at, link_depth = [root], 0, [], 0, 0, 0
+    opened: Counter[str] = Counter()
+    # the least depth since the last block, and that block's
+    low, last = 0, 0
 
     def flush() -> None:
-        nonlocal pieces, linked
+        nonlocal pieces, linked, low, last
         text = " ".join(unescape("".join(pieces)).split()) if pieces else ""
         if text:
-            holder = next((n for n in reversed(stack) if n.tag in BLOCKS or not n.tag), root)
+            holder = stack[-1].holder
             shorter = min(len(text), 400)
             score = BIAS + stack[-1].inherited + OWN_TAG.get(holder.tag, 0) + LENGTH * (shorter.bit_length() - 4) + LINKS * min(linked, len(text)) // max(1, len(text))
             if text[-1] in ".!?…:;\"»”)。！？" or ". " in text:
                 score += SENTENCE
-            above = stack[stack.index(holder) - 1].number if holder is not root else 0
-            out.append(Block(text, score, above))
+            low = min(low, holder.depth)
+            out.append(Block(text, score, holder.up.number if holder.up else 0, holder.depth, last + holder.depth - 2 * low))
+            low = last = holder.depth
         pieces, linked = [], 0
 
     def close(depth: int) -> None:
-        nonlocal link_depth
+        nonlocal link_depth, low
         while len(stack) > depth:
-            if stack.pop().tag == "a":
+            tag = stack.pop().tag
+            opened[tag] -= 1
+            if tag == "a":
                 link_depth -= 1
+        low = min(low, stack[-1].depth)
+
+    def innermost(tags: tuple[str, ...]) -> int:
+        """Place of the innermost open element of ``tags`` that no list or section inside it hides, or 0."""
+        if not any(opened[t] for t in tags):
+            return 0
+        depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in tags or stack[i].tag in LISTS), 0)
+        return depth if depth and stack[depth].tag in tags else 0
 
     while at < len(html):
         m = TOKEN.search(html, at)
@@ -110,17 +141,16 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         if not m[2]:
             continue
-        tag = m[2].lower()
+        tag, attributes = m[2].lower(), m[3] if m[3] is not None else m[4]
         if m[1]:
-            depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag), 0)
             if tag in BLOCKS:
                 flush()
-            if depth:
-                close(depth)
+            if opened[tag] > 0:
+                close(next(i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == tag))
             continue
         if tag in RAW:
             end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
-            if not m[3].endswith("/") or tag not in ("svg", "math"):
+            if not attributes.endswith("/") or tag not in ("svg", "math"):
                 at = end.end() if end else len(html)
             if tag in BLOCKS:
                 flush()
@@ -133,36 +163,84 @@ def blocks(html: str) -> list[Block]:
             continue
         if tag in BLOCKS:
             flush()
-            if tag in CLOSES_P:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag == "p" or stack[i].tag in LISTS), 0)
-                if depth and stack[depth].tag == "p":
-                    close(depth)
-            if (kinds := SIBLINGS.get(tag)) is not None:
-                depth = next((i for i in range(len(stack) - 1, 0, -1) if stack[i].tag in kinds or stack[i].tag in LISTS), 0)
-                if depth and stack[depth].tag in kinds:
-                    close(depth)
+            if tag in CLOSES_P and (depth := innermost(("p",))):
+                close(depth)
+            if (kinds := SIBLINGS.get(tag)) is not None and (depth := innermost(kinds)):
+                close(depth)
         number += 1
-        stack.append(_open(tag, m[3], stack[-1], number))
+        stack.append(_open(tag, attributes, stack[-1], number))
+        opened[tag] += 1
         if tag == "a":
             link_depth += 1
     flush()
     return out
 
 
+def smoothness(found: list[Block]) -> list[tuple[int, int, int]]:
+    """Edges (block, block, capacity): nested arcs, so that the graph can be drawn on one side of a line."""
+    edges: list[tuple[int, int, int]] = []
+    open_: list[tuple[int, int, int]] = []
+    for i, b in enumerate(found):
+        if i:
+            edges.append((i - 1, i, 8 * NEXT // max(2, b.distance) ** 3))
+        while open_ and open_[-1][0] > b.depth:
+            open_.pop()
+        if open_ and open_[-1][:2] == (b.depth, b.parent):
+            edges.append((open_.pop()[2], i, SAME_PARENT))
+        open_.append((b.depth, b.parent, i))
+    return edges
+
+
 def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bool]:
     """Whether each node is content in the cheapest labelling (of equal ones, that with the most content).
 
     A node of score s > 0 pays s as boilerplate, of s < 0 pays -s as content; an edge
-    (a, b, c) costs c if its ends differ. Flow is pushed from nodes of positive score
-    to those of negative score along shortest paths until none is left.
+    (a, b, c) costs c if its ends differ. Nodes with two neighbours at most are taken
+    out one by one: the flow through one is known from what its two edges can carry,
+    and leaves scores at the neighbours and an edge between them (which may carry more
+    one way than the other). Augmenting paths solve what is left.
     """
     left = list(scores)
+    # room[a][b]: what is paid if a is content and b isn't
     room: list[dict[int, int]] = [{} for _ in scores]
     for a, b, c in edges:
-        room[a][b] = room[a].get(b, 0) + c
-        room[b][a] = room[b].get(a, 0) + c
+        if a != b:
+            room[a][b] = room[a].get(b, 0) + c
+            room[b][a] = room[b].get(a, 0) + c
+    ready = [i for i in range(len(left)) if len(room[i]) <= 2]
+    gone, taken = [False] * len(left), []
+    while ready:
+        i = ready.pop()
+        if gone[i] or len(room[i]) > 2:
+            continue
+        gone[i] = True
+        near = [(j, out, room[j].pop(i)) for j, out in room[i].items()]
+        taken.append((i, left[i], near))
+        s = left[i]
+        if len(near) == 1:
+            j, out, back = near[0]
+            left[j] += min(out, s) - min(0, s + back)
+        elif near:
+            (j, out_j, back_j), (k, out_k, back_k) = near
+            both, none = min(0, s + back_j + back_k), min(out_j + out_k, s)
+            only_j, only_k = min(out_k, s + back_j), min(out_j, s + back_k)
+            left[j] += only_k - both
+            left[k] += none - only_k
+            if (more := only_j + only_k - both - none) or k in room[j]:
+                room[j][k] = room[j].get(k, 0) + more
+                room[k].setdefault(j, 0)
+        ready += [j for j, _, _ in near if len(room[j]) <= 2]
+    label = _augment(left, room, gone)
+    for i, s, near in reversed(taken):
+        as_content = sum(out for j, out, _ in near if not label[j])
+        label[i] = as_content <= s + sum(back for j, _, back in near if label[j])
+    return label
+
+
+def _augment(left: list[int], room: list[dict[int, int]], gone: list[bool]) -> list[bool]:
+    """Labels of the nodes that aren't gone: flow is pushed from positive to negative scores along shortest paths until none is left."""
     for start in range(len(left)):
-        while left[start] > 0:
+        while not gone[start] and left[start] > 0:
             before, queue, end = {start: start}, deque([start]), -1
             while queue and end < 0:
                 u = queue.popleft()
@@ -183,12 +261,12 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
             while v != start:
                 u = before[v]
                 room[u][v] -= flow
-                room[v][u] += flow
+                room[v][u] = room[v].get(u, 0) + flow
                 v = u
             left[start] -= flow
             left[end] += flow
     # boilerplate: what can still reach a node with room to the sink
-    bad = [x < 0 for x in left]
+    bad = [x < 0 and not g for x, g in zip(left, gone, strict=True)]
     queue = deque(i for i, x in enumerate(bad) if x)
     while queue:
         v = queue.popleft()
@@ -202,21 +280,16 @@ def minimum_cut(scores: list[int], edges: list[tuple[int, int, int]]) -> list[bo
 def extract(html: str | None) -> str:
     """Content blocks of a page, in its order, joined by an empty line."""
     found = blocks(html or "")
-    edges, last = [], {}
-    for i, b in enumerate(found):
-        if i:
-            edges.append((i - 1, i, NEXT))
-        if b.parent in last:
-            edges.append((last[b.parent], i, SAME_PARENT))
-        last[b.parent] = i
-    good = minimum_cut([b.cost for b in found], edges)
+    good = minimum_cut([b.cost for b in found], smoothness(found))
     return "\n\n".join(b.text for b, ok in zip(found, good, strict=True) if ok)
 
 
 def extract_pages(pages: DataFrame, keep: list[str], html: str = "html") -> DataFrame:
     """``keep``, text and n_chars (code points) for every row; a null page has an empty text.
 
-    Rows are independent: nothing is exchanged. Repeated rows give repeated rows.
+    Rows are independent: nothing is exchanged. Repeated rows give repeated rows. Of
+    labellings that cost the same, that with the most content is taken. Pages are
+    taken whole, however long or malformed; time grows in proportion to them.
     """
     fields = [pages.schema[c] for c in keep]
     schema = ", ".join([*(f"`k{i}` {f.dataType.simpleString()}" for i, f in enumerate(fields)), "text string, n_chars long"])
