@@ -6,20 +6,35 @@ from . import mixing, quality
 
 _WORD = r"[^\x20\x09-\x0D]+"
 
-_BINS = {"symbols": ("n_symbols", "word_chars"), "dup_lines": ("n_dup_lines", "n_lines"), "repeats": ("n_repeat_words", "n_words")}
-_BIN = {r: f"case when {b} > 0 then least({quality.BINS}, ({quality.BINS} * {a}) // {b}) else 0 end" for r, (a, b) in _BINS.items()}
+_VALUE = {r: f"case when {b} > 0 then ({u} * {a}) // {b} else 0 end" for r, (a, b, u, _) in quality.RATIOS.items()}
 
 
-def _fence(ratio: str, by: str, name: str) -> str:
-    at = lambda q: f"list_sort(list({_BIN[ratio]}))[cast(ceil({q} * count(*) / 4.0) as integer)]"
-    return f"{at(3)} + {quality.SPREAD} * greatest({at(3)} - {at(2)}, {quality.LEAST_SPREAD[ratio]}) as {name}_{ratio}"
+def _bucket(ratio: str) -> str:
+    cut = f"greatest(length(bin(v_{ratio})) - {quality.BITS}, 0)"
+    return f"((v_{ratio} >> {cut}) << {cut})"
 
 
-def _limits(by: str, name: str) -> str:
+def _quartiles(by: str, name: str) -> str:
+    at = lambda r, q: f"list_sort(list({_bucket(r)}))[cast(ceil({q} * count(*) / 4.0) as integer)]::double as {name}{q}_{r}"
     group = f" group by {by}" if by else ""
-    return f"select {by + ', ' if by else ''}count(*) as {name}_docs, {', '.join(_fence(r, by, name) for r in _BINS)} from m{group}"
+    return f"select {by + ', ' if by else ''}count(*) as {name}_docs, {', '.join(at(r, q) for r in quality.RATIOS for q in (1, 2, 3))} from m where n_words > 0{group}"
 
 
+def _drawn(name: str, q: int, r: str, above: str) -> str:
+    return f"(({name}_docs * {name}{q}_{r} + {quality.DRAWN} * {above}) / ({name}_docs + {quality.DRAWN}))"
+
+
+def _quarter(q: int, r: str) -> str:
+    return _drawn("own", q, r, _drawn("lang", q, r, f"all{q}_{r}"))
+
+
+def _fence(r: str, low: bool) -> str:
+    q, step = (1, f"{_quarter(2, r)} - {_quarter(1, r)}") if low else (3, f"{_quarter(3, r)} - {_quarter(2, r)}")
+    return f"{_quarter(q, r)} {'-' if low else '+'} {quality.SPREAD} * greatest({step}, {quality.RATIOS[r][3]}::double)"
+
+
+_WITHIN = " and ".join([f"v_{r} <= {_fence(r, False)}" for r in quality.RATIOS] + [f"v_{r} >= {_fence(r, True)}" for r in quality.BOTH_SIDES])
+
 OP9 = f"""with t as (select row_number() over () as k, doc_id, lang, source, coalesce(text, '') as text from documents),
   w as (select k, unnest(l) as word, generate_subscripts(l, 1) as p from (select k, regexp_extract_all(text, '{_WORD}') as l from t)),
   g as (select k, p, word || ' ' || lead(word, 1) over o || ' ' || lead(word, 2) over o as tri from w window o as (partition by k order by p)),
@@ -28,11 +43,12 @@ OP9 = f"""with t as (select row_number() over () as k, doc_id, lang, source, coa
   reps as (select k, count(case when inside then 1 end) as n_repeat_words from c group by k),
   lines as (select k, count(*) as n_lines, count(*) - count(distinct line) as n_dup_lines from (select k, unnest(string_split(text, chr(10))) as line from t) where regexp_matches(line, '{_WORD}') group by k),
   words as (select k, count(*) as n_words, cast(sum(length(word)) as bigint) as word_chars from w group by k),
-  m as (select t.k, doc_id, lang, source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
+  p as (select t.k, doc_id, lang, source, coalesce(n_words, 0) as n_words, coalesce(word_chars, 0) as word_chars, cast(len(regexp_extract_all(text, '[#*$%&|<>]')) as bigint) as n_symbols, cast(len(regexp_extract_all(text, '[^A-Za-z\\x20\\x09-\\x0D\\x{{80}}-\\x{{10FFFF}}]')) as bigint) as n_marks, coalesce(n_lines, 0) as n_lines, coalesce(n_dup_lines, 0) as n_dup_lines, coalesce(n_repeat_words, 0) as n_repeat_words
     from t left join words on words.k = t.k left join lines on lines.k = t.k left join reps on reps.k = t.k),
-  l2 as ({_limits("lang, source", "own")}), l1 as ({_limits("lang", "lang")}), l0 as ({_limits("", "all")})
-  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, not failed and {" and ".join(f"{_BIN[r]} <= case when own_docs >= {quality.LEAST} then own_{r} when lang_docs >= {quality.LEAST} then lang_{r} else all_{r} end" for r in _BINS)} as kept
-  from (select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as failed, l2.* exclude (lang, source), l1.* exclude (lang), l0.* from m join l2 on m.lang is not distinct from l2.lang and m.source is not distinct from l2.source join l1 on m.lang is not distinct from l1.lang cross join l0)"""
+  m as (select *, {", ".join(f"{v} as v_{r}" for r, v in _VALUE.items())} from p),
+  l2 as ({_quartiles("lang, source", "own")}), l1 as ({_quartiles("lang", "lang")}), l0 as ({_quartiles("", "all")})
+  select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, failed as base_failed, not failed and coalesce({_WITHIN}, true) as kept
+  from (select m.*, n_words < 50 or 100 * n_repeat_words > 50 * n_words as failed, l2.* exclude (lang, source), l1.* exclude (lang), l0.* from m left join l2 on m.lang is not distinct from l2.lang and m.source is not distinct from l2.source left join l1 on m.lang is not distinct from l1.lang cross join l0)"""
 
 OP10 = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesce(text, ''), '{_WORD}')) as bigint) as size, md5('{mixing.SEED}/' || doc_id) as h from documents),
   s as (select source, cast(sum(size) as bigint) as ss, row_number() over (order by source nulls last) as n from d group by source),
