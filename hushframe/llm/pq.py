@@ -16,6 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -104,8 +105,9 @@ def pairs_in_list(index: Index, centroid: np.ndarray, queries: np.ndarray, base:
 def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", least: float = LEAST_COSINE, sample: int = SAMPLE, per_list: int = PER_LIST, probes: int = PROBES, block: int = BLOCK) -> DataFrame:
     """key, n_links, component_id, kept for every row of ``vectors``.
 
-    Equal vectors are searched once and counted as often as they occur. Lists of
-    more than ``block`` vectors are split into blocks that tasks search on their own.
+    Equal vectors are searched once and counted as often as they occur. The vectors of
+    a list and those that search it are both cut into blocks of about ``block``; tasks
+    search one block by another, however large a list is.
     A pair that two lists can find is counted in one of them. Pairs aren't put out:
     a task gives each vector's number of links and a spanning forest of them.
     Null, zero and non-finite vectors, and those of a length other than the
@@ -124,8 +126,10 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", lea
     if lengths is None:
         return keyed.select(F.col("_id").alias(key), F.lit(0).cast("long").alias("n_links"), F.col("_id").alias("component_id"), F.lit(True).alias("kept"))
     dimension, total = lengths.n, lengths["count"]
-    share = min(1.0, 2 * sample / total)
-    fit_on = classes.filter(F.size("v") == dimension).filter(F.pmod(F.xxhash64("_h1", F.lit(SEED)), F.lit(1 << 30)) < int(share * (1 << 30))).select("rep", "v").limit(sample).collect()
+    # the first by a seeded hash, of all rows alike; a few more than needed are below the bound
+    place = F.pmod(F.xxhash64("_h1", "_h2", F.lit(SEED)), F.lit(1 << 30))
+    near_first = classes.filter((F.size("v") == dimension) & (place < int(min(1.0, 1.1 * sample / total) * (1 << 30)) + 1))
+    fit_on = near_first.orderBy(place, "rep").select("rep", "v").limit(sample).collect()
     fit_on.sort(key=lambda r: r.rep)
     lists = max(1, min(sample // 8, total // per_list))
     index = Index.fit(unit(np.array([r.v for r in fit_on] or [[1.0] * dimension])), lists)
@@ -133,11 +137,11 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", lea
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             near = np.full((batch.num_rows, min(probes, len(index.centroids))), -1, np.int64)
-            size = np.array([len(v) for v in batch.column(2).to_pylist()])
+            size = pc.list_value_length(batch.column(2)).to_numpy(zero_copy_only=False)
             mine = np.flatnonzero(size == dimension)
             if len(mine):
-                x = unit(np.array([batch.column(2)[int(i)].as_py() for i in mine]))
-                near[mine] = nearest(x, index.centroids, probes)
+                x = batch.column(2).take(pa.array(mine)).flatten().to_numpy(zero_copy_only=False)
+                near[mine] = nearest(unit(x.reshape(len(mine), dimension)), index.centroids, probes)
             # other lengths have a list each, below 0
             found = [row.tolist() if row[0] >= 0 else [-int(n)] for row, n in zip(near, size, strict=True)]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.list_(pa.int64()))], names=["rep", "mult", "v", "probes"])
@@ -145,29 +149,30 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", lea
     kind = classes.schema["v"].dataType.simpleString()
     placed = written(classes.select("rep", "mult", "v").mapInArrow(assign, f"rep long, mult long, v {kind}, probes array<long>"), "vector-lists")
     home = F.col("probes")[0]
+    searched = placed.withColumn("list", F.explode("probes")).withColumn("base", home == F.col("list"))
     # one row a list: as many as centroids
-    sizes = placed.groupBy(home.alias("list")).agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("blocks"))
-    searched = placed.withColumn("list", F.explode("probes")).join(F.broadcast(sizes), "list")
-    rows = searched.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.withColumn("base", (home == F.col("list")) & (F.pmod(F.xxhash64("rep"), F.col("blocks")) == F.col("block")))
+    many = lambda of: F.greatest(F.ceil(of / block), F.lit(1)).cast("int")
+    sizes = searched.groupBy("list").agg(many(F.count_if("base")).alias("blocks"), many(F.count(F.lit(1))).alias("askers"))
+    searched = searched.join(F.broadcast(sizes), "list")
+    own, every = (lambda n, salt: F.pmod(F.xxhash64("rep", F.lit(salt)), F.col(n)).cast("int")), (lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1)))
+    asking = searched.select("list", every("blocks").alias("block"), own("askers", 1).alias("asker"), F.lit(False).alias("base"), "rep", "mult", "probes", "v")
+    there = searched.filter("base").select("list", own("blocks", 2).alias("block"), every("askers").alias("asker"), F.lit(True).alias("base"), "rep", "mult", "probes", "v")
 
     def search(frame: pd.DataFrame) -> pd.DataFrame:
         at = int(frame["list"].iloc[0])
-        frame = frame.sort_values("rep", kind="stable")
-        x = unit(np.stack(frame["v"].to_numpy()))
+        frame = frame.sort_values(["base", "rep"], kind="stable")
         rep, mult = frame["rep"].to_numpy(), frame["mult"].to_numpy()
-        near = frame["probes"].tolist()
-        homes = np.array([p[0] for p in near])
-        base = np.flatnonzero(frame["base"].to_numpy())
+        first = int((~frame["base"]).sum())  # askers, then the vectors of the list
         links, edges = np.zeros(len(frame), np.int64), []
-        if len(base):
-            use = index if at >= 0 else Index.fit(x[base][:1000], 1)
-            centroid = use.centroids[at if at >= 0 else 0]
-            # whether a list is among those that a base vector searches
-            other = [set(near[i]) for i in base]
-            for q, b in pairs_in_list(use, centroid, x, x[base], least):
-                y = base[b]
-                alone = np.array([homes[i] not in other[j] for i, j in zip(q, b, strict=True)], bool)
+        if 0 < first < len(frame):
+            x = unit(np.stack(frame["v"].to_numpy()))
+            near = np.stack(frame["probes"].to_numpy())
+            homes = near[:, 0]
+            use = index if at >= 0 else Index.fit(x[first:][:1000], 1)
+            for q, b in pairs_in_list(use, use.centroids[at if at >= 0 else 0], x[:first], x[first:], least):
+                y = b + first
+                # of a pair at home here, or that both lists can find, one side counts
+                alone = ~(near[y] == homes[q][:, None]).any(1)
                 counted = np.where(homes[q] == at, rep[q] < rep[y], alone | (at < homes[q]))
                 q, y = q[counted], y[counted]
                 near_enough = np.einsum("ij,ij->i", x[q], x[y]) >= least
@@ -179,13 +184,14 @@ def link(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", lea
         out = [pd.DataFrame({"a": rep[links > 0], "b": pd.array([None] * int((links > 0).sum()), "Int64"), "n": links[links > 0]})]
         if edges:
             a, b = (np.concatenate(z) for z in zip(*edges, strict=True))
-            root = forest(len(frame), a, b)
-            leaf = np.flatnonzero(root != np.arange(len(frame)))
-            out.append(pd.DataFrame({"a": rep[root[leaf]], "b": pd.array(rep[leaf], "Int64"), "n": 0}))
+            # a vector may be there on both sides
+            distinct, number = np.unique(rep, return_inverse=True)
+            root = forest(len(distinct), number[a], number[b])
+            leaf = np.flatnonzero(root != np.arange(len(distinct)))
+            out.append(pd.DataFrame({"a": distinct[root[leaf]], "b": pd.array(distinct[leaf], "Int64"), "n": 0}))
         return pd.concat(out)
 
-    picked = rows.select("list", "block", "base", "rep", "mult", "probes", "v")
-    found = written(picked.groupBy("list", "block").applyInPandas(search, "a long, b long, n long"), "vector-links")
+    found = written(asking.union(there).groupBy("list", "block", "asker").applyInPandas(search, "a long, b long, n long"), "vector-links")
     counts = found.filter("b is null").groupBy("a").agg(F.sum("n").alias("n"))
     joined = components(found.filter("b is not null").select("a", "b"))
     own = classes.select("_h1", "_h2", "rep", "mult")
