@@ -188,20 +188,34 @@ class Trie:
         first, last = self.pointers[c], self.pointers[c + 1]
         return self.successors.find((self.successors[first - 1] if first else 0) + w + 1, first, last)
 
-    def look_up_all(self, contexts: np.ndarray, word_places: np.ndarray) -> np.ndarray:
-        """The same for many pairs at once, whose words are given as places: levels are decoded in passing."""
+    def look_up_all(self, contexts: np.ndarray, word_places: np.ndarray, block: int = 1 << 15) -> np.ndarray:
+        """The same for many pairs at once, whose words are given as places.
+
+        The pairs are put in the order of the levels. Of these, ``block`` contexts at a
+        time are decoded, and their successors, if a pair asks for one of them; never a
+        whole level.
+        """
         out = np.full(len(contexts), -1, np.int64)
-        if not self.contexts.n:
-            return out
-        level, pointer, successor = self.contexts.decode(), self.pointers.decode().astype(np.int64), self.successors.decode().astype(np.int64)
-        c = np.minimum(np.searchsorted(level, contexts), len(level) - 1)
-        some = np.flatnonzero((level[c] == contexts) & (word_places >= 0))
-        first = pointer[c[some]]
-        base = np.where(first > 0, successor[first - 1], 0)
-        value = base + word_places[some] + 1
-        place = np.minimum(np.searchsorted(successor, value), len(successor) - 1)
-        hit = (successor[place] == value) & (place < pointer[c[some] + 1]) & (place >= first)
-        out[some[hit]] = place[hit]
+        order = np.flatnonzero(word_places >= 0)
+        order = order[np.argsort(contexts[order], kind="stable")]
+        asked = contexts[order]
+        for lo in range(0, self.contexts.n, block):
+            level = self.contexts.decode(lo, lo + block)
+            some = order[np.searchsorted(asked, level[0]) : np.searchsorted(asked, level[-1], side="right")]
+            if not len(some):
+                continue
+            c = np.searchsorted(level, contexts[some])
+            hit = level[np.minimum(c, len(level) - 1)] == contexts[some]
+            some, c = some[hit], c[hit]
+            pointer = self.pointers.decode(lo, lo + len(level) + 1).astype(np.int64)
+            start = int(pointer[0])
+            # a search is relative to the last value of the context before
+            successor = np.concatenate([[self.successors[start - 1] if start else 0], self.successors.decode(start, int(pointer[-1])).astype(np.int64)])
+            first, last = pointer[c] - start, pointer[c + 1] - start
+            value = successor[first] + word_places[some] + 1
+            place = np.minimum(np.searchsorted(successor[1:], value), len(successor) - 2)
+            hit = (successor[place + 1] == value) & (place < last) & (place >= first)
+            out[some[hit]] = place[hit] + start
         return out
 
 
