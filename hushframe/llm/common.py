@@ -25,8 +25,8 @@ def fold(doc_id: Column | str, modulus: int) -> Column:
 def shared_dir(spark: SparkSession) -> str:
     """The folder that the driver and all executors see.
 
-    Read from ``spark.checkpoint.dir``; where that is unset (a local session, as in
-    tests) a folder of our own is set.
+    Read from ``spark.checkpoint.dir``; where that is unset in a local session, as in
+    tests, a folder of our own is set. On a cluster it is an error.
     """
     conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
     if not conf:
@@ -34,7 +34,11 @@ def shared_dir(spark: SparkSession) -> str:
     jsc = spark.sparkContext._jsc.sc()
     if not conf:
         got = jsc.getCheckpointDir()
-        conf = got.get() if got.isDefined() else "/tmp/checkpoints/hushframe"
+        conf = got.get() if got.isDefined() else None
+    if not conf:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        conf = "/tmp/checkpoints/hushframe"
     if not jsc.getCheckpointDir().isDefined():
         spark.sparkContext.setCheckpointDir(conf)
     return conf.rstrip("/")
@@ -56,14 +60,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def bounded_sample(df: DataFrame, stratum: str, per_stratum: int, key: str, seed: int) -> DataFrame:
     """At most ``per_stratum`` rows of each value of ``stratum``, the first by a seeded hash.
 
-    The limit is applied in each task before rows are exchanged (a window group
-    limit), so that no more than ``per_stratum`` rows of a stratum leave a task.
+    The strata are counted first (in each task before anything is exchanged); then only
+    rows whose hash is below a bound at which a quarter more than ``per_stratum`` are
+    expected are ordered, so what meets in one task grows neither with the rows nor
+    with the partitions. There is one row a stratum (labels, languages), of which
+    callers hold a model each; that is what is broadcast.
     """
     from pyspark.sql import Window
 
+    span = 1 << 30
+    counts = df.groupBy(F.col(stratum).alias("_stratum")).agg(F.count(F.lit(1)).alias("_rows"))
+    bound = counts.select("_stratum", F.least(F.ceil(F.lit(1.25 * per_stratum * span) / F.col("_rows")), F.lit(span)).alias("_bound"))
     order = F.xxhash64(F.lit(seed), F.col(key))
-    w = Window.partitionBy(stratum).orderBy(order, F.col(key))
-    return df.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_stratum).drop("_rank")
+    near = df.join(F.broadcast(bound), df[stratum] == F.col("_stratum")).filter(F.pmod(order, F.lit(span)) < F.col("_bound")).select(*df.columns)
+    w = Window.partitionBy(stratum).orderBy(F.pmod(order, F.lit(span)), order, F.col(key))
+    return near.withColumn("_rank", F.row_number().over(w)).filter(F.col("_rank") <= per_stratum).drop("_rank")
 
 
 def apart(df: DataFrame, *named: str) -> tuple[DataFrame, list[str]]:

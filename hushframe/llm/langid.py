@@ -64,6 +64,8 @@ class Space:
         letters = np.bincount(owner[flat > 0], minlength=len(texts)) > 0
         keep = flat > 0
         keep[1:] |= flat[:-1] > 0
+        # the white space before each text, wherever it is in the batch
+        keep[1:] |= owner[1:] != owner[:-1]
         keep[0:1] = True
         flat, owner = flat[keep].astype(np.int64), owner[keep]
         out = np.zeros((len(texts), self.dimensions), np.float32)

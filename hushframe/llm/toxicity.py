@@ -20,6 +20,8 @@ from pyspark.sql import functions as F
 
 #: Labelled documents of each label that are learned from; rounds; step; L1 penalty a document; documents a word needs.
 PER_LABEL, ROUNDS, STEP, PENALTY, LEAST_DOCS, SEED = 2500, 150, 0.3, 2e-4, 3, 11
+#: Code points up to which a document is learned from (longer ones are scored whole, as all are).
+LONGEST = 20_000
 ENDS = re.compile(r"[.!?\n]+")
 _PUNCT = str.maketrans({c: " " for c in ",;:\"()[]{}<>"})
 
@@ -104,17 +106,23 @@ def fit(texts: list[str], labels: list[int], rounds: int = ROUNDS, step: float =
 
 
 def training_sample(docs: DataFrame, labels: DataFrame, fold_column, per_label: int = PER_LABEL, key: str = "doc_id", label: str = "toxic") -> DataFrame:
-    """text and label of at most ``per_label`` documents of each label, the first by a seeded hash."""
+    """text and label of at most ``per_label`` documents of each label, the first by a seeded hash; texts above LONGEST are left out."""
     from .common import bounded_sample
 
     one = labels.filter(F.col(key).isNotNull() & F.col(label).isNotNull()).groupBy(key).agg(F.max(label).alias("_label"))
     ids = bounded_sample(one.filter(fold_column), "_label", per_label, key, SEED)
     # at most per_label ids a label
     docs, chosen = docs.select(key, "text"), F.broadcast(ids.withColumnRenamed(key, "_id"))
-    return docs.join(chosen, docs[key] == F.col("_id")).select(docs["text"], "_label")
+    return docs.join(chosen, docs[key] == F.col("_id")).filter(docs["text"].isNull() | (F.length(docs["text"]) <= LONGEST)).select(docs["text"], "_label")
 
 
 def train(docs: DataFrame, labels: DataFrame, fold_column, **options) -> Model:
+    """A model of the labelled documents that ``fold_column`` (of the key) allows.
+
+    Learned on the driver from ``training_sample``: at most 2 x PER_LABEL texts of at
+    most LONGEST code points. Of several labels of a document the highest counts, null
+    labels none; a null text is an empty one, repeated rows count each.
+    """
     rows = training_sample(docs, labels, fold_column, **options).collect()
     rows.sort(key=lambda r: (r._label, r.text or ""))
     return fit([r.text or "" for r in rows], [int(r._label > 0) for r in rows])
