@@ -160,7 +160,7 @@ def test_quality_thresholds_follow_the_source(spark):
     # sketches merge by adding: of halves as of the whole
     m = quality.measure(spark.createDataFrame(made, "doc_id long, text string, lang string, source string"), ["lang", "source"])
     whole = sorted(map(tuple, quality.sketch(m).collect()))
-    halves = quality.sketch(m.limit(120)).union(quality.sketch(m.exceptAll(m.limit(120)))).groupBy("lang", "source", "ratio", "bin").agg(F.sum("n"))
+    halves = quality.sketch(m.limit(120)).union(quality.sketch(m.exceptAll(m.limit(120)))).groupBy("lang", "source", "ratio", "bucket").agg(F.sum("n"))
     assert sorted(map(tuple, halves.collect())) == whole
 
 
