@@ -7,10 +7,12 @@ import sys
 
 from pyspark.sql import SparkSession
 
+from . import log_to
 from .operators.replace import METHODS, method
 from .operators.rewrite import TOLERANCES, Rewrite
 from .plans.config import Config, Detect, Input
 from .plans.engine import Engine, validate
+from .plans.models import Models
 from .sources.tables import InputError, TableError, write_table
 
 
@@ -26,6 +28,12 @@ def parser() -> argparse.ArgumentParser:
         c.add_argument("--replace", choices=sorted(METHODS), default=None)
         c.add_argument("--template", help="for redact, annotate and hash")
         c.add_argument("--risk-tolerance", choices=sorted(TOLERANCES), help="rewrite instead of replacing")
+        c.add_argument("--instructions", help="for substitutes and rewrites")
+        c.add_argument("--summary", help="what the texts are, for prompts")
+        c.add_argument("--models", help="YAML of models, their roles and providers; without it rules detect and nothing else is asked")
+        c.add_argument("--providers", help="YAML of providers, if that of the models has none")
+        c.add_argument("--evaluate", action="store_true", help="ask the judges too")
+        c.add_argument("--quiet", action="store_true")
         c.add_argument("--master", default="local[*]")
         if name == "run":
             c.add_argument("--output", required=True)
@@ -40,24 +48,32 @@ def config_of(a: argparse.Namespace) -> Config:
     if a.risk_tolerance:
         if a.replace:
             raise InputError("--replace and --risk-tolerance exclude each other")
-        return Config(detect, rewrite=Rewrite(risk_tolerance=a.risk_tolerance))
-    return Config(detect, replace=method(a.replace or "redact", **({"format_template": a.template} if a.template else {})))
+        return Config(detect, rewrite=Rewrite(risk_tolerance=a.risk_tolerance, instructions=a.instructions))
+    own = {"format_template": a.template} if a.template else {"instructions": a.instructions} if a.replace == "substitute" and a.instructions else {}
+    return Config(detect, replace=method(a.replace or "redact", **own))
 
 
 def main(argv: list[str] | None = None) -> int:
     a = parser().parse_args(argv)
     try:
         config = config_of(a)
+        models = Models.read(a.models, a.providers) if a.models else None
         if a.command == "validate":
-            validate(config, {}, {"default"})
+            validate(config, models.roles if models else {}, {m.alias for m in models.models} if models else {"default"})
             print("valid")
             return 0
+        if not a.quiet:
+            log_to()
         spark = SparkSession.builder.master(a.master).getOrCreate()
-        data = Input(a.source, a.text_column, a.id_column)
+        data = Input(a.source, a.text_column, a.id_column, a.summary)
+        engine = Engine(spark, models)
+        done = engine.preview(config, data, a.rows) if a.command == "preview" else engine.run(config, data)
+        if a.evaluate:
+            done = engine.evaluate(done)
         if a.command == "preview":
-            Engine(spark).preview(config, data, a.rows).frame.show(a.rows, truncate=False)
+            done.frame.show(a.rows, truncate=False)
         else:
-            write_table(Engine(spark).run(config, data).frame, a.output, a.overwrite)
+            write_table(done.frame, a.output, a.overwrite)
         return 0
     except (InputError, TableError, ValueError) as e:
         print(f"error: {e}", file=sys.stderr)

@@ -233,3 +233,15 @@ def summary(cases: DataFrame) -> DataFrame:
     done = F.count_if(~F.col("case_failed"))
     n = F.count(F.lit(1))
     return cases.agg(n.alias("case_count"), done.alias("completed_count"), ratio(done, n).alias("success_rate"), F.sum("pipeline_elapsed_sec").alias("elapsed_sum"), F.avg("pipeline_elapsed_sec").alias("elapsed_mean"))
+
+
+def text_statistics(df: DataFrame, text: str) -> DataFrame:
+    """How many texts there are, and the least, greatest and mean length of those that aren't null."""
+    n = F.length(text)
+    return df.agg(F.count(F.lit(1)).alias("rows"), F.count(text).alias("texts"), F.min(n).alias("min_chars"), F.max(n).alias("max_chars"), F.avg(n).alias("mean_chars"))
+
+
+def label_frequency(df: DataFrame, entities: str) -> DataFrame:
+    """Labels with how often they occur and their place by that; of equal ones the first by name. A row a label."""
+    counts = df.select(F.explode(F.transform(entities, lambda e: e["label"])).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label")))

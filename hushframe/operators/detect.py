@@ -18,6 +18,8 @@ RULES = {
     "url": r"https?://[A-Za-z0-9./?=&_#-]+",
     "phone_number": r"\+[0-9]{1,3}(?: [0-9]{2,4}){2,4}",
 }
+#: What a text has to contain for a rule to be tried at all.
+SIGNS = {"email": "@", "url": "http", "phone_number": "+"}
 
 
 def rule_spans(text: Column, label: str, pattern: str, score: float = 1.0) -> Column:
@@ -31,25 +33,33 @@ def rule_spans(text: Column, label: str, pattern: str, score: float = 1.0) -> Co
         return F.struct(end.alias("at"), F.array_append(acc["out"], spans.span(p["value"], F.lit(label), start, end, F.lit(score), "detector")).alias("out"))
 
     pairs = F.transform(found, lambda v, i: F.struct(F.get(pieces, i).alias("piece"), v.alias("value")))
-    return F.when(F.size(found) > 0, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(spans.no_spans())
+    # one look through the texts that have no match, which are most
+    sign = F.contains(text, F.lit(SIGNS[label])) if label in SIGNS else text.rlike(pattern)
+    return F.when(sign, F.aggregate(pairs, zero, step, lambda acc: acc["out"])).otherwise(spans.no_spans())
+
+
+def rules_found(text: Column, labels: list[str] | None = None) -> Column:
+    """Spans of all rules, before overlaps are resolved."""
+    use = [k for k in RULES if labels is None or k in labels]
+    return F.concat(*(rule_spans(text, k, RULES[k]) for k in use)) if use else spans.no_spans()
 
 
 def rule_answer(text: Column, labels: list[str] | None = None) -> Column:
     """What a detector answers: JSON with a list of text, label, start, end and score."""
-    use = [k for k in RULES if labels is None or k in labels]
-    found = F.concat(*(rule_spans(text, k, RULES[k]) for k in use)) if use else spans.no_spans()
-    items = F.transform(found, lambda e: F.struct(e["value"].alias("text"), e["label"].alias("label"), e["start_position"].alias("start"), e["end_position"].alias("end"), e["score"].alias("score")))
+    items = F.transform(rules_found(text, labels), lambda e: F.struct(e["value"].alias("text"), e["label"].alias("label"), e["start_position"].alias("start"), e["end_position"].alias("end"), e["score"].alias("score")))
     return F.to_json(F.struct(items.alias("entities")))
 
 
 def detect(df: DataFrame, text: str = schemas.TEXT, labels: list[str] | None = None, raw: str | None = None) -> DataFrame:
     """Adds raw answer, entities and tag notation. ``raw``: a column that has a model's answers instead.
 
-    A null text has a null answer and no entities.
+    A null text has no entities. What the rules find is taken as it is, without the way
+    through JSON; the raw answer is there for those who want to see it.
     """
     answer = F.col(raw) if raw else rule_answer(F.col(text), labels)
     named = df.withColumn(schemas.RAW, answer).withColumn("_hf_notation", tag_notation(text))
-    return named.withColumn(schemas.ENTITIES, F.coalesce(spans.parse_raw(F.col(schemas.RAW), F.col(text)), spans.no_spans()))
+    found = spans.parse_raw(F.col(schemas.RAW), F.col(text)) if raw else spans.resolve_overlaps(rules_found(F.col(text), labels))
+    return named.withColumn(schemas.ENTITIES, F.coalesce(found, spans.no_spans()))
 
 
 def validate(df: DataFrame, decisions: str, text: str = schemas.TEXT) -> DataFrame:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .. import schemas
 from ..functions.text import contains_value, f1, ratio, size_bucket, strip, word_count
@@ -42,9 +42,9 @@ def strict_counts(found: Column, expected: Column) -> Column:
     return F.struct(tp.alias("tp"), (F.size(p) - tp).alias("fp"), (F.size(g) - tp).alias("fn"))
 
 
-@F.pandas_udf(schemas.L)
-def _matched(found: pd.Series, expected: pd.Series, compatible: pd.Series) -> pd.Series:
-    """Size of the largest matching of found with expected spans of each row, by augmenting paths."""
+@F.pandas_udf(schemas._struct(relaxed=schemas.L, compatible=schemas.L))
+def _matched(found: pd.Series, expected: pd.Series) -> pd.DataFrame:
+    """Sizes of the largest matching of found with expected spans of each row, also with like labels only, by augmenting paths."""
 
     def span(e: dict) -> tuple[int, int] | None:
         a, b = e["start_position"], e["end_position"]
@@ -82,24 +82,49 @@ def _matched(found: pd.Series, expected: pd.Series, compatible: pd.Series) -> pd
                 end = previous
         return len(owner)
 
-    return pd.Series([one(f, g, bool(c)) for f, g, c in zip(found, expected, compatible, strict=True)], dtype="object")
+    return pd.DataFrame({name: pd.array([one(f, g, strictly) for f, g in zip(found, expected, strict=True)], "Int64") for name, strictly in (("relaxed", False), ("compatible", True))})
+
+
+def _matches(found: Column, expected: Column) -> Column:
+    """Both counts, by one call; the only step of the metrics that leaves the JVM."""
+    keyed = lambda a: F.transform(a, lambda e: F.struct(e["value"].alias("value"), e["start_position"].alias("start_position"), e["end_position"].alias("end_position"), label_key(e["label"]).alias("key")))
+    return _matched(keyed(found), keyed(expected))
 
 
 def relaxed_count(found: Column, expected: Column, compatible: bool = False) -> Column:
     """How many expected spans can each have a found span of their own that overlaps (else equals) them."""
-    keyed = lambda a: F.transform(a, lambda e: F.struct(e["value"].alias("value"), e["start_position"].alias("start_position"), e["end_position"].alias("end_position"), label_key(e["label"]).alias("key")))
-    return _matched(keyed(found), keyed(expected), F.lit(compatible))
+    return _matches(found, expected)["compatible" if compatible else "relaxed"]
+
+
+def expected_entities(df: DataFrame) -> Column | None:
+    """Expected entities of the first column of EXPECTED_COLUMNS that is there: an array, a struct with one, or JSON of either."""
+    name = next((c for c in EXPECTED_COLUMNS if c in df.columns), None)
+    if name is None:
+        return None
+    kind, c = df.schema[name].dataType, F.col(name)
+    slim = "array<struct<value:string,label:string,start_position:int,end_position:int>>"
+    if isinstance(kind, T.StringType):
+        return F.coalesce(F.from_json(c, f"struct<entities:{slim}>")["entities"], F.from_json(c, slim))
+    if isinstance(kind, T.StructType):
+        kind, c = kind["entities"].dataType, c["entities"]
+    there = set(kind.elementType.names)
+    of = lambda e, k, t: (e[k] if k in there else F.lit(None)).cast(t).alias(k)
+    return F.transform(c, lambda e: F.struct(of(e, "value", "string"), of(e, "label", "string"), of(e, "start_position", "int"), of(e, "end_position", "int")))
 
 
 def quality(df: DataFrame, found: str, expected: str) -> DataFrame:
     """Adds counts, precision, recall and F1: strict, relaxed, and relaxed with like labels."""
-    counted = df.withColumns({"_s": strict_counts(F.col(found), F.col(expected)), "_r": relaxed_count(F.col(found), F.col(expected)), "_c": relaxed_count(F.col(found), F.col(expected), True)})
+    counted = df.withColumns({"_s": strict_counts(F.col(found), F.col(expected)), "_m": _matches(F.col(found), F.col(expected))}).withColumns({"_r": F.col("_m.relaxed"), "_c": F.col("_m.compatible")})
     n, m = F.size(found), F.size(expected)
     out = {"ground_truth_entity_count": m, "entity_true_positive_count": F.col("_s.tp"), "entity_false_positive_count": F.col("_s.fp"), "entity_false_negative_count": F.col("_s.fn"), "entity_relaxed_count": F.col("_r"), "entity_relaxed_label_compatible_count": F.col("_c")}
     for name, hit, of, total in (("entity", F.col("_s.tp"), F.col("_s.tp") + F.col("_s.fp"), F.col("_s.tp") + F.col("_s.fn")), ("entity_relaxed", F.col("_r"), n, m), ("entity_relaxed_label_compatible", F.col("_c"), n, m)):
         precision, recall = ratio(hit, of), ratio(hit, total)
         out |= {f"{name}_precision": precision, f"{name}_recall": recall, f"{name}_f1": f1(precision, recall)}
-    return counted.withColumns(out).drop("_s", "_r", "_c")
+    return counted.withColumns(out).drop("_s", "_m", "_r", "_c")
+
+
+#: What ``quality`` adds.
+QUALITY = ("ground_truth_entity_count", "entity_true_positive_count", "entity_false_positive_count", "entity_false_negative_count", "entity_relaxed_count", "entity_relaxed_label_compatible_count", *(f"{a}_{b}" for a in ("entity", "entity_relaxed", "entity_relaxed_label_compatible") for b in ("precision", "recall", "f1")))
 
 
 def replacement_metrics(pairs: Column, entities: Column) -> dict[str, Column]:
@@ -144,7 +169,13 @@ def model_calls(mode: str, strategy: str, grouped: Column, chunks: Column, repai
 
 
 def record_metrics(df: DataFrame, mode: str = "replace", strategy: str = "redact", text: str = schemas.TEXT, most: int = 100) -> DataFrame:
-    """A record for each row: lengths, buckets, entity, replacement and leak counts, estimated calls."""
+    """A record for each row: lengths, buckets, entity, replacement and leak counts, estimated calls.
+
+    Where the table has a column of expected entities, also how well they were found.
+    """
+    expected = expected_entities(df)
+    if expected is not None:
+        df = quality(df.withColumn("_hf_expected", expected), schemas.FINAL, "_hf_expected")
     final, pairs = F.col(schemas.FINAL), F.col(schemas.MAP)
     length, words = F.coalesce(F.length(text), F.lit(0)), F.coalesce(word_count(F.col(text)), F.lit(0))
     fields = {
@@ -155,6 +186,8 @@ def record_metrics(df: DataFrame, mode: str = "replace", strategy: str = "redact
     }
     calls = model_calls(mode, strategy, F.size(schemas.BY_VALUES) > 0, validation_chunks(F.size(schemas.ENTITIES), most))
     fields |= {f"estimated_calls_{k}": v for k, v in calls.items()}
+    if expected is not None:
+        fields |= {c: F.col(c) for c in QUALITY}
     named = [c for c in (schemas.RECORD_ID,) if c in df.columns]
     return df.select(*named, *(v.alias(k) for k, v in fields.items()))
 
@@ -163,9 +196,9 @@ def throughput(elapsed: Column, **totals: Column) -> dict[str, Column]:
     return {f"{k}_per_sec": ratio(v, elapsed) for k, v in totals.items()}
 
 
-def evaluation_metrics(df: DataFrame, names: list[str]) -> DataFrame:
-    """Verdicts and numbers of bad items of a judged result."""
+def evaluation_metrics(df: DataFrame, names: list[str], keep: list[str] | None = None) -> DataFrame:
+    """Verdicts and numbers of bad items of a judged result, with the columns ``keep``."""
     cols = [c.alias(a) for n in names for a, c in ((f"{n}_valid", F.col(f"{n}_valid")), (f"{n}_invalid_count", F.size(f"{n}_invalid")))]
-    return df.select(F.lit("evaluation_record").alias("record_type"), *cols)
+    return df.select(*(keep or []), F.lit("evaluation_record").alias("record_type"), *cols)
 
 

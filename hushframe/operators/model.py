@@ -77,7 +77,14 @@ def failures(df: DataFrame, output: str, step: str, record_id: str = schemas.REC
 
 
 def missing_records(before: DataFrame, after: DataFrame, step: str, record_id: str = schemas.RECORD_ID) -> DataFrame:
-    """Failed records for input ids that a step's output lacks."""
+    """Failed records for input ids that a step's output lacks.
+
+    All are lost if the output has no ids; nothing can be told if the input has none.
+    """
+    if record_id not in before.columns:
+        return before.limit(0).select(*(F.lit(None).cast("string").alias(c) for c in ("record_id", "step", "reason")))
+    if record_id not in after.columns:
+        return before.select(F.col(record_id).alias("record_id"), F.lit(step).alias("step"), F.lit("the output has no record ids").alias("reason"))
     lost = before.select(record_id).join(after.select(record_id), record_id, "left_anti")
     return lost.select(F.col(record_id).alias("record_id"), F.lit(step).alias("step"), F.lit("missing from the output").alias("reason"))
 

@@ -44,3 +44,8 @@ def quality_guidance(domain: Column) -> Column:
 
 def privacy_guidance(domain: Column) -> Column:
     return _lookup(domain, 2)
+
+
+def listing() -> str:
+    """A line for each domain, for the prompt that asks for one."""
+    return "\n".join(f"- {k}: {v[0]}" for k, v in DOMAINS.items())

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import logging
 from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +14,13 @@ from ..functions import spans, text
 from ..operators import detect, judge, metrics, model, rewrite
 from ..operators import replace as replacing
 from ..sources import tables
-from . import prompts
-from .config import Config, Input, validator_pool
+from . import domains, prompts
+from .config import LABEL_NAMES, Config, Detect, Input
+from .models import Models, pool_of
+
+log = logging.getLogger("hushframe")
+#: Characters of a piece of text that a detector's server takes at once, and of two pieces' common part.
+CHUNK_LENGTH, CHUNK_OVERLAP = 384, 128
 
 
 @dataclass(frozen=True)
@@ -27,6 +33,10 @@ class Result:
     config: Config
     text_column: str
 
+    def in_order(self) -> DataFrame:
+        """The user's table in the order of the input (a sort, so only on demand)."""
+        return user_columns(self.trace.orderBy(schemas.ORDER), self.text_column)
+
     def metrics(self) -> DataFrame:
         how = type(self.config.replace).__name__ if self.config.replace else "rewrite"
         return metrics.record_metrics(self.trace, self.config.mode, how, most=self.config.detect.validation_max_entities_per_call)
@@ -61,13 +71,23 @@ class Engine:
     for twice.
     """
 
-    def __init__(self, spark: SparkSession, provider: model.Provider | None = None, roles: dict | None = None, folder: str | None = None):
+    def __init__(self, spark: SparkSession, provider: model.Provider | Models | None = None, roles: dict | None = None, folder: str | None = None):
+        if isinstance(provider, Models):
+            roles, provider = {**provider.roles, **(roles or {})}, provider.provider()
         self.spark, self.provider, self.roles = spark, provider, roles or {}
-        self.folder = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/hushframe"
+        self.folder = tables.shared_folder(spark, folder)
         self.failed: list[DataFrame] = []
+        self.summary = ""
 
     def pool(self, role: str) -> list[str]:
-        return validator_pool(self.roles.get(role, "default"))
+        return pool_of(self.roles, role)
+
+    def detector(self, d: Detect) -> model.Provider | None:
+        """The provider, with what a detector is to look for in requests to its aliases, if it takes parameters."""
+        given = self.provider
+        for alias in self.pool("entity_detector") if hasattr(given, "with_parameters") else ():
+            given = given.with_parameters(alias, {"labels": d.entity_labels or LABEL_NAMES, "threshold": d.threshold, "chunk_length": CHUNK_LENGTH, "overlap": CHUNK_OVERLAP})
+        return given
 
     def keep(self, frame: DataFrame, name: str) -> DataFrame:
         import uuid
@@ -76,12 +96,13 @@ class Engine:
         frame.write.parquet(path)
         return self.spark.read.schema(frame.schema).parquet(path)
 
-    def ask(self, frame: DataFrame, prompt: Column, output: str, kind: T.DataType, role: str, step: str, when: Column | None = None, drop: bool = True) -> DataFrame:
+    def ask(self, frame: DataFrame, prompt: Column, output: str, kind: T.DataType, role: str, step: str, when: Column | None = None, drop: bool = True, provider: model.Provider | None = None) -> DataFrame:
         """A model's answer as a column, kept; rows it fails on are noted and (unless ``drop`` is false) left out."""
+        log.info("%s: asking %s", step, ", ".join(self.pool(role)))
         asked = frame.withColumn("_hf_prompt", prompt)
         if when is not None:
             asked = asked.withColumn("_hf_when", when)
-        got = self.keep(model.model_column(asked, "_hf_prompt", output, kind, self.provider, self.pool(role), when=None if when is None else "_hf_when"), step)
+        got = self.keep(model.model_column(asked, "_hf_prompt", output, kind, provider or self.provider, self.pool(role), when=None if when is None else "_hf_when"), step)
         self.failed.append(model.failures(got, output, step))
         if drop:
             got = got.filter(F.col(f"{output}_error").isNull())
@@ -95,14 +116,15 @@ class Engine:
             frame = frame.limit(max(0, rows))
         found = tables.resolve(frame, data.text_column)
         named = [data.id_column] if data.id_column else [c for c in found.frame.columns if not c.startswith("_hf_") or c == schemas.TEXT]
-        return found.with_frame(found.frame.withColumn(schemas.RECORD_ID, text.record_id(*(F.col(f"`{c}`") for c in named))))
+        identified = found.frame.withColumn(schemas.RECORD_ID, text.record_id(*(F.col(f"`{c}`") for c in named)))
+        return found.with_frame(identified.withColumn(schemas.ORDER, F.monotonically_increasing_id()))
 
     def detect(self, frame: DataFrame, config: Config) -> DataFrame:
         d = config.detect
         body = F.col(schemas.TEXT)
         if self.provider is None:
             return detect.finalize(detect.detect(frame, labels=d.entity_labels), labels=d.entity_labels)
-        raw = self.ask(frame, body, "_hf_model_raw", T.StringType(), "entity_detector", "entity-detection")
+        raw = self.ask(frame, body, "_hf_model_raw", T.StringType(), "entity_detector", "entity-detection", provider=self.detector(d))
         found = detect.detect(raw, raw="_hf_model_raw").withColumn("_hf_candidates", spans.order_candidates(spans.validation_candidates(body, F.col(schemas.ENTITIES)), F.col(schemas.ENTITIES)))
         chunks = spans.chunks(F.col("_hf_candidates"), d.validation_max_entities_per_call)
 
@@ -111,15 +133,15 @@ class Engine:
             whole = spans.tagged_text(body, F.col(schemas.ENTITIES), F.col("_hf_notation"))
             near = spans.excerpt(body, mine, F.col(schemas.ENTITIES), d.validation_excerpt_window_chars, F.col("_hf_notation"))
             shown = F.when(F.size("_hf_candidates") <= d.validation_max_entities_per_call, whole).otherwise(near)
-            return prompts.fill_columns(prompts.VALIDATE, {"NOTATION": F.col("_hf_notation"), "EXCERPT": shown, "SKELETON": F.to_json(F.struct(spans.skeleton(chunk).alias("decisions")))})
+            return prompts.fill_columns(prompts.VALIDATE, {"SUMMARY": F.lit(self.summary), "NOTATION": F.col("_hf_notation"), "EXCERPT": shown, "SKELETON": F.to_json(F.struct(spans.skeleton(chunk).alias("decisions")))})
 
         answers = self.ask(found, F.transform(chunks, prompt), "_hf_answers", schemas._struct(decisions=T.ArrayType(schemas.RAW_DECISION)), "entity_validator", "entity-validation", F.size("_hf_candidates") > 0)
         none = F.array().cast(T.ArrayType(T.ArrayType(schemas.RAW_DECISION)))
         lists = F.coalesce(F.transform("_hf_answers", lambda a: F.coalesce(a["decisions"], F.array().cast(T.ArrayType(schemas.RAW_DECISION)))), none)
         decided = answers.withColumn("_hf_decisions", spans.merge_decisions(lists, F.col("_hf_candidates")))
         seeds = detect.validate(decided, "_hf_decisions")
-        labels = prompts.label_examples(d.entity_labels) if d.entity_labels else "any label"
-        shown = prompts.fill_columns(prompts.AUGMENT, {"LABELS": F.lit(labels), "TEXT": spans.tagged_text(body, F.col(schemas.ENTITIES), F.col("_hf_notation"))})
+        labels = prompts.label_examples(d.entity_labels or LABEL_NAMES)
+        shown = prompts.fill_columns(prompts.AUGMENT_STRICT if d.entity_labels else prompts.AUGMENT_OPEN, {"SUMMARY": F.lit(self.summary), "LABELS": F.lit(labels), "TEXT": spans.tagged_text(body, F.col(schemas.ENTITIES), F.col("_hf_notation"))})
         more = self.ask(seeds, shown, "_hf_more", schemas._struct(entities=T.ArrayType(schemas.AUGMENTED)), "entity_augmenter", "entity-augmentation")
         merged = detect.augment(more.withColumn("_hf_suggested", F.col("_hf_more.entities")), "_hf_suggested")
         # decisions count again, for spans that came back under an id they were dropped by
@@ -153,22 +175,26 @@ class Engine:
             return self.ask(now, prompts.fill_columns(template, values), output, kind, role, name)
 
         lists = lambda name, kind: schemas._struct(**{name: T.ArrayType(kind)})
-        now = step(todo, prompts.DISPOSITION, {"GOAL": goal, "ENTITIES": prompts.entity_lines(F.col(schemas.BY_VALUES)), "TEXT": body}, "_hf_d", lists("sensitivity_disposition", schemas.DISPOSITION), "disposition_analyzer")
+        now = step(todo, prompts.LATENT, {"SUMMARY": F.lit(self.summary), "GOAL": goal, "TEXT": body}, "_hf_l", lists("latent_entities", schemas.LATENT), "latent_detector", "latent-entity-detection")
+        now = now.withColumn("_hf_latent", F.coalesce("_hf_l.latent_entities", F.array().cast(T.ArrayType(schemas.LATENT)))).drop("_hf_l")
+        now = step(now, prompts.DOMAIN, {"DOMAINS": F.lit(domains.listing()), "TEXT": body}, "_hf_domain", schemas.DOMAIN, "domain_classifier")
+        kept, hidden = domains.quality_guidance(F.col("_hf_domain.domain")), domains.privacy_guidance(F.col("_hf_domain.domain"))
+        now = step(now, prompts.DISPOSITION, {"GOAL": goal, "GUIDANCE": hidden, "ENTITIES": prompts.entity_lines(F.col(schemas.BY_VALUES)), "LATENT": F.to_json("_hf_latent"), "TEXT": body}, "_hf_d", lists("sensitivity_disposition", schemas.DISPOSITION), "disposition_analyzer")
         fine = F.filter(F.coalesce(F.col("_hf_d.sensitivity_disposition"), F.array().cast(T.ArrayType(schemas.DISPOSITION))), lambda d: F.coalesce(rewrite.consistent(d, how.strict_entity_protection), F.lit(False)))
         now = now.withColumn("_hf_disposition", rewrite.renumbered(fine)).withColumn("_hf_privacy_qa", rewrite.privacy_questions(F.col("_hf_disposition")))
-        now = step(now, prompts.MEANING, {"TEXT": body}, "_hf_m", lists("units", schemas.MEANING_UNIT), "meaning_extractor")
+        now = step(now, prompts.MEANING, {"GUIDANCE": kept, "TEXT": body}, "_hf_m", lists("units", schemas.MEANING_UNIT), "meaning_extractor")
         now = step(now, prompts.QUALITY_QA, {"UNITS": F.to_json("_hf_m.units"), "TEXT": body}, "_hf_q", lists("items", schemas.QUALITY_QA), "qa_generator")
         block = rewrite.prompt_block(F.col("_hf_disposition"))
         pairs = rewrite.pairs_for_prompt(F.col(schemas.MAP), block)
-        now = step(now, prompts.REWRITE, {"GOAL": goal, "INSTRUCTIONS": F.lit(how.instructions or ""), "BLOCK": F.to_json(block), "PAIRS": F.to_json(pairs), "TEXT": body}, "_hf_r", schemas._struct(rewritten_text=T.StringType()), "rewriter")
+        now = step(now, prompts.REWRITE, {"GOAL": goal, "INSTRUCTIONS": F.lit(how.instructions or ""), "GUIDANCE": kept, "BLOCK": F.to_json(block), "PAIRS": F.to_json(pairs), "TEXT": body}, "_hf_r", schemas._struct(rewritten_text=T.StringType()), "rewriter")
         now = now.withColumn(schemas.OUTPUT, rewrite.rewritten_text(F.col("_hf_r.rewritten_text"))).withColumn("_hf_quality_qa", F.coalesce("_hf_q.items", F.array().cast(T.ArrayType(schemas.QUALITY_QA))))
 
         def evaluate(x: DataFrame) -> DataFrame:
             out = F.coalesce(F.col(schemas.OUTPUT), F.lit(""))
             ids = lambda c: F.transform(c, lambda q: q["id"])
             empty = lambda kind: F.array().cast(T.ArrayType(kind))
-            x = step(x, prompts.ANSWER, {"QUESTIONS": F.to_json("_hf_privacy_qa"), "TEXT": out}, "_hf_pa", lists("answers", schemas.PRIVACY_ANSWER), "evaluator", "rewrite-evaluate")
-            x = step(x, prompts.ANSWER, {"QUESTIONS": F.to_json(F.transform("_hf_quality_qa", lambda q: F.struct(q["id"].alias("id"), q["question"].alias("question")))), "TEXT": out}, "_hf_qa", lists("answers", schemas.QUALITY_ANSWER), "evaluator", "rewrite-evaluate")
+            x = step(x, prompts.ANSWER_PRIVACY, {"QUESTIONS": F.to_json("_hf_privacy_qa"), "TEXT": out}, "_hf_pa", lists("answers", schemas.PRIVACY_ANSWER), "evaluator", "rewrite-evaluate")
+            x = step(x, prompts.ANSWER_QUALITY, {"QUESTIONS": F.to_json(F.transform("_hf_quality_qa", lambda q: F.struct(q["id"].alias("id"), q["question"].alias("question")))), "TEXT": out}, "_hf_qa", lists("answers", schemas.QUALITY_ANSWER), "evaluator", "rewrite-evaluate")
             x = x.withColumn("_hf_quality_answers", rewrite.sorted_answers(F.coalesce("_hf_qa.answers", empty(schemas.QUALITY_ANSWER)), ids("_hf_quality_qa"), rewrite.unknown_quality))
             x = step(x, prompts.COMPARE, {"QUESTIONS": F.to_json("_hf_quality_qa"), "ANSWERS": F.to_json("_hf_quality_answers")}, "_hf_cmp", lists("items", schemas.QA_COMPARE), "evaluator", "rewrite-evaluate")
             x = x.withColumns({"_hf_privacy_answers": rewrite.sorted_answers(F.coalesce("_hf_pa.answers", empty(schemas.PRIVACY_ANSWER)), ids("_hf_privacy_qa"), rewrite.assumed_leak), "_hf_compare": rewrite.sorted_answers(F.coalesce("_hf_cmp.items", empty(schemas.QA_COMPARE)), ids("_hf_quality_qa"), rewrite.no_agreement), "_hf_importance": F.transform("_hf_quality_qa", lambda q: q["importance"])})
@@ -189,7 +215,8 @@ class Engine:
     # ------------------------------------------------------------------ entry points
 
     def run(self, config: Config, data: Input, rows: int | None = None) -> Result:
-        self.failed = []
+        self.failed, self.summary = [], data.data_summary or ""
+        log.info("%s of column %s", config.mode, data.text_column)
         loaded = self.load(data, rows)
         found = self.detect(loaded.frame, config)
         trace = self.replace(found, config) if config.mode == "replace" else self.rewrite(found, config)
@@ -197,6 +224,10 @@ class Engine:
         failed = none
         for f in self.failed:
             failed = failed.unionByName(f)
+        if self.provider is not None:
+            # rows that no step says it failed on, and that are gone all the same
+            lost = model.missing_records(loaded.frame, trace, config.mode)
+            failed = failed.unionByName(lost.join(failed.select("record_id").distinct(), "record_id", "left_anti"))
         return Result(user_columns(trace, loaded.resolved), trace, failed, config, loaded.resolved)
 
     def preview(self, config: Config, data: Input, rows: int = 10) -> Result:
@@ -211,7 +242,7 @@ class Engine:
         for name in names:
             j = judge.JUDGES[name]
             items = F.to_json(judge.judged_entities(F.col(schemas.BY_VALUES))) if name == "detection" else F.to_json(schemas.MAP)
-            prompt = prompts.fill_columns(prompts.JUDGE, {"WHAT": F.lit(name), "ITEMS": items, "TEXT": F.col(schemas.TAGGED)})
+            prompt = prompts.fill_columns(prompts.JUDGE, {"WHAT": F.lit(prompts.JUDGED[name][0]), "FIELDS": F.lit(prompts.JUDGED[name][1]), "LABELS": F.lit(prompts.label_examples(result.config.detect.entity_labels or LABEL_NAMES)) if name == "detection" else F.lit(""), "ITEMS": items, "TEXT": F.col(schemas.TAGGED)})
             asked = self.ask(now, prompt, f"_hf_judge_{name}", T.StringType(), f"{name}_judge", f"judge-{name}", ~j.nothing_to_check(), drop=False)
             now = judge.settle(asked, j, f"_hf_judge_{name}")
         if result.config.mode == "rewrite":

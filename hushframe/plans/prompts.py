@@ -50,17 +50,107 @@ def entity_lines(by_value: Column) -> Column:
     return F.array_join(F.transform(by_value, lambda v: F.concat(F.lit("- "), v["value"], F.lit(" ("), F.array_join(v["labels"], ", "), F.lit(")"))), "\n")
 
 
-VALIDATE = "Say for each entity of the text whether it is one: keep, reclass (with proposed_label) or drop.\nNotation: <<NOTATION>>\n<<EXCERPT>>\nFill in and return: <<SKELETON>>"
-AUGMENT = "List entities (value, label, reason) that the tags miss.\n<<LABELS>>\n<<TEXT>>"
-LATENT = "List what can be inferred without being said (category, label, value, confidence, evidence, rationale).\n<<GOAL>>\n<<TEXT>>"
-SUBSTITUTE = "Make up a replacement for each entity: original, label, synthetic.\n<<INSTRUCTIONS>>\n<<ENTITIES>>\nExamples: <<EXAMPLES>>\n<<TEXT>>"
-DOMAIN = "Name the domain of the text and how sure you are.\n<<TEXT>>"
-DISPOSITION = "For each entity: sensitivity, combined risk and how to protect it.\n<<GOAL>>\n<<ENTITIES>>\n<<TEXT>>"
-MEANING = "List what the text says that must survive: aspect, unit, importance.\n<<TEXT>>"
-QUALITY_QA = "Ask a question for each unit, with its answer from the text.\n<<UNITS>>\n<<TEXT>>"
-REWRITE = "Rewrite the text.\n<<GOAL>>\n<<INSTRUCTIONS>>\nProtect: <<BLOCK>>\nUse: <<PAIRS>>\n<<TEXT>>"
-ANSWER = "Answer from the text alone.\n<<QUESTIONS>>\n<<TEXT>>"
-COMPARE = "Score from 0 to 1 how far the answers agree.\n<<QUESTIONS>>\n<<ANSWERS>>"
-REPAIR = "Rewrite again so that this can't be told any more.\n<<LEAKED>>\n<<TEXT>>"
-FINAL_JUDGE = "Judge privacy, quality and style (high, medium, low).\n<<GOAL>>\n<<TEXT>>\n---\n<<REWRITTEN>>"
-JUDGE = "Judge: <<WHAT>>\n<<ITEMS>>\n<<TEXT>>"
+VALIDATE = """Say for each entity of the text whether it is what its label says.
+<<SUMMARY>>
+Entities are marked in the "<<NOTATION>>" notation.
+- keep: the label fits the words where they stand.
+- reclass: the words are sensitive but another label fits better; write it as proposed_label.
+- drop: in this place the words tell nothing of a person, an organisation, a place, a time, an account or a device.
+Judge by the words around an entity, not by the value alone. Answer every id once and leave ids as they are; reason is one short sentence.
+<<EXCERPT>>
+Replace the nulls of this JSON and return nothing else: <<SKELETON>>"""
+_AUGMENT = """List entities that the tags miss.
+<<SUMMARY>>
+Tagged words are known already: don't list them again. Copy values letter by letter from the text, each value once. Leave out pronouns, common nouns and placeholders.
+{0}
+<<LABELS>>
+<<TEXT>>
+Return JSON: {{"entities": [{{"value": "...", "label": "...", "reason": "..."}}]}}; an empty list if nothing is missing."""
+#: Where the user names labels only these are allowed; else others may be made up.
+AUGMENT_STRICT = _AUGMENT.format("Use these labels and no others:")
+AUGMENT_OPEN = _AUGMENT.format("Prefer these labels; where none fits, make one up in lower case with underscores:")
+LATENT = """List what can be inferred about a person from the text although it isn't said.
+<<SUMMARY>>
+<<GOAL>>
+Only what two or more hints of the text support counts; what is tagged is said, not inferred. confidence is high, medium or low; evidence quotes the hints.
+<<TEXT>>
+Return JSON: {"latent_entities": [{"category": "...", "label": "...", "value": "...", "confidence": "...", "evidence": ["..."], "rationale": "..."}]}"""
+SUBSTITUTE = """Make up a replacement for each entity.
+<<INSTRUCTIONS>>
+A replacement is of the same kind, length and style as the original and fits the sentence (case, gender, number, language). People, places and firms are invented. Entities that belong together (a name and its e-mail address, a city and its postcode) stay together; the same original gets the same replacement. No replacement equals an original of the list.
+Entities:
+<<ENTITIES>>
+Examples of labels: <<EXAMPLES>>
+<<TEXT>>
+Return JSON: {"replacements": [{"original": "...", "label": "...", "synthetic": "..."}]}"""
+DOMAIN = """Name the domain of the text.
+<<DOMAINS>>
+<<TEXT>>
+Return JSON: {"domain": "one of the names above", "domain_confidence": 0.0 to 1.0}"""
+DISPOSITION = """For each entity: sensitivity, how far it identifies someone together with the others, and how to protect it.
+<<GOAL>>
+<<GUIDANCE>>
+category: direct_identifier, quasi_identifier, latent_identifier or sensitive_attribute. sensitivity and combined_risk_level: high, medium or low. protection_method_suggestion: replace, generalize, remove, suppress_inference or leave_as_is; of low risk leave_as_is, of high risk never.
+Entities:
+<<ENTITIES>>
+Inferred:
+<<LATENT>>
+<<TEXT>>
+Return JSON: {"sensitivity_disposition": [{"id": 1, "source": "tagged or latent", "category": "...", "sensitivity": "...", "entity_label": "...", "entity_value": "...", "protection_reason": "...", "protection_method_suggestion": "...", "combined_risk_level": "..."}]}"""
+MEANING = """List what the text says that must survive a rewrite.
+<<GUIDANCE>>
+One statement a unit, in general words, without tagged values. importance is critical or important.
+<<TEXT>>
+Return JSON: {"units": [{"id": 1, "aspect": "...", "unit": "...", "importance": "..."}]}"""
+QUALITY_QA = """Ask a question for each unit, with its answer from the text.
+A question is answered by what the unit says, names no one, and keeps the unit's id, aspect and importance.
+<<UNITS>>
+<<TEXT>>
+Return JSON: {"items": [{"id": 1, "aspect": "...", "importance": "...", "question": "...", "reference_answer": "..."}]}"""
+REWRITE = """Rewrite the text.
+<<GOAL>>
+<<INSTRUCTIONS>>
+<<GUIDANCE>>
+Each entity to protect is treated by its method: replace (take the given replacement), generalize (say it less exactly), remove (leave it out), suppress_inference (change the hints). Tags don't appear in the answer. Everything else keeps its meaning, order and tone.
+Protect: <<BLOCK>>
+Replacements: <<PAIRS>>
+<<TEXT>>
+Return JSON: {"rewritten_text": "..."}"""
+ANSWER_PRIVACY = """Answer each question with yes or no from the text alone.
+yes: the text says it or a careful reader could work it out. confidence is from 0.0 to 1.0; evidence quotes what was used.
+<<QUESTIONS>>
+<<TEXT>>
+Return JSON: {"answers": [{"id": 1, "answer": "yes or no", "confidence": 0.0, "reason": "...", "evidence": ["..."]}]}"""
+ANSWER_QUALITY = """Answer each question from the text alone, in one sentence; unknown if it doesn't say.
+<<QUESTIONS>>
+<<TEXT>>
+Return JSON: {"answers": [{"id": 1, "answer": "..."}]}"""
+COMPARE = """Score from 0.0 to 1.0 how far each answer says the same as the reference answer.
+Other names, numbers or dates don't count against it if they were to be protected; unknown is 0.0.
+<<QUESTIONS>>
+<<ANSWERS>>
+Return JSON: {"items": [{"id": 1, "score": 0.0, "reason": "..."}]}"""
+REPAIR = """Rewrite again so that what leaked can't be told any more.
+Change only what is needed for that; keep all else word by word.
+Leaked:
+<<LEAKED>>
+<<TEXT>>
+Return JSON: {"rewritten_text": "..."}"""
+FINAL_JUDGE = """Judge privacy, quality and style of the second text as a rewrite of the first: high, medium or low each.
+<<GOAL>>
+<<TEXT>>
+---
+<<REWRITTEN>>
+Return JSON: {"privacy": "...", "quality": "...", "style": "..."}"""
+#: What each judge looks at, and the fields of its items.
+JUDGED = {
+    "detection": ("whether each value is sensitive here and its label right; list only those that aren't", "value, label, reason"),
+    "type_fidelity": ("whether each replacement is of its label's kind; list only those that aren't", "original, label, synthetic, reason"),
+    "relational": ("whether replacements that belong together still do; list every relation", "relation, passes, reason"),
+    "attribute": ("whether replacements keep gender, language, region and age group; list every attribute", "original, synthetic, attribute, passes, reason"),
+}
+JUDGE = """Judge: <<WHAT>>.
+<<LABELS>>
+<<ITEMS>>
+<<TEXT>>
+Return JSON: {"all_valid": true or false, "items": [objects with <<FIELDS>>]}"""

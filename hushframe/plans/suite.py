@@ -13,6 +13,7 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..operators.replace import method
 from ..operators.rewrite import Rewrite
@@ -132,6 +133,13 @@ def sweep(suite: Suite, parameters: dict[str, list]) -> Iterator[tuple[dict, Sui
 
 
 def seal(records: DataFrame) -> str:
-    """A digest of a finished case's records, whatever their order; only counts and a checksum reach the driver."""
-    row = records.agg(F.count(F.lit(1)), F.expr(f"bit_xor(xxhash64({', '.join(f'`{c}`' for c in sorted(records.columns) if 'map' not in dict(records.dtypes)[c])}))")).first()
-    return hashlib.sha256(f"{row[0]}:{row[1]}".encode()).hexdigest()
+    """A digest of a finished case's records, whatever their order; only a count and two sums reach the driver.
+
+    Rows are hashed as JSON with maps as sorted entries; hashes are added, so that a
+    row that is there twice counts twice.
+    """
+    maps = {f.name for f in records.schema.fields if isinstance(f.dataType, T.MapType)}
+    plain = [(F.sort_array(F.map_entries(f"`{c}`")) if c in maps else F.col(f"`{c}`")).alias(c) for c in sorted(records.columns)]
+    row = F.to_json(F.struct(*plain), {"ignoreNullFields": "false"})
+    sums = (F.sum(F.xxhash64(row, F.lit(k)).cast("decimal(38,0)")) for k in (0, 1))
+    return hashlib.sha256(":".join(map(str, records.agg(F.count(F.lit(1)), *sums).first())).encode()).hexdigest()

@@ -32,7 +32,7 @@ FAILED = _struct(record_id=S, step=S, reason=S)
 #: Columns that stages add beside the user's own.
 TEXT, OUTPUT = "_hf_text", "_hf_text_out"
 RAW, ENTITIES, BY_VALUES, TAGGED = "_hf_raw", "_hf_entities", "_hf_by_value", "_hf_tagged"
-FINAL, MAP, RECORD_ID = "final_entities", "_hf_map", "_hf_record_id"
+FINAL, MAP, RECORD_ID, ORDER = "final_entities", "_hf_map", "_hf_record_id", "_hf_order"
 #: Names a result has beside the text column's own, which it suffixes.
 SUFFIXES = ("_replaced", "_with_spans", "_rewritten")
 RESULT_COLUMNS = ("final_entities", "utility_score", "leakage_mass", "weighted_leakage_rate", "any_high_leaked", "needs_human_review")

@@ -46,6 +46,16 @@ class Resolved:
         return replace(self, frame=frame)
 
 
+def shared_folder(spark: SparkSession, given: str | None = None) -> str:
+    """Where rows are kept between steps: given, or ``spark.checkpoint.dir``; a folder of our own in a local session only."""
+    found = given or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise InputError("spark.checkpoint.dir has to name a folder that the driver and all executors share")
+        found = "/tmp/checkpoints/hushframe"
+    return found.rstrip("/")
+
+
 def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """A CSV or Parquet table, or its first ``rows`` (none for 0 or less)."""
     suffix = suffix_of(path)

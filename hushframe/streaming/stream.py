@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from .. import schemas
 from ..operators import detect, replace
+from ..sources.tables import shared_folder
 
 
 def redacted(df: DataFrame, how=None, labels: list[str] | None = None) -> DataFrame:
@@ -24,8 +25,7 @@ def label_rates(df: DataFrame, time: str, late: str = "10 minutes", every: str =
 
 def redact_stream(spark: SparkSession, path: str, key: str, folder: str | None = None) -> DataFrame:
     """Reads a Parquet table as a stream, writes it redacted, and returns what was written."""
-    base = folder or spark.sparkContext.getConf().get("spark.checkpoint.dir") or "/tmp/checkpoints/hushframe"
-    out = f"{base.rstrip('/')}/stream-{uuid.uuid4().hex}"
+    out = f"{shared_folder(spark, folder)}/stream-{uuid.uuid4().hex}"
     schema = spark.read.parquet(path).schema
     # a stream reads a folder: of a single file, the folder it is in
     whole = spark.read.parquet(path).inputFiles()
