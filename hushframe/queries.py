@@ -64,8 +64,13 @@ _RESOLVED = f"""with raw as ({_ALL}),
   spans as (select doc_id, u.label as label, u.value as value, u.s as s, u.e as e from (select doc_id, unnest(k) as u from kept))"""
 
 
+def _each(df: DataFrame, items: Column | str, name: str) -> DataFrame:
+    """doc_id and each item. Of a plain explode Catalyst makes a filter too, which would work the items out twice."""
+    return df.select("doc_id", F.explode_outer(items).alias(name)).filter(F.col(name).isNotNull())
+
+
 def _exploded(df: DataFrame) -> DataFrame:
-    e = df.select("doc_id", F.explode(schemas.FINAL).alias("e"))
+    e = _each(df, schemas.FINAL, "e")
     return e.select("doc_id", F.col("e.label").alias("label"), F.col("e.value").alias("value"), F.col("e.start_position").alias("s"), F.col("e.end_position").alias("e"))
 
 
@@ -117,7 +122,7 @@ def has_entities_split(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _rule_query(label: str, name: str) -> None:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = _docs(spark, sf_dir).select("doc_id", F.explode(detect.rule_spans(F.col(schemas.TEXT), label, RULES[label])).alias("e"))
+        found = _each(_docs(spark, sf_dir), detect.rule_spans(F.col(schemas.TEXT), label, RULES[label]), "e")
         return found.groupBy("doc_id", F.col("e.value").alias("value")).agg(F.count(F.lit(1)).alias("n"))
 
     run.__name__ = name
@@ -218,7 +223,7 @@ def tag_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_RESOLVED} select doc_id, value, array_to_string(list_sort(list_distinct(list(label))), ',') as labels from spans group by doc_id, value")
 def entities_by_value(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _found(spark, sf_dir).select("doc_id", F.explode(schemas.BY_VALUES).alias("v"))
+    out = _each(_found(spark, sf_dir), schemas.BY_VALUES, "v")
     return out.select("doc_id", F.col("v.value").alias("value"), F.array_join("v.labels", ",").alias("labels"))
 
 
@@ -352,7 +357,7 @@ def annotate_text(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"{_RESOLVED} select distinct doc_id, value as original, label, '[REDACTED_' || upper(label) || ']' as synthetic from spans")
 def replacement_map(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = _found(spark, sf_dir).select("doc_id", F.explode(replace.replacement_map(F.col(schemas.FINAL), replace.Redact())).alias("p"))
+    out = _each(_found(spark, sf_dir), replace.replacement_map(F.col(schemas.FINAL), replace.Redact()), "p")
     return out.select("doc_id", "p.original", "p.label", "p.synthetic")
 
 
