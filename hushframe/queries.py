@@ -726,4 +726,4 @@ def stream_equals_batch(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redact_stream(spark, f"{sf_dir}/documents.parquet", "doc_id").select("doc_id", "replaced")
 
 
-from . import stage_queries  # noqa: E402, F401
+from . import run_queries, stage_queries  # noqa: E402, F401

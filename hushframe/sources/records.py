@@ -83,9 +83,9 @@ def read_artifacts(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(ARTIFACT).json(path)
 
 
-def read_traces(spark: SparkSession, folder: str) -> DataFrame:
+def read_traces(spark: SparkSession, folder: str, pattern: str = "*.jsonl") -> DataFrame:
     """Traces in a folder and those below it; what the schema lacks isn't parsed."""
-    return spark.read.schema(TRACE).option("recursiveFileLookup", True).option("pathGlobFilter", "*.jsonl").json(folder)
+    return spark.read.schema(TRACE).option("recursiveFileLookup", True).option("pathGlobFilter", pattern).json(folder)
 
 
 def export(measurements: DataFrame, folder: str, suffix: str = ".parquet", overwrite: bool = False) -> str:
