@@ -7,7 +7,7 @@ import logging
 
 #: Public names and where they are; they are imported when first used, so that Python workers load only what they need.
 _WHERE = {
-    "Engine": "plans.engine", "Result": "plans.engine", "Config": "plans.config", "Detect": "plans.config", "Input": "plans.config", "Models": "plans.models", "show": "plans.display",
+    "Engine": "plans.engine", "Result": "plans.engine", "Config": "plans.config", "Detect": "plans.config", "Evaluate": "plans.config", "Input": "plans.config", "Models": "plans.models", "show": "plans.display",
     "Annotate": "operators.replace", "Hash": "operators.replace", "Redact": "operators.replace", "Substitute": "operators.replace",
     "PrivacyGoal": "operators.rewrite", "Rewrite": "operators.rewrite", "InputError": "sources.tables", "TableError": "sources.tables", "column_step": "plans.columns",
 }

@@ -246,3 +246,8 @@ def deduplicated(entities: Column) -> Column:
     first = F.filter(entities, lambda e, i: ~F.exists(F.slice(entities, 1, i), lambda x: same(x, e)))
     best = lambda e: F.array_max(F.transform(F.filter(entities, lambda x: same(x, e)), lambda x: x["score"]))
     return F.transform(first, lambda e: F.try_element_at(F.filter(entities, lambda x: same(x, e) & (x["score"] == best(e))), F.lit(1)))
+
+
+def final_spans(entities: Column, flat: bool) -> Column:
+    """What a detector's server answers: each span once and, unless ``flat``, without those within longer ones."""
+    return deduplicated(entities if flat else without_subsets(entities))

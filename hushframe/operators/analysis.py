@@ -6,6 +6,7 @@ from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from ..functions.text import f1, ratio
 from ..sources.records import LABEL_MAPS, NUMBERS, REQUESTS, VERDICTS
@@ -245,3 +246,42 @@ def label_frequency(df: DataFrame, entities: str) -> DataFrame:
     """Labels with how often they occur and their place by that; of equal ones the first by name. A row a label."""
     counts = df.select(F.explode(F.transform(entities, lambda e: e["label"])).alias("label")).groupBy("label").agg(F.count(F.lit(1)).alias("n"))
     return counts.withColumn("place", F.row_number().over(Window.orderBy(F.desc("n"), "label")))
+
+
+def analysis_tables(measurements: DataFrame, artifacts: DataFrame | None = None, traces: DataFrame | None = None) -> dict[str, DataFrame]:
+    """The four tables of an analysis: cases, groups of cases, use of models, and groups of that."""
+    cases, usage = case_rows(measurements, artifacts, traces), usage_rows(measurements)
+    return {"case_analysis": cases, "group_analysis": group_rows(cases), "model_analysis": usage, "model_group_analysis": usage_group_rows(usage)}
+
+
+#: How names of fields end whose values are averaged; other numbers are added up, and of what isn't a number the last counts.
+MEANS = ("_rate", "_per_sec", "_precision", "_recall", "_f1", "_score", "_fraction")
+
+
+def scalar_kind(field: T.StructField) -> str:
+    """sum, mean or last: how a field of records is rolled up."""
+    if not isinstance(field.dataType, T.NumericType):
+        return "last"
+    return "mean" if field.name.endswith(MEANS) else "sum"
+
+
+def scalar_rollup(records: DataFrame, keys: list[str], order: str, kinds: dict[str, str] | None = None) -> DataFrame:
+    """A row a key: sums, means (as name_mean) and last values of the other fields, nulls left out.
+
+    ``order`` tells which value is the last; ``kinds`` overrides ``scalar_kind`` by name.
+    All are partial aggregates, so a key's records never meet in one task.
+    """
+    made = []
+    for f in records.schema.fields:
+        if f.name in (*keys, order):
+            continue
+        c, kind = F.col(f"`{f.name}`"), (kinds or {}).get(f.name, scalar_kind(f))
+        if kind == "sum":
+            made.append(F.sum(c.cast("double")).alias(f.name))
+        elif kind == "mean":
+            made.append(F.avg(c.cast("double")).alias(f"{f.name}_mean"))
+        elif kind == "last":
+            made.append(F.max_by(c, F.when(c.isNotNull(), F.col(order))).alias(f.name))
+        else:
+            raise ValueError(f"{f.name}: {kind!r} isn't sum, mean or last")
+    return records.groupBy(*keys).agg(*made)

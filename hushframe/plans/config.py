@@ -6,6 +6,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
+from ..operators.judge import JUDGES
 from ..operators.replace import Annotate, Hash, Redact, Substitute
 from ..operators.rewrite import Rewrite
 from ..sources.tables import InputError, is_remote
@@ -90,6 +91,18 @@ class Config:
         return "replace" if self.replace is not None else "rewrite"
 
 
+@dataclass(frozen=True)
+class Evaluate:
+    """Which judges look at a finished result; without a choice, those that its mode calls for."""
+
+    judges: tuple[str, ...] | None = None
+
+    def __post_init__(self):
+        unknown = sorted(set(self.judges or ()) - set(JUDGES))
+        if unknown or self.judges == ():
+            raise InputError(f"there is no judge named {', '.join(unknown)}" if unknown else "judges is empty; None stands for those of the mode")
+
+
 def validator_pool(aliases: str | list[str] | tuple[str, ...]) -> list[str]:
     """Aliases in order, each once."""
     if not isinstance(aliases, str | list | tuple):

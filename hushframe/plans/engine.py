@@ -15,7 +15,7 @@ from ..operators import detect, judge, metrics, model, rewrite
 from ..operators import replace as replacing
 from ..sources import tables
 from . import domains, prompts
-from .config import LABEL_NAMES, Config, Detect, Input
+from .config import LABEL_NAMES, Config, Detect, Evaluate, Input
 from .models import Models, pool_of
 
 log = logging.getLogger("hushframe")
@@ -233,11 +233,11 @@ class Engine:
     def preview(self, config: Config, data: Input, rows: int = 10) -> Result:
         return self.run(config, data, rows)
 
-    def evaluate(self, result: Result) -> Result:
+    def evaluate(self, result: Result, how: Evaluate = Evaluate()) -> Result:
         """Judges' verdicts beside a finished result: all four for substitutes, else detection's (as a share for rewrites)."""
         if self.provider is None:
             raise tables.InputError("judges need a model: give the engine a provider")
-        names = list(judge.JUDGES) if isinstance(result.config.replace, replacing.Substitute) else ["detection"]
+        names = list(how.judges) if how.judges else list(judge.JUDGES) if isinstance(result.config.replace, replacing.Substitute) else ["detection"]
         now = result.trace
         for name in names:
             j = judge.JUDGES[name]
@@ -249,7 +249,8 @@ class Engine:
             prompt = prompts.fill_columns(prompts.FINAL_JUDGE, {"GOAL": F.lit(result.config.rewrite.privacy_goal.prompt()), "TEXT": F.col(schemas.TEXT), "REWRITTEN": F.coalesce(F.col(schemas.OUTPUT), F.lit(""))})
             now = self.ask(now, prompt, "judge_evaluation", schemas._struct(privacy=schemas.S, quality=schemas.S, style=schemas.S), "rewrite_judge", "rewrite-final-judge", F.size(schemas.BY_VALUES) > 0, drop=False)
             total = F.size(judge.judged_entities(F.col(schemas.BY_VALUES)))
-            now = now.withColumn("detection_valid", judge.valid_fraction(F.col("detection_valid"), F.size("detection_invalid"), total))
+            if "detection" in names:
+                now = now.withColumn("detection_valid", judge.valid_fraction(F.col("detection_valid"), F.size("detection_invalid"), total))
         return replace(result, frame=user_columns(now, result.text_column), trace=now)
 
 

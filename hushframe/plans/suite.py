@@ -108,6 +108,12 @@ def run_suite(spark: SparkSession, suite: Suite, folder: str, make: Callable[[Sp
     return done, reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), tables) if tables else None
 
 
+def combined_records(spark: SparkSession, folder: str, cases: list[Case]) -> DataFrame | None:
+    """The records of the cases that ended well, read back from a suite's folder; none if there are none."""
+    paths = [f"{folder}/{c.id}/records" for c in cases if c.status == "completed"]
+    return spark.read.option("mergeSchema", True).parquet(*paths) if paths else None
+
+
 def patched(spec: dict, path: str, value: object) -> dict:
     """A copy with the value at a dotted path changed (and made, where it isn't there)."""
     out = copy.deepcopy(spec)

@@ -15,7 +15,7 @@ from .functions import spans
 from .operators import analysis, replace, rewrite
 from .plans import engine, suite
 from .plans.config import Config, Input
-from .queries import _CASES, _EVENTS, _SPAN_SQL, _docs, _line_spans, _measurements, _replaced_sql, _table, query
+from .queries import _CASES, _EVENTS, _LINES, _SPAN_SQL, _docs, _line_spans, _measurements, _replaced_sql, _table, query
 from .sources import records, tables
 
 
@@ -193,3 +193,47 @@ def usage_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
 def latest_values(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last record of each user."""
     return analysis.latest(_table(spark, sf_dir, "events"), ["user_id"], "event_id").select("user_id", "event_id", "event_type")
+
+
+_KNOWN = f"select r.*, l.pk from ({_SPAN_SQL}) r join ({_LINES}) l on l.l_orderkey = r.id and l.l_linenumber = r.n"
+
+
+@query(
+    f"""with r as ({_KNOWN}), x as (select *, exists (select 1 from r b where b.id = r.id and b.s <= r.s and b.e >= r.e and (b.s < r.s or b.e > r.e)) as within from r)
+    select id, cast(count(distinct (label, pk, s, e)) as integer) as flat, cast(count(distinct case when not within then (label, pk, s, e) end) as integer) as nested from x group by id"""
+)
+def server_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many spans a detector's server answers with, flat and nested."""
+    return _line_spans(spark, sf_dir).select("id", F.size(spans.final_spans(F.col("spans"), True)).alias("flat"), F.size(spans.final_spans(F.col("spans"), False)).alias("nested"))
+
+
+@query("select event_id, case event_id % 4 when 0 then value end as plain, case event_id % 4 when 0 then value end as inner_value from events")
+def numbers_in_json(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What JSON has no number for is null in it, inside lists too."""
+    odd = F.when(F.col("event_id") % 4 == 0, F.col("value")).when(F.col("event_id") % 4 == 1, float("nan")).when(F.col("event_id") % 4 == 2, float("inf")).otherwise(float("-inf"))
+    rows = _table(spark, sf_dir, "events").select("event_id", odd.alias("plain"), F.array(F.struct(odd.alias("v"))).alias("nested"))
+    path = tables.write_table(rows, f"{_path(spark, 'numbers')}.jsonl")
+    # read as texts first: a quoted NaN would otherwise be read as one
+    texts = spark.read.schema("event_id long, plain string, nested array<struct<v:string>>").json(path)
+    return texts.select("event_id", F.col("plain").cast("double").alias("plain"), F.col("nested")[0]["v"].cast("double").alias("inner_value"))
+
+
+@query("select user_id, arg_max(event_type, event_id) as status, cast(sum(event_id % 9) as double) as observed_total_requests, round(avg(value), 6) as input_rows_per_sec_mean, max(case when event_id % 2 = 0 then event_id end) as last_even from events group by user_id")
+def scalar_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sums, means and last values, by what fields are called."""
+    k = F.col("event_id")
+    rows = _table(spark, sf_dir, "events").select("user_id", "event_id", F.col("event_type").alias("status"), (k % 9).alias("observed_total_requests"), F.col("value").alias("input_rows_per_sec"), F.when(k % 2 == 0, k).alias("last_even"))
+    out = analysis.scalar_rollup(rows, ["user_id"], "event_id", {"last_even": "last"})
+    return out.withColumn("input_rows_per_sec_mean", F.round("input_rows_per_sec_mean", 6))
+
+
+@query(
+    f"""with m as ({_EVENTS}) select 'case_analysis' as name, count(distinct case_id) as n from m union all select 'group_analysis', count(*) from (select distinct user_id % 3, case when user_id % 5 > 0 then user_id % 5 end from m)
+    union all select 'model_analysis', count(*) from m where t = 2 and (k % 9 > 0 or k % 4 > 0 or k > 0) union all select 'model_group_analysis', count(*) from (select distinct user_id % 3, user_id % 5, event_type from m where t = 2 and (k % 9 > 0 or k % 4 > 0 or k > 0))"""
+)
+def analysis_written(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The four tables of an analysis, written; how many rows each has when read back."""
+    out = spark.createDataFrame([], "name string, n long")
+    for name, path in tables.write_tables(analysis.analysis_tables(_measurements(spark, sf_dir)), _path(spark, "analysis")).items():
+        out = out.unionByName(spark.read.parquet(path).agg(F.count(F.lit(1)).alias("n")).select(F.lit(name).alias("name"), "n"))
+    return out

@@ -6,7 +6,7 @@ from dataclasses import dataclass, replace
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -121,6 +121,28 @@ def flat(frame: DataFrame) -> DataFrame:
     return frame.select(*(F.to_json(f"`{f.name}`").alias(f.name) if isinstance(f.dataType, nested) else F.col(f"`{f.name}`") for f in frame.schema.fields))
 
 
+def _finite(value: Column, kind: T.DataType) -> Column:
+    if isinstance(kind, T.DoubleType | T.FloatType):
+        return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+    if isinstance(kind, T.ArrayType):
+        return F.transform(value, lambda x: _finite(x, kind.elementType))
+    if isinstance(kind, T.MapType):
+        return F.transform_values(value, lambda _, x: _finite(x, kind.valueType))
+    if isinstance(kind, T.StructType):
+        return F.when(value.isNotNull(), F.struct(*(_finite(value[f.name], f.dataType).alias(f.name) for f in kind.fields)))
+    return value
+
+
+def _has_floats(kind: T.DataType) -> bool:
+    parts = [f.dataType for f in kind.fields] if isinstance(kind, T.StructType) else [kind.elementType] if isinstance(kind, T.ArrayType) else [kind.valueType] if isinstance(kind, T.MapType) else []
+    return isinstance(kind, T.DoubleType | T.FloatType) or any(map(_has_floats, parts))
+
+
+def json_safe(frame: DataFrame) -> DataFrame:
+    """Numbers that JSON lacks (not a number, infinities) as null, wherever they are nested."""
+    return frame.withColumns({f.name: _finite(F.col(f"`{f.name}`"), f.dataType) for f in frame.schema.fields if _has_floats(f.dataType)})
+
+
 def write_table(frame: DataFrame, path: str, overwrite: bool = False) -> str:
     """Writes CSV, Parquet or JSON lines, by the suffix of the path; every task writes its own part."""
     suffix = suffix_of(path)
@@ -130,12 +152,17 @@ def write_table(frame: DataFrame, path: str, overwrite: bool = False) -> str:
     elif suffix == ".parquet":
         writer.parquet(path)
     elif suffix in (".jsonl", ".json"):
-        writer.json(path)
+        json_safe(frame).write.mode("overwrite" if overwrite else "error").json(path)
     else:
         raise InputError(f"{suffix or path!r} isn't a format that is written")
     return path
 
 
+def write_tables(named: dict[str, DataFrame], folder: str, suffix: str = ".parquet", overwrite: bool = False) -> dict[str, str]:
+    """Several tables under a folder; name -> path."""
+    return {name: write_table(frame, f"{folder.rstrip('/')}/{name}{suffix}", overwrite) for name, frame in named.items()}
+
+
 def slice_rows(frame: DataFrame, order: str, offset: int = 0, limit: int | None = None) -> DataFrame:
     """Rows from ``offset`` on, in a stated order."""
     out = frame.orderBy(order).offset(offset)

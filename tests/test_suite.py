@@ -6,8 +6,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from hushframe.operators import analysis
+from hushframe.plans.config import Evaluate
 from hushframe.plans.domains import DOMAINS, privacy_guidance, quality_guidance
-from hushframe.plans.suite import Suite, Workload, config_of, patched, run_suite, seal, sweep
+from hushframe.plans.suite import Suite, Workload, combined_records, config_of, patched, run_suite, seal, sweep
 from hushframe.sources import records
 from hushframe.sources.tables import InputError
 
@@ -18,6 +19,8 @@ def test_a_suite_runs_its_cases_and_notes_failures(spark, tmp_path):
     cases, made = run_suite(spark, suite, f"file://{tmp_path}/out", retries=1, wait=0)
     assert [c.status for c in cases] == ["completed", "completed", "error"] and cases[0].id == "all__hash__r000"
     assert {r["run_tags"]["workload_id"]: r["n"] for r in made.groupBy("run_tags").agg(F.sum("final_entity_count").alias("n")).collect()} == {"all": 6, "some": 3}
+    again = combined_records(spark, f"file://{tmp_path}/out", cases)
+    assert again.count() == made.count() and combined_records(spark, "x", []) is None
     assert seal(made) == seal(made.orderBy(F.desc("text_length_chars"))) != seal(made.limit(2))
     assert analysis.summary(spark.createDataFrame([("a", False, 2.0), ("b", True, 4.0)], "case_id string, case_failed boolean, pipeline_elapsed_sec double")).first().success_rate == 0.5
 
@@ -53,3 +56,19 @@ def test_strict_reading(spark, tmp_path):
     good.write_text("{bad\n")
     with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
         records.read_strictly(spark, f"file://{good}")
+
+
+def test_judges_are_checked():
+    assert Evaluate().judges is None and Evaluate(("detection",)).judges == ("detection",)
+    for bad in ((), ("nobody",)):
+        with pytest.raises(InputError):
+            Evaluate(bad)
+
+
+def test_rollup_of_nulls_and_unknown_kinds(spark):
+    rows = spark.createDataFrame([("a", 1, None, None, "x"), ("a", 2, None, None, None), ("b", 1, 3, 0.5, None)], "k string, n int, total int, failed_rate double, status string")
+    got = {r.k: r for r in analysis.scalar_rollup(rows, ["k"], "n").collect()}
+    assert (got["a"].total, got["a"].failed_rate_mean, got["a"].status) == (None, None, "x") and (got["b"].total, got["b"].failed_rate_mean, got["b"].status) == (3.0, 0.5, None)
+    assert analysis.scalar_rollup(rows.limit(0), ["k"], "n").count() == 0
+    with pytest.raises(ValueError, match="most"):
+        analysis.scalar_rollup(rows, ["k"], "n", {"total": "most"})
