@@ -103,7 +103,7 @@ def tables_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""{_CASES} select case_id, record_count, pipeline_elapsed_sec, final_entity_count, case_failed, case when pipeline_elapsed_sec > 0 then round(record_count / pipeline_elapsed_sec, 9) end as records_per_sec,
+    f"""{_CASES} select case_id, cast(record_count as bigint) as record_count, pipeline_elapsed_sec, final_entity_count, case_failed, case when pipeline_elapsed_sec > 0 then round(record_count / pipeline_elapsed_sec, 9) end as records_per_sec,
     case when record_count > 0 then round(empty_detection_count / record_count, 9) end as empty_rate, case when tp + fn > 0 then round(tp / (tp + fn), 9) end as recall from c"""
 )
 def measurements_read_back(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -125,8 +125,8 @@ def records_exported(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    f"""with m as ({_EVENTS}) select case_id, count_if(t = 1) as detection_artifact_rows, cast(sum(case when t = 1 then k % 5 end) as bigint) as seed_entity_count, cast(sum(case when t = 1 then k % 3 end) as bigint) as artifact_final_detector_entity_count,
-    cast(count(distinct case when t = 1 then k % 7 end) as integer) as signatures, count_if(t = 2) as traces, count_if(t = 2 and event_type = 'error') as errors, case when count_if(t = 2) > 0 then count_if(t = 2 and event_type = 'error' and k % 3 = 0) end as bridges from m group by case_id"""
+    f"""with m as ({_EVENTS}) select case_id, cast(count_if(t = 1) as bigint) as detection_artifact_rows, cast(sum(case when t = 1 then k % 5 end) as bigint) as seed_entity_count, cast(sum(case when t = 1 then k % 3 end) as bigint) as artifact_final_detector_entity_count,
+    cast(count(distinct case when t = 1 then k % 7 end) as integer) as signatures, cast(count_if(t = 2) as bigint) as traces, cast(count_if(t = 2 and event_type = 'error') as bigint) as errors, cast(case when count_if(t = 2) > 0 then count_if(t = 2 and event_type = 'error' and k % 3 = 0) end as bigint) as bridges from m group by case_id"""
 )
 def artifacts_and_traces(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Cases beside their detection artifacts and message traces, both read from JSON lines."""
@@ -154,7 +154,7 @@ def sealed_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 # ---------------------------------------------------------------- roll-ups
 
 
-@query(f"{_CASES} select count(*) as case_count, count_if(not case_failed) as completed_count, round(count_if(not case_failed) / count(*), 9) as success_rate, sum(pipeline_elapsed_sec) as elapsed_sum, round(avg(pipeline_elapsed_sec), 9) as elapsed_mean from c")
+@query(f"{_CASES} select count(*) as case_count, cast(count_if(not case_failed) as bigint) as completed_count, round(count_if(not case_failed) / count(*), 9) as success_rate, sum(pipeline_elapsed_sec) as elapsed_sum, round(avg(pipeline_elapsed_sec), 9) as elapsed_mean from c")
 def suite_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = analysis.summary(analysis.case_rows(_measurements(spark, sf_dir)))
     return out.withColumns({c: F.round(c, 9) for c in ("success_rate", "elapsed_mean")})
@@ -175,7 +175,7 @@ def group_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select(*plain, *rounded, *(F.col(v).alias(k) for k, v in judged.items()), F.round("micro_detection_valid_rate", 9).alias("valid_rate"))
 
 
-@query("select n_nationkey as k, n_nationkey + 2 as total_requests, cast(n_nationkey % 2 as bigint) as failed_requests, cast(n_nationkey * 3 + 1 as bigint) as input_tokens, cast(5 as bigint) as output_tokens, cast(n_nationkey * 3 + 6 + 7 as bigint) as total_tokens from nation")
+@query("select n_nationkey as k, cast(n_nationkey + 2 as bigint) as total_requests, cast(n_nationkey % 2 as bigint) as failed_requests, cast(n_nationkey * 3 + 1 as bigint) as input_tokens, cast(5 as bigint) as output_tokens, cast(n_nationkey * 3 + 6 + 7 as bigint) as total_tokens from nation")
 def usage_of_models(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Totals over two models, one of which says only its input and output."""
     k = F.col("n_nationkey").cast("long")
