@@ -238,6 +238,8 @@ class Engine:
         if self.provider is None:
             raise tables.InputError("judges need a model: give the engine a provider")
         names = list(how.judges) if how.judges else list(judge.JUDGES) if isinstance(result.config.replace, replacing.Substitute) else ["detection"]
+        if result.config.mode == "rewrite" and names != ["detection"]:
+            raise tables.InputError("of a rewrite only the detection is judged by name; its final judge is always asked")
         now = result.trace
         for name in names:
             j = judge.JUDGES[name]
@@ -249,8 +251,7 @@ class Engine:
             prompt = prompts.fill_columns(prompts.FINAL_JUDGE, {"GOAL": F.lit(result.config.rewrite.privacy_goal.prompt()), "TEXT": F.col(schemas.TEXT), "REWRITTEN": F.coalesce(F.col(schemas.OUTPUT), F.lit(""))})
             now = self.ask(now, prompt, "judge_evaluation", schemas._struct(privacy=schemas.S, quality=schemas.S, style=schemas.S), "rewrite_judge", "rewrite-final-judge", F.size(schemas.BY_VALUES) > 0, drop=False)
             total = F.size(judge.judged_entities(F.col(schemas.BY_VALUES)))
-            if "detection" in names:
-                now = now.withColumn("detection_valid", judge.valid_fraction(F.col("detection_valid"), F.size("detection_invalid"), total))
+            now = now.withColumn("detection_valid", judge.valid_fraction(F.col("detection_valid"), F.size("detection_invalid"), total))
         return replace(result, frame=user_columns(now, result.text_column), trace=now)
 
 

@@ -9,11 +9,12 @@ from hushframe import cli, schemas
 from hushframe.operators import analysis, model
 from hushframe.operators.replace import Hash, Redact, Substitute
 from hushframe.operators.rewrite import PrivacyGoal, Rewrite
-from hushframe.plans.config import Config, Detect, Input, validator_pool
+from hushframe.plans.config import Config, Detect, Evaluate, Input, validator_pool
 from hushframe.plans.display import show
 from hushframe.plans.engine import Engine, unrenamed
 from hushframe.plans.prompts import fill
 from hushframe.sources import records, tables
+from hushframe.sources.tables import InputError
 from hushframe.streaming.stream import redact_stream
 
 
@@ -71,10 +72,15 @@ def test_substituting_with_a_model_and_judging(spark, people):
     assert by[1] == "Carol met [SUBSTITUTE_NAME_1]." and by[2] == "Nobody here."
     judged = engine.evaluate(got).frame
     assert {r.id: r.detection_valid for r in judged.collect()} == {1: True, 2: True, 3: True}
+    chosen = engine.evaluate(got, Evaluate(("type_fidelity",))).frame.columns
+    assert "type_fidelity_valid" in chosen and "detection_valid" not in chosen
 
 
 def test_rewriting_repairs_leaks(spark, people):
-    got = Engine(spark, scripted).run(Config(rewrite=Rewrite(risk_tolerance="low")), Input(people))
+    engine = Engine(spark, scripted)
+    got = engine.run(Config(rewrite=Rewrite(risk_tolerance="low")), Input(people))
+    with pytest.raises(InputError, match="rewrite"):
+        engine.evaluate(got, Evaluate(("type_fidelity",)))
     rows = {r.id: r for r in got.frame.collect()}
     assert rows[1].text_rewritten == "Somebody met somebody." and not rows[1].any_high_leaked and rows[1].utility_score == 0.8
     assert rows[2].text_rewritten == "Nobody here." and rows[2].utility_score == 1.0 and not rows[2].needs_human_review
