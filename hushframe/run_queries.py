@@ -29,7 +29,7 @@ def _path(spark: SparkSession, name: str) -> str:
 
 @query(_replaced_sql("'[REDACTED_' || upper(label) || ']'").replace(" as replaced", " as text_replaced"))
 def engine_run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A run from the input's columns to the user's; what detection left out is replaced at all its occurrences anyway."""
+    """A run from the input's columns to the user's (the rules leave out no occurrence, so spreading values adds none)."""
     data = Input(_table(spark, sf_dir, "documents"), id_column="doc_id")
     return engine.Engine(spark).run(Config(replace=replace.Redact()), data).frame.select("doc_id", "text_replaced")
 
