@@ -60,4 +60,23 @@ OP10 = f"""with d as (select doc_id, source, cast(len(regexp_extract_all(coalesc
   y as (select *, target - whole * ss as room from x)
   select doc_id, size, ss as source_size, round(target, 6) as target, cast(whole * size + case when upto <= room then size when upto - size <= room then round(room - upto + size) else 0 end as bigint) as taken from y"""
 
-ORACLE_SQL = {"op9_quality": OP9, "op10_mixing": OP10}
+OP12 = f"""with d as (select doc_id, coalesce(text, '') as t, coalesce(lang, '') as part from documents),
+  m as (select doc_id, t, part, regexp_extract_all(t, '{_WORD}') as w, min(doc_id) over (partition by t) as first from d),
+  l as (select doc_id as id, max(case when quality = 1 then 1 else 0 end) as good, max(case when toxic = 1 then 1 else 0 end) as toxic from labels group by doc_id),
+  f as (select part, coalesce(good, 0) as good, coalesce(toxic, 0) as toxic, [len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * len(regexp_extract_all(t, '[A-Z]')) > 10 * length(t), regexp_matches(t, '[#$%&*|]'), coalesce(doc_id > first, false)] as fails from m left join l on m.doc_id = l.id),
+  c as (select part, fails, count(*) as n, sum(good) as good, sum(toxic) as toxic from f group by part, fails),
+  k as (select unnest([1, 2, 3, 4, 5]) as k),
+  o as (select [a.k, b.k, c.k, d.k, e.k] as o from k a, k b, k c, k d, k e where len(list_distinct([a.k, b.k, c.k, d.k, e.k])) = 5),
+  s as (select part, o, k as step, o[k] as f, sum(n) as n, sum(case when len(list_filter(o[1:k], lambda x: fails[x])) = 0 then n else 0 end) as kept, sum(case when fails[o[k]] then n else 0 end) as failing,
+      sum(case when here then n else 0 end) as removed, sum(case when here then good else 0 end) as good_lost, sum(case when here then toxic else 0 end) as toxic_lost, sum(case when fails[o[k]] and len(list_filter(fails, lambda x: x)) = 1 then n else 0 end) as alone
+    from (select *, fails[o[k]] and len(list_filter(o[1:k - 1], lambda x: fails[x])) = 0 as here from c, o, k) group by all)
+  select part, array_to_string(list_transform(o, lambda x: 'ABCDE'[x]), '') as filter_order, step, cast(kept as bigint) as kept, cast(removed as bigint) as removed, cast(failing - removed as bigint) as redundant, cast(alone as bigint) as unique_fails, cast(good_lost as bigint) as good_lost, cast(toxic_lost as bigint) as toxic_lost, cast(sum(removed) over (partition by part, f) as bigint) as shapley from s"""
+
+OP13 = """with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[A-Za-z]+|[^A-Za-z]') as w, sha256('1:' || coalesce(cast(doc_id as varchar), '')) as h from documents),
+  n as (select doc_id, t, w, len(w) as n, cast('0x' || h[1:8] as bigint) as h1, cast('0x' || h[9:16] as bigint) as h2, cast('0x' || h[17:24] as bigint) as h3, cast('0x' || h[25:32] as bigint) as h4 from d),
+  c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b, case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 90 then 'plain' when h4 % 100 < 20 then 'spm' else 'psm' end as form from n),
+  p as (select *, array_to_string(w[1:a], '') as pre, array_to_string(w[a + 1:b], '') as mid, array_to_string(w[b + 1:], '') as suf from c)
+  select doc_id, n, form, case when form <> 'plain' then length(pre) end as prefix_chars, case when form <> 'plain' then length(mid) end as middle_chars,
+    sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256, sha256(t) as restored_sha256 from p"""
+
+ORACLE_SQL = {"op9_quality": OP9, "op10_mixing": OP10, "op12_filter_audit": OP12, "op13_fill_in_middle": OP13}
