@@ -90,6 +90,13 @@ def op10_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", F.round("target", 6).alias("target"), (F.col("copies") * F.col("size") + F.col("part")).alias("taken"))
 
 
+def op11_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from . import suffix_dedup
+
+    out = suffix_dedup.dedup(table(spark, sf_dir, "documents"), ["doc_id"])
+    return out.select("doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     from . import filter_audit
 
@@ -103,4 +110,4 @@ def op13_fill_in_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2("output", 256).alias("output_sha256"), F.sha2(fim.restored(F.col("output"), F.col("form")), 256).alias("restored_sha256"))
 
 
-QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_score, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op8_html, op9_quality, op10_mixing, op12_filter_audit, op13_fill_in_middle)}
+QUERIES: dict[str, Query] = {f.__name__: f for f in (op1_toxicity, op2_byte_bpe, op3_lm_score, op4_ngram_join, op5_token_ids, op6_embeddings, op7_language, op8_html, op9_quality, op10_mixing, op11_suffix_dedup, op12_filter_audit, op13_fill_in_middle)}
