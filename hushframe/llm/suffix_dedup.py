@@ -24,6 +24,7 @@ a class but its first member (by document, then place) begin earlier elsewhere.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -38,9 +39,11 @@ ANCHOR = 24
 #: Differences of these three numbers give every remainder of 7.
 PERIOD, COVER = 7, (0, 1, 3)
 #: Bytes of text hashed at once, and gathered before stretches are sent.
-SLICE, GATHER = 1 << 22, 1 << 25
+SLICE, GATHER = 1 << 21, 1 << 25
 #: Bytes of stretches meant for a bucket, and suffixes sorted at once.
-BUCKET, BLOCK = 1 << 24, 1 << 20
+BUCKET, BLOCK = 1 << 23, 1 << 18
+#: Rows of stretches sent on at once.
+ROWS = 32
 #: Counters of the sketch of windows; those with more than this share of all windows are common.
 SLOTS, COMMON = 1 << 22, 2.0**-18
 #: A stretch of random text has about half as many suffixes as windows, and LENGTH - 1 bytes more.
@@ -209,15 +212,20 @@ def _sender(buckets: int, common: np.ndarray):
             parts.append((data.copy(), first, number[doc], digest[doc], first - ends[doc], count, anchor, one, two, periodic))
             held += len(data)
             if held >= GATHER:
-                yield _batch(flush(parts))
+                yield from _batches(flush(parts))
                 parts, held = [], 0
         if parts:
-            yield _batch(flush(parts))
+            yield from _batches(flush(parts))
 
     return run
 
 
-def _batch(rows: Iterator[tuple]) -> pa.RecordBatch:
+def _batches(rows: Iterator[tuple]) -> Iterator[pa.RecordBatch]:
+    while some := list(islice(rows, ROWS)):
+        yield _batch(some)
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
     kinds = (pa.int32(), pa.int32(), pa.int32(), pa.int32(), pa.binary(), pa.int32(), pa.binary())
     columns = list(zip(*rows, strict=True)) or [()] * len(kinds)
     return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=[f.split()[0] for f in SENT.split(", ")])
@@ -320,26 +328,45 @@ def _renumber(rank: np.ndarray, items: np.ndarray, key: np.ndarray, old: np.ndar
     return items[~alone]
 
 
+def _firsts(pieces: list[bytes], number: np.ndarray, start: np.ndarray) -> np.ndarray:
+    """For each of some stretches the first one, by document and place, that has the same bytes."""
+    seen: dict[bytes, int] = {}
+    kind = np.array([seen.setdefault(p, len(seen)) for p in pieces], np.int64)
+    order = np.lexsort((start, number, kind))
+    lead = np.maximum.accumulate(np.where(np.diff(kind[order], prepend=-1) != 0, np.arange(len(order)), 0))
+    first = np.empty(len(order), np.int64)
+    first[order] = order[lead]
+    return first
+
+
 def later(made: list[np.ndarray], body: bytes) -> list[np.ndarray]:
     """Intervals (document, digest, start, end) of suffixes that begin earlier elsewhere, among a bucket's stretches."""
     number, digest, start, count, anchor = made
-    periodic, count = count < 0, np.abs(count)
-    _, at, times = np.unique(anchor, return_inverse=True, return_counts=True)
-    offset = np.concatenate([[0], np.cumsum(count + (LENGTH - 1), dtype=np.int64)])
-    kept = np.flatnonzero((times[at] > 1) | periodic)
-    none = [np.zeros(0, np.int64)] * 4
+    periodic, count = count < 0, np.abs(count).astype(np.int64)
+    offset = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])
+    pieces = [body[a:b] for a, b in zip(offset[:-1].tolist(), offset[1:].tolist(), strict=True)]
+    # whole stretches that are there before need no sorting
+    first = _firsts(pieces, number, start)
+    again = (number != number[first]) | (start != start[first])
+    found = [[number[again], digest[again], start[again], start[again] + count[again]]]
+    one = np.flatnonzero(~again)
+    _, at = np.unique(anchor[one], return_inverse=True)
+    # rows of one id at the same place count as one
+    distinct = np.bincount(at, first[one] == one)
+    kept = one[(distinct[at] > 1) | periodic[one]]
     if not len(kept):
-        return none
+        return found[0]
     kept = kept[np.argsort(anchor[kept], kind="stable")]
-    data = b"".join([body[a:b] for a, b in zip(offset[kept].tolist(), offset[kept + 1].tolist(), strict=True)])
-    number, digest, start, anchor, count = number[kept], digest[kept], start[kept], anchor[kept], count[kept].astype(np.int64)
+    data = b"".join([pieces[k] for k in kept.tolist()])
+    del pieces
+    number, digest, start, anchor, count = number[kept], digest[kept], start[kept], anchor[kept], count[kept]
     offset = np.concatenate([[0], np.cumsum(count + LENGTH - 1)])
     suffixes = Suffixes(data)
     document = np.unique(number, return_inverse=True)[1].astype(np.int64)
     # blocks of whole anchors, of about BLOCK suffixes
     upto = np.cumsum(count)
     change = np.append(np.flatnonzero(anchor[1:] != anchor[:-1]) + 1, len(anchor))
-    found, a = [none], 0
+    a = 0
     while a < len(anchor):
         past = upto[a - 1] if a else 0
         b = int(change[min(np.searchsorted(upto[change - 1], past + BLOCK), len(change) - 1)])
@@ -405,34 +432,42 @@ MADE = "n_bytes long, spans array<struct<start: long, end: long>>, kept binary"
 
 def _cutter(fields: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            text = pc.fill_null(batch.column(fields), "")
-            offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
-            raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
-            data, begin = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
-            lists = batch.column(fields + 1)
-            flat = lists.flatten()
-            row = np.repeat(np.arange(len(text)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
-            # rows are laid a byte apart, so that no run goes on in the next one
-            start = begin[row] + row + flat.field(0).to_numpy()
-            end = begin[row] + row + flat.field(1).to_numpy() + LENGTH - 1
-            order = np.argsort(start, kind="stable")
-            start, far, row = start[order], np.maximum.accumulate(end[order]), row[order]
-            fresh = np.ones(len(start), bool)
-            fresh[1:] = start[1:] > far[:-1]
-            first = np.flatnonzero(fresh)
-            last = np.append(first[1:], len(start)) - 1 if len(first) else first
-            row, start, end = row[first], start[first] - row[first], far[last] - row[first]
-            edge = np.zeros(len(data) + 1, np.int32)
-            np.add.at(edge, start, 1)
-            np.add.at(edge, end, -1)
-            stays = np.cumsum(edge[:-1]) == 0
-            lost = np.bincount(row, weights=end - start, minlength=len(text)).astype(np.int64)
-            kept = np.concatenate([[0], np.cumsum(np.diff(begin) - lost)]).astype(np.int32)
-            binary = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(kept), pa.py_buffer(data[stays])])
-            runs = pa.StructArray.from_arrays([pa.array(start - begin[row], pa.int64()), pa.array(end - begin[row], pa.int64())], ["start", "end"])
-            each = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([*batch.columns[:fields], pa.array(np.diff(begin), pa.int64()), pa.ListArray.from_arrays(pa.array(each), runs), binary], names=[*(f"k{i}" for i in range(fields)), "n_bytes", "spans", "kept"])
+        for whole in batches:
+            sizes = np.cumsum(pc.fill_null(pc.binary_length(whole.column(fields)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+            at = 0
+            while at < whole.num_rows:
+                to = max(int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + SLICE, "right")), at + 1)
+                yield cut(whole.slice(at, to - at))
+                at = to
+
+    def cut(batch: pa.RecordBatch) -> pa.RecordBatch:
+        text = pc.fill_null(batch.column(fields), "")
+        offsets = np.frombuffer(text.buffers()[1], np.int32)[text.offset : text.offset + len(text) + 1].astype(np.int64)
+        raw = np.frombuffer(text.buffers()[2], np.uint8) if text.buffers()[2] is not None else np.zeros(0, np.uint8)
+        data, begin = raw[offsets[0] : offsets[-1]], offsets - offsets[0]
+        lists = batch.column(fields + 1)
+        flat = lists.flatten()
+        row = np.repeat(np.arange(len(text)), pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))
+        # rows are laid a byte apart, so that no run goes on in the next one
+        start = begin[row] + row + flat.field(0).to_numpy()
+        end = begin[row] + row + flat.field(1).to_numpy() + LENGTH - 1
+        order = np.argsort(start, kind="stable")
+        start, far, row = start[order], np.maximum.accumulate(end[order]), row[order]
+        fresh = np.ones(len(start), bool)
+        fresh[1:] = start[1:] > far[:-1]
+        first = np.flatnonzero(fresh)
+        last = np.append(first[1:], len(start)) - 1 if len(first) else first
+        row, start, end = row[first], start[first] - row[first], far[last] - row[first]
+        edge = np.zeros(len(data) + 1, np.int32)
+        np.add.at(edge, start, 1)
+        np.add.at(edge, end, -1)
+        stays = np.cumsum(edge[:-1]) == 0
+        lost = np.bincount(row, weights=end - start, minlength=len(text)).astype(np.int64)
+        kept = np.concatenate([[0], np.cumsum(np.diff(begin) - lost)]).astype(np.int32)
+        binary = pa.Array.from_buffers(pa.binary(), len(text), [None, pa.py_buffer(kept), pa.py_buffer(data[stays])])
+        runs = pa.StructArray.from_arrays([pa.array(start - begin[row], pa.int64()), pa.array(end - begin[row], pa.int64())], ["start", "end"])
+        each = np.concatenate([[0], np.cumsum(np.bincount(row, minlength=len(text)))]).astype(np.int32)
+        return pa.RecordBatch.from_arrays([*batch.columns[:fields], pa.array(np.diff(begin), pa.int64()), pa.ListArray.from_arrays(pa.array(each), runs), binary], names=[*(f"k{i}" for i in range(fields)), "n_bytes", "spans", "kept"])
 
     return run
 

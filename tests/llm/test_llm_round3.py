@@ -88,7 +88,7 @@ def test_repeats_by_buckets(seed, monkeypatch):
             buckets.setdefault(r["bucket"], []).append(r)
     begins = [np.zeros(len(t.encode()), bool) for t in texts]
     for sent in buckets.values():
-        found = suffix_dedup._sorter(pa.Table.from_pylist(sent, schema=suffix_dedup._batch(iter([])).schema))
+        found = suffix_dedup._sorter(pa.Table.from_pylist(sent, schema=suffix_dedup._batch([]).schema))
         for d, a, b in zip(*(found[c].to_pylist() for c in ("number", "start", "end")), strict=True):
             begins[d][a:b] = True
     seen: set = set()
