@@ -46,6 +46,8 @@ BUCKET, BLOCK = 1 << 23, 1 << 18
 ROWS = 32
 #: Counters of the sketch of windows; those with more than this share of all windows are common.
 SLOTS, COMMON = 1 << 22, 2.0**-18
+#: Times that a task has to see a window to tell of it.
+SEEN = 16
 #: A stretch of random text has about half as many suffixes as windows, and LENGTH - 1 bytes more.
 GROWTH = 2 * (LENGTH - 1) / (LENGTH - ANCHOR + 1) + 1
 _ODD = [np.uint64(k) for k in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93)]
@@ -232,13 +234,16 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _counter(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counters above half the common share of this task's windows, and (as counter -1) its bytes."""
+    """Counters above half the common share of this task's windows, and (as counter -1) its bytes.
+
+    What small tasks don't tell only makes buckets less even.
+    """
     counts, size, windows = np.zeros(SLOTS, np.int64), 0, 0
     for _, _, _, data in _texts(batches, SLICE):
         h = window_hashes(data)
         counts += np.bincount((h & np.uint64(SLOTS - 1)).astype(np.intp), minlength=SLOTS)
         size, windows = size + len(data), windows + len(h)
-    slot = np.flatnonzero(counts > windows * COMMON / 2)
+    slot = np.flatnonzero(counts > max(windows * COMMON / 2, SEEN))
     yield pa.RecordBatch.from_arrays([pa.array(np.append(slot, -1), pa.int64()), pa.array(np.append(counts[slot], size), pa.int64())], names=["slot", "n"])
 
 
@@ -413,7 +418,7 @@ def _identity(key: Column, text: Column) -> list[Column]:
 def repeats(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """number, digest, start, end: intervals of places whose LENGTH bytes also begin earlier, written to the shared folder."""
     given = docs.select(*_identity(docs[key], docs[text]), docs[text].alias("t"))
-    counted = given.mapInArrow(_counter, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n"))
+    counted = written(given.mapInArrow(_counter, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")), "windows")
     # at most 2 / COMMON counters a task pass its own threshold, and 2 / COMMON of all this one
     size = F.max(F.when(F.col("slot") == -1, F.col("n")))
     total = counted.agg(size).first()[0] or 0
