@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .folding import fold
+
 #: The notations in the order in which ties are broken, with the markers that count against each.
 NOTATIONS = (("xml", ("<", "</")), ("bracket", ("[[", "]]")), ("paren", ("((SENSITIVE:", "))")), ("sentinel", ("<<SENSITIVE:", "<</SENSITIVE:")))
 #: Upper ends of the size buckets.
@@ -87,7 +89,7 @@ def word_count(text: Column) -> Column:
 
 
 def value_key(value: Column) -> Column:
-    return F.lower(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")))
+    return fold(F.trim(F.regexp_replace(value, r"(?U)\s+", " ")))
 
 
 def edge_is_word(needle: Column, last: bool = False) -> Column:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
@@ -10,6 +11,8 @@ from pyspark.sql import types as T
 
 from ..functions.text import f1, ratio
 from ..sources.records import LABEL_MAPS, NUMBERS, REQUESTS, VERDICTS
+from ..sources.tables import kept
+from .medians import rolled_up
 
 GROUP_KEYS = ("workload_id", "workload_category", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "entity_label_set_id", "entity_label_count", "threshold")
 USAGE_KEYS = ("workload_id", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "dd_parser_compat", "workflow_name", "model_alias", "model_name", "model_provider_name")
@@ -27,10 +30,6 @@ def _first(c: Column, order: str = "_n") -> Column:
     return F.min_by(c, F.when(c.isNotNull(), F.col(order)))
 
 
-def median(c: str | Column) -> Column:
-    return F.median(c)
-
-
 def failed(c: str = "status") -> Column:
     return F.coalesce(F.lower(c).isin("error", "failed"), F.lit(False))
 
@@ -144,8 +143,13 @@ def case_rows(measurements: DataFrame, artifacts: DataFrame | None = None, trace
     return with_merged(out, named.filter(record), ["case_id"], LABEL_MAPS)
 
 
-def group_rows(cases: DataFrame) -> DataFrame:
-    """Cases by workload, configuration and strategies; null keys make groups of their own."""
+def group_rows(cases: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
+    """Cases by workload, configuration and strategies; null keys make groups of their own.
+
+    Cases are made once, into a table; medians of large groups are selected, so that
+    no task holds a group.
+    """
+    cases = keep(cases, "cases")
     have = lambda names: [n for n in names if n in cases.columns]
     totals = ("error_stage_count", "error_ndd_workflow_count", "error_model_workflow_count")
     medians = have((
@@ -159,14 +163,14 @@ def group_rows(cases: DataFrame) -> DataFrame:
     sums = [n for n in NUMBERS if n.startswith(("ground_truth", "entity_"))] + ["original_value_leak_count"]
     zero = lambda n: F.coalesce(F.sum(n), F.lit(0))
     aggregates = [
-        F.countDistinct("case_id").alias("case_count"), F.count_if("case_failed").alias("failed_case_count"), *(zero(n).alias(n) for n in totals), *(median(n).alias(f"median_{n}") for n in medians),
+        F.countDistinct("case_id").alias("case_count"), F.count_if("case_failed").alias("failed_case_count"), *(zero(n).alias(n) for n in totals),
         zero("record_count").alias("total_record_count"), F.sum("input_text_tokens_total").alias("total_input_text_tokens"), zero("empty_detection_count").alias("total_empty_detection_count"),
         zero("ground_truth_record_count").alias("total_ground_truth_record_count"), zero("empty_detection_with_ground_truth_count").alias("total_empty_detection_with_ground_truth_count"),
         F.sum("final_entity_count").alias("_final"), *(F.sum(n).alias(f"sum_{n}") for n in sums), F.count_if(F.col("original_value_leak_count") > 0).alias("leaking_case_count"),
     ]
     for name, _, bad in VERDICTS:
         aggregates += [zero(f"{name}_judged_record_count").alias(f"sum_{name}_judged_record_count"), zero(f"{name}_valid_record_count").alias(f"sum_{name}_valid_record_count"), zero(bad).alias(f"sum_{bad}")]
-    out = cases.groupBy(*GROUP_KEYS).agg(*aggregates)
+    out = rolled_up(cases, GROUP_KEYS, aggregates, medians, keep)
     c = F.col
     derived = {"failed_case_rate": ratio(c("failed_case_count"), c("case_count")), "empty_detection_rate": ratio(c("total_empty_detection_count"), c("total_record_count")), "empty_detection_with_ground_truth_rate": ratio(c("total_empty_detection_with_ground_truth_count"), c("total_ground_truth_record_count"))}
     derived |= {f"micro_{k}": v for k, v in _quality("sum_").items()}
@@ -190,11 +194,10 @@ def usage_rows(measurements: DataFrame) -> DataFrame:
     return out.filter(F.col("case_id").isNotNull() & used).withColumn("observed_failed_request_rate", ratio(F.col("observed_failed_requests"), F.col("observed_total_requests")))
 
 
-def usage_group_rows(usage: DataFrame) -> DataFrame:
-    out = usage.groupBy(*USAGE_KEYS).agg(
-        F.countDistinct("case_id").alias("case_count"), F.count(F.lit(1)).alias("workflow_count"), *(F.sum(n).alias(f"sum_{n}") for n in REQUESTS), F.sum("observed_reasoning_tokens").alias("sum_observed_reasoning_tokens"),
-        *(median(n).alias(f"median_{n}") for n in ("observed_total_requests", "observed_failed_requests", "observed_total_tokens")),
-    )
+def usage_group_rows(usage: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
+    usage = keep(usage, "usage")
+    sums = [F.countDistinct("case_id").alias("case_count"), F.count(F.lit(1)).alias("workflow_count"), *(F.sum(n).alias(f"sum_{n}") for n in REQUESTS), F.sum("observed_reasoning_tokens").alias("sum_observed_reasoning_tokens")]
+    out = rolled_up(usage, USAGE_KEYS, sums, ("observed_total_requests", "observed_failed_requests", "observed_total_tokens"), keep)
     return out.withColumn("observed_failed_request_rate", ratio(F.col("sum_observed_failed_requests"), F.col("sum_observed_total_requests")))
 
 

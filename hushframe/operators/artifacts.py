@@ -19,14 +19,15 @@ def counted(items: Column, field: str) -> Column:
     return label_counts(F.transform(items, lambda e: F.struct(e[field].alias("label"))))
 
 
-def artifact_rows(df: DataFrame, row: str, seed: str, augmented: str, final: str) -> DataFrame:
-    """``row`` and, for its seed, suggested and final spans, how many there are of what kind."""
+def artifact_rows(df: DataFrame, row: str, seed: str, augmented: str, final: str, beside: tuple[str, ...] = ()) -> DataFrame:
+    """``row``, the columns ``beside`` and, for a row's seed, suggested and final spans, how many there are of what kind."""
     keys = lambda c: F.transform(c, lambda e: value_key(e["value"]))
     new = F.filter(augmented, lambda e: ~F.array_contains(keys(F.col(seed)), value_key(e["value"])))
     signs = F.sort_array(F.array_distinct(F.transform(final, lambda e: signature(e, F.col(row)))))
     detail = lambda e: F.struct(signature(e, F.col(row)).alias("signature"), e["label"].alias("label"), e["source"].alias("source"), e["start_position"].alias("start_position"), e["end_position"].alias("end_position"), F.length(e["value"]).alias("value_length"))
     return df.select(
         row,
+        *beside,
         F.size(seed).alias("seed_entity_count"),
         F.size(augmented).alias("augmented_entity_count"),
         F.size(final).alias("final_entity_count"),

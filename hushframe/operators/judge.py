@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .. import schemas
+from ..functions import payload
 
 
 @dataclass(frozen=True)
@@ -56,7 +57,7 @@ def judged_entities(by_value: Column) -> Column:
 
 def settle(df: DataFrame, judge: Judge, raw: str) -> DataFrame:
     """Adds verdict and bad items: rows without anything to check are valid, bad answers have no verdict."""
-    parsed = F.from_json(F.col(raw), judge.answer)
+    parsed = payload.read(F.col(raw), judge.answer)
     bad = parsed["items"] if judge.listed else F.filter(parsed["items"], lambda x: ~x["passes"])
     none = F.array().cast(T.ArrayType(judge.items))
     passed = judge.nothing_to_check()

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 import logging
+import time
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, replace
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -16,7 +19,9 @@ from ..operators import replace as replacing
 from ..sources import tables
 from . import domains, prompts
 from .config import LABEL_NAMES, Config, Detect, Evaluate, Input
+from .ledger import Ledger
 from .models import Models, pool_of
+from .recording import Recorder
 
 log = logging.getLogger("hushframe")
 #: Characters of a piece of text that a detector's server takes at once, and of two pieces' common part.
@@ -32,6 +37,20 @@ class Result:
     failed: DataFrame
     config: Config
     text_column: str
+    ledger: Ledger | None = None
+    open_stage: tuple[Recorder, dict, Observation, float] | None = None
+
+    def finish(self) -> dict | None:
+        """Completes the record of the whole run with what was observed when ``frame`` was written; call it after that."""
+        if self.open_stage is None:
+            return None
+        recorder, made, seen, began = self.open_stage
+        return recorder.close(made, time.monotonic() - began, **seen.get)
+
+    def forget(self) -> None:
+        """Drops the tables that the run was kept in; its frames can't be used after that."""
+        if self.ledger is not None:
+            self.ledger.forget()
 
     def in_order(self) -> DataFrame:
         """The user's table in the order of the input (a sort, so only on demand)."""
@@ -66,16 +85,22 @@ class Engine:
 
     ``provider`` makes a function (prompt, alias) -> JSON text in each task. Without
     one, the rule detector stands in for the detector and no other model is asked, so
-    Substitute and rewriting need one. ``keep`` writes a table where all executors can
-    read it and reads it back; model answers pass through it, as they mustn't be asked
-    for twice.
+    Substitute and rewriting need one; nothing is then written before the user writes.
+
+    With a provider, or a recorder, the rows are written once, bucketed by number. A
+    model's answers, which mustn't be asked for twice, and what stages make of them are
+    narrow tables (number, answer, error) in the same buckets: a text isn't written
+    again, nor exchanged, however many steps there are. Only texts that a model wrote
+    are kept besides, once each. ``recorder`` gets records of the run, its stages and
+    its models' steps, counted while the tables are written.
     """
 
-    def __init__(self, spark: SparkSession, provider: model.Provider | Models | None = None, roles: dict | None = None, folder: str | None = None):
+    def __init__(self, spark: SparkSession, provider: model.Provider | Models | None = None, roles: dict | None = None, folder: str | None = None, recorder: Recorder | None = None, lists: model.Lists = model.Lists()):
         if isinstance(provider, Models):
             roles, provider = {**provider.roles, **(roles or {})}, provider.provider()
-        self.spark, self.provider, self.roles = spark, provider, roles or {}
-        self.folder = tables.shared_folder(spark, folder)
+        self.spark, self.provider, self.roles, self.lists = spark, provider, roles or {}, lists
+        self.folder, self.recorder = tables.shared_folder(spark, folder), recorder
+        self.ledger, self.base, self.texts = Ledger(spark, self.folder), None, []
         self.failed: list[DataFrame] = []
         self.summary = ""
 
@@ -97,16 +122,72 @@ class Engine:
         return self.spark.read.schema(frame.schema).parquet(path)
 
     def ask(self, frame: DataFrame, prompt: Column, output: str, kind: T.DataType, role: str, step: str, when: Column | None = None, drop: bool = True, provider: model.Provider | None = None) -> DataFrame:
-        """A model's answer as a column, kept; rows it fails on are noted and (unless ``drop`` is false) left out."""
-        log.info("%s: asking %s", step, ", ".join(self.pool(role)))
-        asked = frame.withColumn("_hf_prompt", prompt)
-        if when is not None:
-            asked = asked.withColumn("_hf_when", when)
-        got = self.keep(model.model_column(asked, "_hf_prompt", output, kind, provider or self.provider, self.pool(role), when=None if when is None else "_hf_when"), step)
-        self.failed.append(model.failures(got, output, step))
-        if drop:
-            got = got.filter(F.col(f"{output}_error").isNull())
-        return got.drop("_hf_prompt", "_hf_when", f"{output}_error")
+        """``frame`` with a model's answer as a column; rows it fails on are noted and (unless ``drop`` is false) left out.
+
+        Numbers and prompts go to the model; numbers, answers and errors are written.
+        """
+        pool = self.pool(role)
+        asked = frame if when is None else frame.filter(F.coalesce(when, F.lit(False)))
+        asked = asked.select(schemas.ORDER, schemas.RECORD_ID, prompt.alias("_hf_prompt")).filter(F.col("_hf_prompt").isNotNull())
+        got = model.answers(asked, "_hf_prompt", provider or self.provider, pool, lists=self.lists)
+        many = isinstance(got.schema["answer"].dataType, T.ArrayType)
+        narrow = got.select(schemas.ORDER, schemas.RECORD_ID, model.parsed("answer", kind, many).alias(output), F.col("error").alias(f"{output}_error"), *model.USE)
+        sums = {"rows": F.count(F.lit(1)), "failed_rows": F.count(f"{output}_error"), **{k: F.sum(k) for k in model.USE}}
+        began = time.monotonic()
+        kept, seen = self.ledger.put(narrow, step, sums)
+        spent = time.monotonic() - began
+        told = {k: v or 0 for k, v in seen.items()}
+        log.info("%s: asked %s for %d rows in %d calls, of which %d failed, in %.1f s; %d rows have no answer", step, ", ".join(pool), told["rows"], told["calls"], told["failed_calls"], spent, told["failed_rows"])
+        if self.recorder is not None:
+            self.recorder.workflow(step, ",".join(pool), told["calls"], told["failed_calls"], spent, input_rows=told["rows"], failed_rows=told["failed_rows"], observed_input_tokens=told["input_tokens"], observed_output_tokens=told["output_tokens"], model_sec=told["seconds"])
+        self.failed.append(model.failures(kept, output, step))
+        beside = self.ledger.beside(frame, kept.select(schemas.ORDER, output, f"{output}_error"))
+        return (beside.filter(F.col(f"{output}_error").isNull()) if drop else beside).drop(f"{output}_error")
+
+    def start(self, loaded: DataFrame) -> DataFrame:
+        """The input's rows, dealt into buckets by number, and written: the only time that their texts are."""
+        self.base, seen = self.ledger.put(loaded, "rows", {"rows": F.count(F.lit(1))}, deal=True)
+        self.texts = []
+        log.info("%d rows", seen["rows"])
+        return self.base
+
+    def cut(self, frame: DataFrame, name: str, stage: dict | None = None) -> DataFrame:
+        """The same rows and columns, from the input and one narrow table of what isn't text: lineage ends here.
+
+        The tagged text is made anew from text and entities, texts that a model wrote
+        come from its answers (``texts``).
+        """
+        heavy = {schemas.TAGGED, schemas.OUTPUT} & set(frame.columns)
+        own = [c for c in frame.columns if c not in self.base.columns and c not in heavy]
+        sums = {"rows": F.count(F.lit(1)), "entities": F.sum(F.size(schemas.ENTITIES))} if schemas.ENTITIES in own else {"rows": F.count(F.lit(1))}
+        kept, seen = self.ledger.put(frame.select(schemas.ORDER, *own), name, sums)
+        if stage is not None:
+            stage |= {k: v or 0 for k, v in seen.items()}
+        out = self.ledger.beside(self.base, kept, "inner")
+        if schemas.TAGGED in heavy:
+            out = out.withColumn(schemas.TAGGED, spans.tagged_text(F.col(schemas.TEXT), F.col(schemas.ENTITIES)))
+        if schemas.OUTPUT in heavy:
+            names = [f"_hf_text_{k}" for k in range(len(self.texts))]
+            for k, t in zip(names, self.texts, strict=True):
+                out = self.ledger.beside(out, t.withColumnRenamed("text", k))
+            out = out.withColumn(schemas.OUTPUT, F.coalesce(*reversed(names))).drop(*names)
+        return out
+
+    def written_text(self, frame: DataFrame, prompt: Column, role: str, step: str, drop: bool = True) -> DataFrame:
+        """``frame`` with a text that a model wrote as the output, or its output before if there is none."""
+        got = self.ask(frame, prompt, "_hf_written", schemas._struct(rewritten_text=T.StringType()), role, step, drop=drop)
+        text_of = rewrite.rewritten_text(F.col("_hf_written.rewritten_text"))
+        self.texts.append(self.spark.table(self.ledger.tables[-1]).select(schemas.ORDER, text_of.alias("text")))
+        before = [F.col(schemas.OUTPUT)] if schemas.OUTPUT in frame.columns else []
+        return got.withColumn(schemas.OUTPUT, F.coalesce(text_of, *before)).drop("_hf_written")
+
+    @contextmanager
+    def stage(self, name: str) -> Iterator[dict]:
+        if self.recorder is None:
+            yield {}
+        else:
+            with self.recorder.stage(name) as made:
+                yield made
 
     # ------------------------------------------------------------------ stages
 
@@ -186,8 +267,8 @@ class Engine:
         now = step(now, prompts.QUALITY_QA, {"UNITS": F.to_json("_hf_m.units"), "TEXT": body}, "_hf_q", lists("items", schemas.QUALITY_QA), "qa_generator")
         block = rewrite.prompt_block(F.col("_hf_disposition"))
         pairs = rewrite.pairs_for_prompt(F.col(schemas.MAP), block)
-        now = step(now, prompts.REWRITE, {"GOAL": goal, "INSTRUCTIONS": F.lit(how.instructions or ""), "GUIDANCE": kept, "BLOCK": F.to_json(block), "PAIRS": F.to_json(pairs), "TEXT": body}, "_hf_r", schemas._struct(rewritten_text=T.StringType()), "rewriter")
-        now = now.withColumn(schemas.OUTPUT, rewrite.rewritten_text(F.col("_hf_r.rewritten_text"))).withColumn("_hf_quality_qa", F.coalesce("_hf_q.items", F.array().cast(T.ArrayType(schemas.QUALITY_QA))))
+        now = self.written_text(now, prompts.fill_columns(prompts.REWRITE, {"GOAL": goal, "INSTRUCTIONS": F.lit(how.instructions or ""), "GUIDANCE": kept, "BLOCK": F.to_json(block), "PAIRS": F.to_json(pairs), "TEXT": body}), "rewriter", "rewrite-pipeline")
+        now = now.withColumn("_hf_quality_qa", F.coalesce("_hf_q.items", F.array().cast(T.ArrayType(schemas.QUALITY_QA))))
 
         def evaluate(x: DataFrame) -> DataFrame:
             out = F.coalesce(F.col(schemas.OUTPUT), F.lit(""))
@@ -202,33 +283,47 @@ class Engine:
 
         def repair(x: DataFrame) -> DataFrame:
             again = prompts.fill_columns(prompts.REPAIR, {"LEAKED": rewrite.leaked_items(F.col("_hf_privacy_answers"), F.col("_hf_privacy_qa")), "TEXT": F.coalesce(F.col(schemas.OUTPUT), F.lit(""))})
-            x = self.ask(x, again, "_hf_fix", schemas._struct(rewritten_text=T.StringType()), "repairer", "rewrite-repair", drop=False)
-            x = x.withColumn(schemas.OUTPUT, F.coalesce(rewrite.rewritten_text(F.col("_hf_fix.rewritten_text")), F.col(schemas.OUTPUT)))
-            return x.drop("_hf_fix", "_hf_privacy_answers", "_hf_compare", "_hf_importance")
+            x = self.written_text(x, again, "repairer", "rewrite-repair", drop=False)
+            return x.drop("_hf_privacy_answers", "_hf_compare", "_hf_importance")
 
-        done = rewrite.repair_loop(now, evaluate, repair, how.max_repair_iterations, self.keep)
+        done = rewrite.repair_loop(now, evaluate, repair, how.max_repair_iterations, self.cut)
         done = done.withColumn("needs_human_review", rewrite.needs_review(F.col(schemas.OUTPUT), F.col("any_high_leaked"), F.col("utility_score"), F.col("leakage_mass"), how.tolerance))
         both = done.unionByName(rest, allowMissingColumns=True)
-        out = rewrite.pass_through(both.withColumn("_hf_mode_rewrite", F.lit(True)), some, schemas.TEXT, schemas.OUTPUT)
+        both = self.cut(both.withColumn("_hf_mode_rewrite", F.lit(True)), "rewritten")
+        out = rewrite.pass_through(both, some, schemas.TEXT, schemas.OUTPUT)
         return out.withColumnRenamed("needs_repair", "_hf_needs_repair").withColumnRenamed("repair_iterations", "_hf_repair_iterations")
 
     # ------------------------------------------------------------------ entry points
 
     def run(self, config: Config, data: Input, rows: int | None = None) -> Result:
-        self.failed, self.summary = [], data.data_summary or ""
+        """Runs a configuration. With a recorder, write the result's frame and call its ``finish``."""
+        self.failed, self.summary, self.ledger = [], data.data_summary or "", Ledger(self.spark, self.folder)
         log.info("%s of column %s", config.mode, data.text_column)
+        began = time.monotonic()
+        if self.recorder is not None:
+            self.recorder.run(config, data)
         loaded = self.load(data, rows)
-        found = self.detect(loaded.frame, config)
-        trace = self.replace(found, config) if config.mode == "replace" else self.rewrite(found, config)
+        kept = self.provider is not None or self.recorder is not None
+        frame = self.start(loaded.frame) if kept else loaded.frame
+        with self.stage("detection") as made:
+            found = self.detect(frame, config)
+            found = self.cut(found, "detection", made) if kept else found
+        with self.stage(config.mode):
+            trace = self.replace(found, config) if config.mode == "replace" else self.rewrite(found, config)
         none = self.spark.createDataFrame([], schemas.FAILED)
         failed = none
         for f in self.failed:
             failed = failed.unionByName(f)
         if self.provider is not None:
             # rows that no step says it failed on, and that are gone all the same
-            lost = model.missing_records(loaded.frame, trace, config.mode)
+            lost = model.missing_records(frame, trace, config.mode)
             failed = failed.unionByName(lost.join(failed.select("record_id").distinct(), "record_id", "left_anti"))
-        return Result(user_columns(trace, loaded.resolved), trace, failed, config, loaded.resolved)
+        user, open_stage = user_columns(trace, loaded.resolved), None
+        if self.recorder is not None:
+            seen, output = Observation(), f"{loaded.resolved}_{'rewritten' if config.mode == 'rewrite' else 'replaced'}"
+            user = user.observe(seen, F.count(F.lit(1)).alias("rows"), F.coalesce(F.sum(F.length(output)), F.lit(0)).alias("chars"), F.coalesce(F.sum(F.size(schemas.FINAL)), F.lit(0)).alias("entities"))
+            open_stage = (self.recorder, self.recorder.record("stage", stage="run", status="started"), seen, began)
+        return Result(user, trace, failed, config, loaded.resolved, self.ledger if kept else None, open_stage)
 
     def preview(self, config: Config, data: Input, rows: int = 10) -> Result:
         return self.run(config, data, rows)
@@ -241,6 +336,12 @@ class Engine:
         if result.config.mode == "rewrite" and names != ["detection"]:
             raise tables.InputError("of a rewrite only the detection is judged by name; its final judge is always asked")
         now = result.trace
+        if result.ledger is None:
+            # a run without a model kept nothing
+            self.ledger = Ledger(self.spark, self.folder)
+            now, _ = self.ledger.put(now, "rows", deal=True)
+        else:
+            self.ledger = result.ledger
         for name in names:
             j = judge.JUDGES[name]
             items = F.to_json(judge.judged_entities(F.col(schemas.BY_VALUES))) if name == "detection" else F.to_json(schemas.MAP)
@@ -252,7 +353,7 @@ class Engine:
             now = self.ask(now, prompt, "judge_evaluation", schemas._struct(privacy=schemas.S, quality=schemas.S, style=schemas.S), "rewrite_judge", "rewrite-final-judge", F.size(schemas.BY_VALUES) > 0, drop=False)
             total = F.size(judge.judged_entities(F.col(schemas.BY_VALUES)))
             now = now.withColumn("detection_valid", judge.valid_fraction(F.col("detection_valid"), F.size("detection_invalid"), total))
-        return replace(result, frame=user_columns(now, result.text_column), trace=now)
+        return replace(result, frame=user_columns(now, result.text_column), trace=now, ledger=self.ledger)
 
 
 def validate(config: Config, roles: dict, known: set[str]) -> None:

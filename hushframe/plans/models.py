@@ -11,11 +11,14 @@ from collections.abc import Callable
 from dataclasses import dataclass, field, replace
 from pathlib import Path
 
+from ..operators.model import Answer
 from ..sources.tables import InputError
 from .config import ROLES, check_aliases, validator_pool
 
 #: Names that roles have in files, where ours differ.
 ROLE_NAMES = {"detection_validity_judge": "detection_judge", "replace_type_fidelity_judge": "type_fidelity_judge", "replace_relational_consistency_judge": "relational_judge", "replace_attribute_fidelity_judge": "attribute_judge"}
+#: Parameters of a model that are for us, not for its server: seconds a call may take, and calls in flight over the cluster.
+OURS = ("timeout", "max_parallel_requests")
 #: Answers of these codes are asked for again.
 AGAIN = (408, 425, 429, 500, 502, 503, 504)
 
@@ -30,11 +33,15 @@ class Model:
 
 @dataclass(frozen=True)
 class Server:
-    """A server of chat completions; ``key`` is a key or the name of a variable that holds it."""
+    """A server of chat completions; ``key`` is a key or the name of a variable that holds it.
+
+    One with ``lists`` answers several prompts of one request, in its completions.
+    """
 
     name: str
     endpoint: str
     key: str | None = None
+    lists: bool = False
 
 
 @dataclass(frozen=True)
@@ -77,7 +84,7 @@ class Models:
                 roles[name] = alias
         made = tuple(Model(m["alias"], m["model"], m["provider"], dict(m.get("inference_parameters") or {})) for m in listed)
         default = made[0].alias if made else "default"
-        return cls(made, tuple(Server(p["name"], p["endpoint"], p.get("api_key")) for p in served), {r: roles.get(r, default) for r in sorted(known)})
+        return cls(made, tuple(Server(p["name"], p["endpoint"], p.get("api_key"), bool(p.get("lists"))) for p in served), {r: roles.get(r, default) for r in sorted(known)})
 
     def check(self, sections: list[str]) -> None:
         """Every role that the sections use names models that exist."""
@@ -121,41 +128,78 @@ class HttpProvider:
         """The same with parameters that every request to an alias carries."""
         return replace(self, extra={**self.extra, alias: {**self.extra.get(alias, {}), **more}})
 
-    def body(self, prompt: str, alias: str) -> tuple[str, dict, dict]:
-        """URL, headers and JSON of a request."""
+    @property
+    def limits(self) -> dict[str, int]:
+        """Calls that may be in flight at once, an alias, for those that say so."""
+        return {m.alias: int(m.parameters["max_parallel_requests"]) for m in self.models.models if m.parameters.get("max_parallel_requests")}
+
+    def served(self, alias: str) -> tuple[Model, Server]:
         found = next((m for m in self.models.models if m.alias == alias), None)
         if found is None:
             raise KeyError(f"no model {alias!r}")
         server = next((s for s in self.models.servers if s.name == found.provider), None)
         if server is None:
             raise KeyError(f"no server {found.provider!r}")
+        return found, server
+
+    def body(self, prompt: str | list[str], alias: str) -> tuple[str, dict, dict]:
+        """URL, headers and JSON of a request."""
+        found, server = self.served(alias)
         given = dict(found.parameters)
         extra = {**(given.pop("extra_body", None) or {}), **self.extra.get(alias, {})}
-        given.pop("timeout", None)
-        given.pop("max_parallel_requests", None)
+        for name in OURS:
+            given.pop(name, None)
         headers = {"Content-Type": "application/json"}
         if server.key:
             headers["Authorization"] = f"Bearer {os.environ.get(server.key, server.key)}"
         url = server.endpoint.rstrip("/")
-        return f"{url}/chat/completions", headers, {"model": found.model, "messages": [{"role": "user", "content": prompt}], **given, **extra}
+        what = {"prompt": prompt} if isinstance(prompt, list) else {"messages": [{"role": "user", "content": prompt}]}
+        return f"{url}/completions" if isinstance(prompt, list) else f"{url}/chat/completions", headers, {"model": found.model, **what, **given, **extra}
+
+    def send(self, prompt: str | list[str], alias: str) -> dict:
+        url, headers, body = self.body(prompt, alias)
+        limit = float(self.served(alias)[0].parameters.get("timeout") or self.timeout)
+        for attempt in range(self.retries + 1):
+            try:
+                with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=limit) as got:
+                    return json.loads(got.read())
+            except urllib.error.HTTPError as e:
+                if e.code not in AGAIN or attempt == self.retries:
+                    raise
+            except (urllib.error.URLError, TimeoutError):
+                if attempt == self.retries:
+                    raise
+            time.sleep(self.wait * 2**attempt)
+        raise RuntimeError("not reached")
 
     def __call__(self) -> Callable[[str, str], str]:
-        def call(prompt: str, alias: str) -> str:
-            url, headers, body = self.body(prompt, alias)
-            for attempt in range(self.retries + 1):
-                try:
-                    with urllib.request.urlopen(urllib.request.Request(url, json.dumps(body).encode(), headers), timeout=self.timeout) as got:
-                        return json.loads(got.read())["choices"][0]["message"]["content"]
-                except urllib.error.HTTPError as e:
-                    if e.code not in AGAIN or attempt == self.retries:
-                        raise
-                except (urllib.error.URLError, TimeoutError):
-                    if attempt == self.retries:
-                        raise
-                time.sleep(self.wait * 2**attempt)
-            raise RuntimeError("not reached")
-
-        return call
+        return _ListsCall(self) if any(s.lists for s in self.models.servers) else _Call(self)
+
+
+@dataclass(frozen=True)
+class _Call:
+    provider: HttpProvider
+
+    def __call__(self, prompt: str, alias: str) -> Answer:
+        got = self.provider.send(prompt, alias)
+        use = got.get("usage") or {}
+        return Answer(got["choices"][0]["message"]["content"], use.get("prompt_tokens"), use.get("completion_tokens"))
+
+
+@dataclass(frozen=True)
+class _ListsCall(_Call):
+    """Prompts of one request to servers that take lists; tokens are told with the first answer."""
+
+    def takes_lists(self, alias: str) -> bool:
+        return any(m.alias == alias for m in self.provider.models.models) and self.provider.served(alias)[1].lists
+
+    def many(self, prompts: list[str], alias: str) -> list[str | None]:
+        got = self.provider.send(prompts, alias)
+        use, out = got.get("usage") or {}, [None] * len(prompts)
+        for c in got["choices"]:
+            first = not any(out)
+            out[c["index"]] = Answer(c["text"], *((use.get("prompt_tokens"), use.get("completion_tokens")) if first else ()))
+        return out
 
 
 def pool_of(roles: dict, role: str) -> list[str]:

@@ -62,15 +62,25 @@ class Recorder:
             made |= {"status": "error", "error_type": type(e).__name__}
             raise
         finally:
-            made["elapsed_sec"] = spent = time.monotonic() - began
-            made |= {f"{k}_per_sec": v / spent for k, v in list(made.items()) if k in ("rows", "chars", "tokens") and v is not None and spent > 0}
+            self._timed(made, time.monotonic() - began)
 
-    def workflow(self, name: str, alias: str, asked: int, failed: int, elapsed: float) -> dict:
+    @staticmethod
+    def _timed(made: dict, spent: float) -> None:
+        made["elapsed_sec"] = spent
+        made |= {f"{k}_per_sec": v / spent for k, v in list(made.items()) if k in ("rows", "chars", "tokens") and v is not None and spent > 0}
+
+    def close(self, made: dict, spent: float, **fields: object) -> dict:
+        """Completes the record of a stage whose counts came later."""
+        made |= {"status": "completed", **fields}
+        self._timed(made, spent)
+        return made
+
+    def workflow(self, name: str, alias: str, asked: int, failed: int, elapsed: float, **fields: object) -> dict:
         """A step of a model: requests, failures, rates."""
         if failed > asked or asked < 0:
             raise InputError("a step fails at most as often as it asks")
         rate = failed / asked if asked else None
-        return self.record("model_workflow", workflow_name=name, model_alias=alias, observed_total_requests=asked, observed_failed_requests=failed, observed_failed_request_rate=rate, elapsed_sec=elapsed, requests_per_sec=asked / elapsed if elapsed > 0 else None, status="error" if asked and failed == asked else "completed")
+        return self.record("model_workflow", workflow_name=name, model_alias=alias, observed_total_requests=asked, observed_failed_requests=failed, observed_failed_request_rate=rate, elapsed_sec=elapsed, requests_per_sec=asked / elapsed if elapsed > 0 else None, status="error" if asked and failed == asked else "completed", **fields)
 
     def write(self) -> str | None:
         """Appends what was collected to the file, if there is one, and forgets it."""

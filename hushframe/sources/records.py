@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import json
+from concurrent.futures import ThreadPoolExecutor
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..schemas import B, D, L, S, _struct
-from .tables import InputError, present, suffix_of, write_table
+from ..functions import payload
+from ..schemas import AUGMENTED, ENTITY, B, D, L, S, _struct
+from .tables import InputError, kept, present, suffix_of, write_table
 
 from pyspark.sql import types as T  # isort: skip
 
@@ -98,13 +100,105 @@ def export(measurements: DataFrame, folder: str, suffix: str = ".parquet", overw
     return json.dumps({"tables": tables}, indent=2)
 
 
-def read_strictly(spark: SparkSession, path: str, most_bytes: int = 64 << 20, most_records: int = 1_000_000) -> DataFrame:
-    """Measurements that must all fit the schema; refused beyond the limits, before anything else is done with them."""
-    frame = spark.read.schema(MEASUREMENT).option("mode", "FAILFAST").json(path)
+#: Limits of what is read strictly: bytes in all, records, bytes and nesting of one.
+BYTES, RECORDS, LINE, DEPTH = 64 << 20, 1_000_000, 1 << 20, 32
+FAULT = _struct(file=S, line=L, fault=S)
+
+
+def _depth(line: Column) -> Column:
+    """How deep a JSON text nests, told before it is parsed: of its brackets alone, those of its strings left out."""
+    unquoted = F.regexp_replace(F.regexp_replace(line, r"\\.", ""), r'"[^"]*"?', "")
+    brackets = F.regexp_replace(unquoted, r"[^\[\]{}]+", "")
+    zero = F.struct(F.lit(0).alias("now"), F.lit(0).alias("most"))
+
+    def step(acc: Column, c: Column) -> Column:
+        now = acc["now"] + F.when(c.isin("[", "{"), 1).otherwise(-1)
+        return F.struct(now.alias("now"), F.greatest(acc["most"], now).alias("most"))
+
+    return F.aggregate(F.filter(F.split(brackets, ""), lambda c: c != ""), zero, step, lambda acc: acc["most"])
+
+
+def read_strictly(spark: SparkSession, path: str, most_bytes: int = BYTES, most_records: int = RECORDS, most_line: int = LINE, most_depth: int = DEPTH, statuses: dict[str, str] | None = None) -> DataFrame:
+    """Measurements that must all fit, in one pass over the files: each record's size and nesting is looked at before it is parsed.
+
+    A fault names file and line: an empty record, one too long or too deep, not JSON,
+    a value that its field doesn't take, no type, no run, a run that ``statuses`` (run
+    to status) doesn't know, or another status than it says. The first one is raised,
+    with how many there are of each kind; nothing is left out silently. Files are
+    taken as they are when they are read: what is returned is what was checked.
+    """
     sizes = spark.read.format("binaryFile").load(path).agg(F.sum("length")).first()[0] or 0
     if sizes > most_bytes:
         raise InputError(f"{path}: {sizes} bytes, at most {most_bytes} are read")
-    kinds = frame.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("record_type").isNull()).alias("bad"), F.countDistinct("run_id").alias("runs")).first()
-    if kinds.n > most_records or kinds.bad:
-        raise InputError(f"{path}: {kinds.n} records, {kinds.bad} without a type")
-    return frame
+    texts = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.posexplode(F.split(F.regexp_replace("value", r"\r?\n\z", ""), r"\r?\n")).alias("line", "text")).filter((F.col("line") > 0) | (F.col("text") != ""))
+    sized = texts.withColumn("line", F.col("line") + 1).withColumn("fault", F.when(F.trim("text") == "", "an empty record").when(F.octet_length("text") > most_line, f"more than {most_line} bytes").when(_depth(F.col("text")) > most_depth, f"nests more than {most_depth} deep"))
+    corrupt = "_corrupt"
+    kind = T.StructType([*MEASUREMENT.fields, T.StructField(corrupt, S)])
+    fit = F.when(F.col("fault").isNull(), F.col("text"))
+    strict = {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": corrupt, "allowNonNumericNumbers": "false"}
+    read = sized.withColumn("r", F.from_json(fit, kind, strict))
+    wrong = F.when(payload.parse(F.col("text")).isNull(), "not JSON").when(F.col(f"r.{corrupt}").isNotNull(), "a field has a value of another type").when(F.col("r.record_type").isNull(), "no record type").when(F.col("r.run_id").isNull(), "no run")
+    if statuses is not None:
+        known = F.create_map(*(F.lit(x) for pair in statuses.items() for x in pair)) if statuses else F.create_map().cast("map<string,string>")
+        said = F.try_element_at(known, F.col("r.run_id"))
+        wrong = wrong.when(said.isNull(), "a run that isn't expected").when(F.col("r.status").isNotNull() & (F.col("r.status") != said), "another status than expected")
+    told = read.withColumn("fault", F.coalesce("fault", wrong))
+    seen = Observation()
+    at = F.when(F.col("fault").isNotNull(), F.struct("file", "line", "fault"))
+    watched = told.observe(seen, F.count(F.lit(1)).alias("n"), F.count("fault").alias("bad"), F.min(at).alias("first"))
+    frame = kept(watched.select("fault", "r"), "records")
+    if seen.get["n"] > most_records:
+        raise InputError(f"{path}: {seen.get['n']} records, at most {most_records} are read")
+    if seen.get["bad"]:
+        first, each = seen.get["first"], frame.filter(F.col("fault").isNotNull()).groupBy("fault").count().orderBy("fault").collect()
+        raise InputError(f"{first['file']}, line {first['line']}: {first['fault']}; in all: " + ", ".join(f"{r['fault']} ({r['count']})" for r in each))
+    return frame.select(*(F.col(f"r.{f.name}") for f in MEASUREMENT.fields))
+
+
+#: The columns of a detection artifact, by what they hold.
+ARTIFACT_COLUMNS = {"seed": "_seed_entities_json", "augmented": "_augmented_entities", "final": "_detected_entities", "seed_candidates": "_seed_validation_candidates", "candidates": "_validation_candidates"}
+ARTIFACT_FOLDER, ARTIFACT_STEP = "parquet-files", "entity-detection"
+
+
+def read_artifact_folder(spark: SparkSession, folder: str, columns: dict[str, str] | None = None) -> DataFrame:
+    """workflow_name, batch_file, row_index, seed, augmented, final (spans), and numbers of candidates, of all files below ``folder``.
+
+    Files of steps whose name begins with ARTIFACT_STEP are read, whatever types they
+    give the columns: JSON texts, lists or objects of a list; a column that a file
+    lacks is empty. Files with the same types are read together. The driver looks at
+    each file's footer, some at once; rows are where their file and their place in it
+    say. A span without value or label doesn't count.
+    """
+    names = {**ARTIFACT_COLUMNS, **(columns or {})}
+    listed = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("pathGlobFilter", "*.parquet").load(folder).select("path")
+    part = F.split("path", "/")
+    paths = [r.path for r in listed.filter((F.element_at(part, -2) == ARTIFACT_FOLDER) & F.startswith(F.element_at(part, -3), F.lit(ARTIFACT_STEP))).orderBy("path").collect()]
+    if not paths:
+        raise InputError(f"{folder}: no detection artifacts")
+    with ThreadPoolExecutor(8) as workers:
+        schemas_of = list(workers.map(lambda p: spark.read.parquet(p).schema, paths))
+    alike: dict[str, list[str]] = {}
+    for path, schema in zip(paths, schemas_of, strict=True):
+        alike.setdefault(T.StructType([f for f in schema.fields if f.name in names.values()]).json(), []).append(path)
+
+    def typed(frame: DataFrame, column: str, kind: T.StructType) -> Column:
+        (field,) = kind.fields
+        found = next((f for f in frame.schema.fields if f.name == column), None)
+        none = F.array().cast(field.dataType)
+        if found is None:
+            return none
+        raw = F.col(f"`{column}`") if isinstance(found.dataType, T.StringType) else F.to_json(f"`{column}`") if isinstance(found.dataType, T.StructType | T.ArrayType | T.MapType) else F.lit(None).cast("string")
+        return F.coalesce(payload.read(raw, kind)[field.name], none)
+
+    def spans(frame: DataFrame, column: str, kind: T.StructType) -> Column:
+        return F.filter(typed(frame, column, _struct(entities=T.ArrayType(kind))), lambda e: (e["value"] != "") & (e["label"] != ""))
+
+    out = None
+    for group in alike.values():
+        frame = spark.read.parquet(*group)
+        place = F.split(F.col("_metadata.file_path"), "/")
+        counted = {f"{k}_count": F.size(typed(frame, names[v], _struct(candidates=T.ArrayType(T.StringType())))) for k, v in (("seed_validation_candidate", "seed_candidates"), ("merged_validation_candidate", "candidates"))}
+        found = {"seed": spans(frame, names["seed"], ENTITY), "augmented": spans(frame, names["augmented"], AUGMENTED), "final": spans(frame, names["final"], ENTITY)}
+        rows = frame.select(F.element_at(place, -3).alias("workflow_name"), F.array_join(F.slice(place, -3, 3), "/").alias("batch_file"), F.col("_metadata.row_index").cast("int").alias("row_index"), *(v.alias(k) for k, v in {**found, **counted}.items()))
+        out = rows if out is None else out.unionByName(rows)
+    return out

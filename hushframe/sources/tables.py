@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from dataclasses import dataclass, replace
 from pathlib import PurePosixPath
 from urllib.parse import urlparse
@@ -56,6 +57,13 @@ def shared_folder(spark: SparkSession, given: str | None = None) -> str:
     return found.rstrip("/")
 
 
+def kept(frame: DataFrame, name: str) -> DataFrame:
+    """``frame`` written to the shared folder and read back: made once, its lineage cut."""
+    path = f"{shared_folder(frame.sparkSession)}/{name}-{uuid.uuid4().hex}"
+    frame.write.parquet(path)
+    return frame.sparkSession.read.schema(frame.schema).parquet(path)
+
+
 def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """A CSV or Parquet table, or its first ``rows`` (none for 0 or less)."""
     suffix = suffix_of(path)

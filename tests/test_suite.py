@@ -1,6 +1,9 @@
 """Suites, sweeps, domains, strict reading."""
 
+import dataclasses
 import json
+import shutil
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -8,7 +11,8 @@ from pyspark.sql import functions as F
 from hushframe.operators import analysis
 from hushframe.plans.config import Evaluate
 from hushframe.plans.domains import DOMAINS, privacy_guidance, quality_guidance
-from hushframe.plans.suite import Suite, Workload, combined_records, config_of, patched, run_suite, seal, sweep
+from hushframe.plans.engine import Engine
+from hushframe.plans.suite import Suite, Workload, combined_records, config_of, patched, run_suite, run_sweep, seal, sweep
 from hushframe.sources import records
 from hushframe.sources.tables import InputError
 
@@ -53,9 +57,19 @@ def test_strict_reading(spark, tmp_path):
     assert records.read_strictly(spark, f"file://{good}").count() == 1
     with pytest.raises(InputError):
         records.read_strictly(spark, f"file://{good}", most_bytes=3)
-    good.write_text("{bad\n")
-    with pytest.raises(Exception, match="(?i)malformed|FAILFAST"):
-        records.read_strictly(spark, f"file://{good}")
+    line = {"record_type": "record", "run_id": "r", "status": "completed"}
+    deep = json.dumps(line | {"x": [[[[{'[[[[[["': '"[["'}]]]]})
+    for wrong, what in (("{bad", "not JSON"), ("", "an empty record"), (json.dumps({"run_id": "r"}), "no record type"), (json.dumps({"record_type": "record"}), "no run"), (json.dumps(line | {"final_entity_count": "many"}), "another type"), (json.dumps(line | {"x": "y" * 300}), "more than 200 bytes"), (deep, "nests more than 5 deep"), ('{"record_type": "stage", "run_id": "r", "elapsed_sec": NaN}', "not JSON")):
+        good.write_text(json.dumps(line) + "\n" + wrong + "\n" + json.dumps(line) + "\n")
+        with pytest.raises(InputError, match=rf"m\.jsonl, line 2: .*{what}.*in all: .*\(1\)"):
+            records.read_strictly(spark, f"file://{good}", most_line=200, most_depth=5)
+    good.write_text(json.dumps(line) + "\r\n" + json.dumps(line))
+    assert records.read_strictly(spark, f"file://{good}", statuses={"r": "completed"}).count() == 2
+    for bad in (lambda: records.read_strictly(spark, f"file://{good}", most_records=1), lambda: records.read_strictly(spark, f"file://{good}", statuses={"r": "error"}), lambda: records.read_strictly(spark, f"file://{good}", statuses={})):
+        with pytest.raises(InputError):
+            bad()
+    good.write_text("")
+    assert records.read_strictly(spark, f"file://{good}").count() == 0
 
 
 def test_judges_are_checked():
@@ -72,3 +86,50 @@ def test_rollup_of_nulls_and_unknown_kinds(spark):
     assert analysis.scalar_rollup(rows.limit(0), ["k"], "n").count() == 0
     with pytest.raises(ValueError, match="most"):
         analysis.scalar_rollup(rows, ["k"], "n", {"total": "most"})
+
+
+def _slow(prompt, alias):
+    time.sleep(0.5)
+    return "{}"
+
+
+def test_a_suite_resumes_runs_beside_and_cancels(spark, tmp_path):
+    spark.createDataFrame([(i, f"mail a{i}@b.co") for i in range(6)], "id long, text string").write.parquet(f"{tmp_path}/in.parquet")
+    made = []
+
+    def make(session):
+        made.append(1)
+        return Engine(session)
+
+    spec = Suite("s", [Workload("w", f"{tmp_path}/in.parquet")], {"hash": {"replace": {"kind": "hash"}}, "redact": {"replace": {"kind": "redact"}}}, repetitions=2)
+    done, records = run_suite(spark, spec, f"{tmp_path}/out", make, at_once=3)
+    assert [c.status for c in done] == ["completed"] * 4 and records.count() == 24 and len(made) == 4
+    # one case lost its note, another its records' seal: only these run again
+    shutil.rmtree(f"{tmp_path}/out/w__hash__r001/seal")
+    spark.read.parquet(f"{tmp_path}/out/w__redact__r000/records").limit(3).write.parquet(f"{tmp_path}/less")
+    shutil.rmtree(f"{tmp_path}/out/w__redact__r000/records")
+    shutil.move(f"{tmp_path}/less", f"{tmp_path}/out/w__redact__r000/records")
+    again, records = run_suite(spark, spec, f"{tmp_path}/out", make)
+    assert {c.id for c in again if not c.resumed} == {"w__hash__r001", "w__redact__r000"} and len(made) == 6 and records.count() == 24
+    # what a case is made of counts
+    other = dataclasses.replace(spec, configs={**spec.configs, "hash": {"replace": {"kind": "hash", "algorithm": "md5"}}})
+    assert {c.id for c in run_suite(spark, other, f"{tmp_path}/out", make)[0] if not c.resumed} == {"w__hash__r000", "w__hash__r001"}
+    runs = [json.loads(r.value) for r in spark.read.text(f"{tmp_path}/out/w__hash__r000/runs").collect()]
+    assert {r["record_type"] for r in runs} == {"run", "stage"} and all(r["run_tags"]["case_id"] == "w__hash__r000" for r in runs)
+
+    slow = Suite("late", [Workload("w", f"{tmp_path}/in.parquet")], {"x": {"replace": {"kind": "redact"}}})
+    began = time.monotonic()
+    late, none = run_suite(spark, slow, f"{tmp_path}/late", lambda s: Engine(s, lambda: _slow), retries=2, limit=1.0)
+    assert (late[0].status, late[0].error, none) == ("cancelled", "TimeoutError", None) and time.monotonic() - began < 30
+    # jobs of others aren't touched
+    assert spark.range(10).count() == 10
+
+
+def test_a_sweep_runs_what_is_left(spark, tmp_path):
+    spark.createDataFrame([(1, "mail a@b.co")], "id long, text string").write.parquet(f"{tmp_path}/in.parquet")
+    spec = Suite("s", [Workload("w", f"{tmp_path}/in.parquet")], {"c": {"replace": {"kind": "redact"}}})
+    half, _ = run_sweep(spark, spec, {"detect.threshold": [0.2]}, f"{tmp_path}/out")
+    table, records = run_sweep(spark, spec, {"detect.threshold": [0.2, 0.6]}, f"{tmp_path}/out")
+    assert [r.resumed for r in half.collect()] == [False]
+    assert sorted((json.loads(r.arm)["detect.threshold"], r.status, r.resumed) for r in table.collect()) == [(0.2, "completed", True), (0.6, "completed", False)]
+    assert records.count() == 2
