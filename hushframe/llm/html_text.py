@@ -45,8 +45,10 @@ NEXT, SAME_PARENT = 450, 450
 BAD = frozenset("ad ads advert advertisement advertising adbox adslot banner sponsor sponsored promo promoted cookie cookies consent gdpr notice notification alert popup modal overlay menu nav navbar navigation breadcrumb breadcrumbs sidebar side aside widget footer foot header masthead topbar toolbar comment comments commentlist reply replies respond disqus discussion share sharing social related recommended recommendations newsletter subscribe subscription signup login search form pagination pager legal copyright toc complementary contentinfo dialog".split())
 GOOD = frozenset("article articlebody content main post entry body story text maincontent postcontent entrycontent".split())
 
-#: A quoted value ends where white space, / or > follows its quote; a tag with another quote in it ends at the first >.
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)(?:((?:[^>"']++|=\s*"[^"]{0,4096}+"(?=[\s/>])|=\s*'[^']{0,4096}+'(?=[\s/>])|"[^"]{0,4096}+"(?=[\s/>])|'[^']{0,4096}+'(?=[\s/>]))*+)>|([^>]*)(?:>|\Z))""", re.S)
+#: A value's quote follows its =; it ends where white space, / or > follows the next quote of its kind, however far
+#: that is. Every other quote is a character like any other: the tag ends at the first > outside a value. A scan from
+#: a quote ends at the next one, so that all scans together take time in proportion to the page.
+TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|</[^a-zA-Z][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"'=]++|=\s*"[^"]*+"(?=[\s/>])|=\s*'[^']*+'(?=[\s/>])|[="'])*+)(?:>|\Z)""", re.S)
 NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s>]+)", re.I)
 PART = re.compile(r"[a-z]+")
 
@@ -141,7 +143,7 @@ def blocks(html: str) -> list[Block]:
         at = m.end()
         if not m[2]:
             continue
-        tag, attributes = m[2].lower(), m[3] if m[3] is not None else m[4]
+        tag, attributes = m[2].lower(), m[3]
         if m[1]:
             if tag in BLOCKS:
                 flush()

@@ -5,6 +5,7 @@ import itertools
 import os
 import random
 import re
+import time
 from collections import Counter
 
 import duckdb
@@ -13,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import filter_audit, fim, suffix_dedup
+from hushframe.llm import filter_audit, fim, html_text, suffix_dedup
 from hushframe.llm.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -204,3 +205,16 @@ def test_sql(spark, name):
     got = QUERIES[name](spark, FOLDER)
     assert sorted(columns) == sorted(got.columns)
     assert sorted(map(repr, want.fetchall())) == sorted(repr(tuple(r[c] for c in columns)) for r in got.collect())
+
+
+@pytest.mark.parametrize("size", [5_000, 1_000_000])
+def test_html_values_of_any_length(size):
+    """A quoted value may be as long as it likes; pages of stray quotes still take time in proportion to their length."""
+    inside = "x" * size + " > " + "y" * size
+    for quote in "\"'":
+        page = f"<article><p>Real words stand here, and they are many.</p><div data-json={quote}{inside}{quote}><p>More real words stand here, as before.</p></div></article>"
+        assert html_text.extract(page) == "Real words stand here, and they are many.\n\nMore real words stand here, as before."
+    began = time.monotonic()
+    for stray in ("<a href=it's>x</a> ", '<a title=">x</a> ', "<i k='\"v>", '<a href="', '<p x="' + "a" * 50):
+        html_text.extract("<article><p>" + stray * (size // len(stray)))
+    assert time.monotonic() - began < 20
