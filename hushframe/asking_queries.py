@@ -10,12 +10,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .functions import spans
-from .operators import model, replace
-from .plans import engine
+from .functions import spans, text
+from .operators import metrics, model, replace
+from .plans import engine, prompts
 from .plans.config import Config, Detect, Input
 from .plans.recording import Recorder
-from .queries import _table, query
+from .queries import _found, _table, query
 
 _PARTS = (("code", 0), ("city", 6), ("name", 12))
 #: Each part has a letter, and is there once: spread to other places, it could push another one out.
@@ -112,3 +112,48 @@ def model_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
     asked = _table(spark, sf_dir, "documents").select("doc_id", F.array(F.concat("doc_id", F.lit(":a")), F.concat("doc_id", F.lit(":b"))).alias("prompt"))
     got = model.answers(asked, "prompt", InLists)
     return got.select("doc_id", F.get("answer", 0).alias("first"), F.get("answer", 1).alias("second"), "error")
+
+
+def _filled(template: str, values: dict[str, str]) -> str:
+    """SQL that concatenates a template's parts with expressions."""
+    parts, at = [], 0
+    for m in prompts.PLACE.finditer(template):
+        parts += ["'" + template[at : m.start()].replace("'", "''") + "'", f"coalesce({values[m[1]]}, '')"]
+        at = m.end()
+    return " || ".join([*parts, "'" + template[at:].replace("'", "''") + "'"])
+
+
+_LABELS_SHOWN = ["email", "made_up_label"]
+_JSON = """'{"decisions":[{"id":"name_' || doc_id % 5 || '_9"}]}'"""
+_PIECES = "case doc_id % 4 when 0 then '<amount>total</amount>' when 1 then '[[total|amount]]' when 2 then '((SENSITIVE:amount|total))' else '<<SENSITIVE:amount>>total<</SENSITIVE:amount>>' end"
+_NOTATION = "list_value('xml', 'bracket', 'paren', 'sentinel')[doc_id % 4 + 1]"
+
+
+@query(
+    "select doc_id, length(p) as n, md5(p) as digest, contains(p, 'made_up_label') and contains(p, 'sub' || piece || '_sum') as told from (select doc_id, {p} as piece, {f} as p from documents)".format(
+        p=_PIECES, f=_filled(prompts.VALIDATE, {"SUMMARY": "source", "LABELS": "'" + prompts.label_examples(_LABELS_SHOWN).replace("'", "''") + "'", "NOTATION": _NOTATION, "PIECE": _PIECES, "EXCERPT": "substr(text, 1, 300)", "SKELETON": _JSON})
+    )
+)
+def validation_prompt(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a validator is asked: the labels it may choose from, and a piece of a word marked as the row's marks are."""
+    k = F.col("doc_id") % 4
+    notation = F.when(k == 0, "xml").when(k == 1, "bracket").when(k == 2, "paren").otherwise("sentinel")
+    piece = text.entity_tag(F.lit("total"), F.lit("amount"), notation)
+    skeleton = F.to_json(F.struct(F.array(F.struct(F.concat(F.lit("name_"), F.col("doc_id") % 5, F.lit("_9")).alias("id"))).alias("decisions")))
+    filled = prompts.fill_columns(prompts.VALIDATE, {"SUMMARY": F.col("source"), "LABELS": F.lit(prompts.label_examples(_LABELS_SHOWN)), "NOTATION": notation, "PIECE": piece, "EXCERPT": F.substring("text", 1, 300), "SKELETON": skeleton})
+    rows = _table(spark, sf_dir, "documents").select("doc_id", piece.alias("piece"), filled.alias("p"))
+    return rows.select("doc_id", F.length("p").cast("long").alias("n"), F.md5("p").alias("digest"), (F.contains("p", F.lit("made_up_label")) & F.contains("p", F.concat(F.lit("sub"), "piece", F.lit("_sum")))).alias("told"))
+
+
+@query(
+    """select doc_id, case when doc_id % 7 <> 0 then (doc_id % 10) / 10.0::double end as utility_score, (doc_id % 4)::double as leakage_mass, doc_id % 3 = 0 as any_high_leaked, doc_id % 5 = 0 as needs_repair, null::boolean as needs_human_review, cast(doc_id % 4 as integer) as repair_iterations,
+  cast(case when found then 3 * (doc_id % 4 + 1) else 0 end as integer) as evaluations, cast(case when found then doc_id % 4 else 0 end as integer) as repairs from (select *, regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9-]+(?:\\.[A-Za-z0-9-]+)*\\.[A-Za-z]{2,}') as found from documents)"""
+)
+def rewrite_record_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Records of rewritten rows: scores, NaN as none, repairs, and the calls that these stand for."""
+    d = _found(spark, sf_dir, "email").withColumns({schemas.OUTPUT: F.col(schemas.TEXT), schemas.RECORD_ID: F.col("doc_id").cast("string"), schemas.MAP: replace.no_pairs()})
+    k = F.col("doc_id")
+    scored = d.withColumns({"utility_score": F.when(k % 7 != 0, (k % 10) / 10).otherwise(F.lit(float("nan"))), "leakage_mass": (k % 4).cast("double"), "any_high_leaked": k % 3 == 0, "_hf_needs_repair": k % 5 == 0, "_hf_repair_iterations": (k % 4).cast("int")})
+    got = metrics.record_metrics(scored, "rewrite", "rewrite")
+    plain = ("utility_score", "leakage_mass", "any_high_leaked", "needs_repair", "needs_human_review", "repair_iterations")
+    return got.select(F.col(schemas.RECORD_ID).cast("long").alias("doc_id"), *plain, F.col("estimated_calls_rewrite_evaluate").cast("int").alias("evaluations"), F.col("estimated_calls_rewrite_repair").cast("int").alias("repairs"))

@@ -228,9 +228,8 @@ def repair_rounds(failed_rows: DataFrame) -> DataFrame:
 
 
 def latest(df: DataFrame, keys: list[str], order: str) -> DataFrame:
-    """The last row of each key."""
-    w = Window.partitionBy(*keys).orderBy(F.desc(order))
-    return df.withColumn("_n", F.row_number().over(w)).filter("_n = 1").drop("_n")
+    """The row of each key that is last by ``order``, found in the tasks before anything is exchanged."""
+    return df.groupBy(*keys).agg(F.max_by(F.struct(*df.columns), F.struct(F.col(order).isNotNull(), order)).alias("_row")).select("_row.*")
 
 
 def summary(cases: DataFrame) -> DataFrame:

@@ -45,8 +45,12 @@ def rules_found(text: Column, labels: list[str] | None = None) -> Column:
 
 
 def rule_answer(text: Column, labels: list[str] | None = None) -> Column:
+    return answer_of(rules_found(text, labels))
+
+
+def answer_of(found: Column) -> Column:
     """What a detector answers: JSON with a list of text, label, start, end and score."""
-    items = F.transform(rules_found(text, labels), lambda e: F.struct(e["value"].alias("text"), e["label"].alias("label"), e["start_position"].alias("start"), e["end_position"].alias("end"), e["score"].alias("score")))
+    items = F.transform(found, lambda e: F.struct(e["value"].alias("text"), e["label"].alias("label"), e["start_position"].alias("start"), e["end_position"].alias("end"), e["score"].alias("score")))
     return F.to_json(F.struct(items.alias("entities")))
 
 
@@ -56,10 +60,13 @@ def detect(df: DataFrame, text: str = schemas.TEXT, labels: list[str] | None = N
     A null text has no entities. What the rules find is taken as it is, without the way
     through JSON; the raw answer is there for those who want to see it.
     """
-    answer = F.col(raw) if raw else rule_answer(F.col(text), labels)
-    named = df.withColumn(schemas.RAW, answer).withColumn("_hf_notation", tag_notation(text))
-    found = spans.parse_raw(F.col(schemas.RAW), F.col(text)) if raw else spans.resolve_overlaps(rules_found(F.col(text), labels))
-    return named.withColumn(schemas.ENTITIES, F.coalesce(found, spans.no_spans()))
+    if raw:
+        named = df.withColumn(schemas.RAW, F.col(raw)).withColumn("_hf_notation", tag_notation(text))
+        return named.withColumn(schemas.ENTITIES, F.coalesce(spans.parse_raw(F.col(schemas.RAW), F.col(text)), spans.no_spans()))
+    # the rules run once, also where both the answer and the spans are used
+    found = df.withColumn("_hf_found", rules_found(F.col(text), labels))
+    named = found.withColumn(schemas.RAW, answer_of(F.col("_hf_found"))).withColumn("_hf_notation", tag_notation(text))
+    return named.withColumn(schemas.ENTITIES, F.coalesce(spans.resolve_overlaps(F.col("_hf_found")), spans.no_spans())).drop("_hf_found")
 
 
 def validate(df: DataFrame, decisions: str, text: str = schemas.TEXT) -> DataFrame:

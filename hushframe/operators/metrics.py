@@ -22,6 +22,10 @@ SAME_LABELS = (
 EXPECTED_COLUMNS = ("ground_truth_entities", "gt_entities", "expected_entities")
 
 
+#: A rewrite's scores, as records have them.
+REWRITE_SCORES = {"utility_score": "double", "leakage_mass": "double", "weighted_leakage_rate": "double", "any_high_leaked": "boolean", "needs_human_review": "boolean", "needs_repair": "boolean"}
+
+
 def label_key(label: Column) -> Column:
     name = F.lower(strip(label))
     return F.when(name != "", F.coalesce(*(F.when(name.isin(*c), F.lit(c[0])) for c in SAME_LABELS), name))
@@ -30,16 +34,32 @@ def label_key(label: Column) -> Column:
 def label_counts(items: Column) -> Column:
     """Map of label to count, in the order of labels; empty labels don't count."""
     labels = F.filter(F.transform(items, lambda e: e["label"]), lambda x: x.isNotNull() & (x != ""))
-    return F.map_from_entries(F.transform(F.sort_array(F.array_distinct(labels)), lambda x: F.struct(x, F.size(F.filter(labels, lambda y: y == x)).cast("long"))))
+    none = F.array().cast("array<struct<label:string,n:bigint>>")
+    zero = F.struct(F.lit(None).cast("string").alias("label"), F.lit(0).cast("long").alias("n"), none.alias("out"))
+    ended = lambda acc: F.when(acc["n"] > 0, F.array_append(acc["out"], F.struct(acc["label"].alias("label"), acc["n"].alias("n")))).otherwise(acc["out"])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["label"] == x
+        return F.struct(x.alias("label"), F.when(same, acc["n"] + 1).otherwise(1).cast("long").alias("n"), F.when(same, acc["out"]).otherwise(ended(acc)).alias("out"))
+
+    return F.map_from_entries(F.aggregate(F.sort_array(labels), zero, step, ended))
 
 
 def strict_counts(found: Column, expected: Column) -> Column:
-    """tp, fp, fn over multisets of value and label."""
-    named = lambda a: F.transform(F.filter(a, lambda e: e["value"].isNotNull() & e["label"].isNotNull()), lambda e: F.struct(e["value"].alias("value"), e["label"].alias("label")))
-    p, g = named(found), named(expected)
-    times = lambda a, k: F.size(F.filter(a, lambda x: x == k))
-    tp = F.aggregate(F.array_distinct(p), F.lit(0), lambda acc, k: acc + F.least(times(p, k), times(g, k)))
-    return F.struct(tp.alias("tp"), (F.size(p) - tp).alias("fp"), (F.size(g) - tp).alias("fn"))
+    """tp, fp, fn over multisets of value and label: both lists in one order, and one walk over it."""
+    named = lambda a, side: F.transform(F.filter(a, lambda e: e["value"].isNotNull() & e["label"].isNotNull()), lambda e: F.struct(e["value"].alias("value"), e["label"].alias("label"), F.lit(side).alias("g")))
+    both = F.sort_array(F.concat(named(found, 0), named(expected, 1)))
+    nothing, none = F.lit(None).cast("string"), F.lit(0)
+    zero = F.struct(nothing.alias("value"), nothing.alias("label"), *(none.alias(k) for k in ("p", "g", "ps", "gs", "tp")))
+    matched = lambda acc: acc["tp"] + F.least(acc["p"], acc["g"])
+
+    def step(acc: Column, x: Column) -> Column:
+        same = acc["value"].eqNullSafe(x["value"]) & acc["label"].eqNullSafe(x["label"])
+        own = {"p": 1 - x["g"], "g": x["g"]}
+        runs = [(F.when(same, acc[k]).otherwise(0) + v).alias(k) for k, v in own.items()]
+        return F.struct(x["value"].alias("value"), x["label"].alias("label"), *runs, *((acc[f"{k}s"] + v).alias(f"{k}s") for k, v in own.items()), F.when(same, acc["tp"]).otherwise(matched(acc)).alias("tp"))
+
+    return F.aggregate(both, zero, step, lambda acc: F.struct(matched(acc).alias("tp"), (acc["ps"] - matched(acc)).alias("fp"), (acc["gs"] - matched(acc)).alias("fn")))
 
 
 @F.pandas_udf(schemas._struct(relaxed=schemas.L, compatible=schemas.L))
@@ -169,7 +189,7 @@ def model_calls(mode: str, strategy: str, grouped: Column, chunks: Column, repai
 
 
 def record_metrics(df: DataFrame, mode: str = "replace", strategy: str = "redact", text: str = schemas.TEXT, most: int = 100) -> DataFrame:
-    """A record for each row: lengths, buckets, entity, replacement and leak counts, estimated calls.
+    """A record for each row: lengths, buckets, entity, replacement and leak counts, a rewrite's scores and repairs, estimated calls.
 
     Where the table has a column of expected entities, also how well they were found.
     """
@@ -184,7 +204,13 @@ def record_metrics(df: DataFrame, mode: str = "replace", strategy: str = "redact
         "final_entity_count": F.size(final), "final_entity_label_counts": label_counts(final), "distinct_entity_label_count": F.size(F.array_distinct(F.transform(final, lambda e: e["label"]))),
         **replacement_metrics(pairs, final), **leaks(F.col(schemas.OUTPUT), final),
     }
-    calls = model_calls(mode, strategy, F.size(schemas.BY_VALUES) > 0, validation_chunks(F.size(schemas.ENTITIES), most))
+    have = lambda *names: next((F.col(n) for n in names if n in df.columns), None)
+    repairs = have("_hf_repair_iterations", "repair_iterations")
+    if mode == "rewrite":
+        scores = {n: have(n, f"_hf_{n}") for n in REWRITE_SCORES}
+        fields |= {n: F.lit(None).cast(kind) if scores[n] is None else F.when(~F.isnan(scores[n]), scores[n]) if kind == "double" else scores[n] for n, kind in REWRITE_SCORES.items()}
+        fields["repair_iterations"] = F.coalesce(repairs, F.lit(0)) if repairs is not None else F.lit(0)
+    calls = model_calls(mode, strategy, F.size(schemas.BY_VALUES) > 0, validation_chunks(F.size(schemas.ENTITIES), most), F.coalesce(repairs, F.lit(0)) if repairs is not None else 0)
     fields |= {f"estimated_calls_{k}": v for k, v in calls.items()}
     if expected is not None:
         fields |= {c: F.col(c) for c in QUALITY}

@@ -210,6 +210,7 @@ def repair_loop(df: DataFrame, evaluate: Callable[[DataFrame], DataFrame], repai
         failing = now.filter("needs_repair")
         if failing.isEmpty():
             break
-        again = evaluate(repair(failing.drop("utility_score", "leakage_mass", "weighted_leakage_rate", "any_high_leaked", "needs_repair")).withColumn("repair_iterations", F.lit(k)))
+        mended = repair(failing).drop("utility_score", "leakage_mass", "weighted_leakage_rate", "any_high_leaked", "needs_repair")
+        again = evaluate(mended.withColumn("repair_iterations", F.lit(k)))
         now = keep(now.filter("not coalesce(needs_repair, false)").unionByName(again), f"round-{k}")
     return now

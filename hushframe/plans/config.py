@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import dataclasses
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
 
 from ..operators.judge import JUDGES
-from ..operators.replace import Annotate, Hash, Redact, Substitute
-from ..operators.rewrite import Rewrite
+from ..operators.replace import METHODS, Annotate, Hash, Redact, Substitute, method
+from ..operators.rewrite import PrivacyGoal, Rewrite
 from ..sources.tables import InputError, is_remote
 
 #: The names of the labels that are looked for by default.
@@ -130,3 +131,26 @@ def check_aliases(roles: dict[str, str | list[str]], known: set[str], sections:
             for alias in validator_pool(roles.get(role, "default")):
                 if alias not in known:
                     raise InputError(f"role {role} names {alias!r}, which isn't a model")
+
+
+def config_of(spec: dict) -> Config:
+    """A configuration from plain values: detect, and replace (with its kind) or rewrite."""
+    detect = Detect(**spec.get("detect", {}))
+    how = method(**spec["replace"]) if "replace" in spec else None
+    if "rewrite" not in spec:
+        return Config(detect, replace=how or method("redact"))
+    told = dict(spec["rewrite"])
+    if isinstance(told.get("privacy_goal"), dict):
+        told["privacy_goal"] = PrivacyGoal(**told["privacy_goal"])
+    return Config(detect, rewrite=Rewrite(**told), replace=how)
+
+
+def spec_of(config: Config) -> dict:
+    """The inverse: plain values that ``config_of`` makes the same configuration of, and that JSON and YAML hold."""
+    out: dict = {"detect": dataclasses.asdict(config.detect)}
+    if config.replace is not None:
+        kind = next(k for k, v in METHODS.items() if type(config.replace) is v)
+        out["replace"] = {"kind": kind, **dataclasses.asdict(config.replace)}
+    if config.rewrite is not None:
+        out["rewrite"] = dataclasses.asdict(config.rewrite)
+    return out

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import logging
 import time
 from collections.abc import Iterator
@@ -18,7 +19,7 @@ from ..operators import detect, judge, metrics, model, rewrite
 from ..operators import replace as replacing
 from ..sources import tables
 from . import domains, prompts
-from .config import LABEL_NAMES, Config, Detect, Evaluate, Input
+from .config import LABEL_NAMES, Config, Detect, Evaluate, Input, config_of, spec_of
 from .ledger import Ledger
 from .models import Models, pool_of
 from .recording import Recorder
@@ -208,20 +209,20 @@ class Engine:
         raw = self.ask(frame, body, "_hf_model_raw", T.StringType(), "entity_detector", "entity-detection", provider=self.detector(d))
         found = detect.detect(raw, raw="_hf_model_raw").withColumn("_hf_candidates", spans.order_candidates(spans.validation_candidates(body, F.col(schemas.ENTITIES)), F.col(schemas.ENTITIES)))
         chunks = spans.chunks(F.col("_hf_candidates"), d.validation_max_entities_per_call)
+        labels = prompts.label_examples(d.entity_labels or LABEL_NAMES)
 
         def prompt(chunk: Column) -> Column:
             mine = F.filter(schemas.ENTITIES, lambda e: F.exists(chunk, lambda c: c["id"] == e["id"]))
             whole = spans.tagged_text(body, F.col(schemas.ENTITIES), F.col("_hf_notation"))
             near = spans.excerpt(body, mine, F.col(schemas.ENTITIES), d.validation_excerpt_window_chars, F.col("_hf_notation"))
             shown = F.when(F.size("_hf_candidates") <= d.validation_max_entities_per_call, whole).otherwise(near)
-            return prompts.fill_columns(prompts.VALIDATE, {"SUMMARY": F.lit(self.summary), "NOTATION": F.col("_hf_notation"), "EXCERPT": shown, "SKELETON": F.to_json(F.struct(spans.skeleton(chunk).alias("decisions")))})
+            return prompts.fill_columns(prompts.VALIDATE, {"SUMMARY": F.lit(self.summary), "LABELS": F.lit(labels), "PIECE": text.entity_tag(F.lit("total"), F.lit("amount"), F.col("_hf_notation")), "NOTATION": F.col("_hf_notation"), "EXCERPT": shown, "SKELETON": F.to_json(F.struct(spans.skeleton(chunk).alias("decisions")))})
 
         answers = self.ask(found, F.transform(chunks, prompt), "_hf_answers", schemas._struct(decisions=T.ArrayType(schemas.RAW_DECISION)), "entity_validator", "entity-validation", F.size("_hf_candidates") > 0)
         none = F.array().cast(T.ArrayType(T.ArrayType(schemas.RAW_DECISION)))
         lists = F.coalesce(F.transform("_hf_answers", lambda a: F.coalesce(a["decisions"], F.array().cast(T.ArrayType(schemas.RAW_DECISION)))), none)
         decided = answers.withColumn("_hf_decisions", spans.merge_decisions(lists, F.col("_hf_candidates")))
         seeds = detect.validate(decided, "_hf_decisions")
-        labels = prompts.label_examples(d.entity_labels or LABEL_NAMES)
         shown = prompts.fill_columns(prompts.AUGMENT_STRICT if d.entity_labels else prompts.AUGMENT_OPEN, {"SUMMARY": F.lit(self.summary), "LABELS": F.lit(labels), "TEXT": spans.tagged_text(body, F.col(schemas.ENTITIES), F.col("_hf_notation"))})
         more = self.ask(seeds, shown, "_hf_more", schemas._struct(entities=T.ArrayType(schemas.AUGMENTED)), "entity_augmenter", "entity-augmentation")
         merged = detect.augment(more.withColumn("_hf_suggested", F.col("_hf_more.entities")), "_hf_suggested")
@@ -282,7 +283,12 @@ class Engine:
             return rewrite.score_rows(x.drop("_hf_pa", "_hf_qa", "_hf_cmp", "_hf_quality_answers"), how.tolerance, "_hf_compare", "_hf_importance", "_hf_privacy_answers", "_hf_privacy_qa")
 
         def repair(x: DataFrame) -> DataFrame:
-            again = prompts.fill_columns(prompts.REPAIR, {"LEAKED": rewrite.leaked_items(F.col("_hf_privacy_answers"), F.col("_hf_privacy_qa")), "TEXT": F.coalesce(F.col(schemas.OUTPUT), F.lit(""))})
+            block, score = rewrite.prompt_block(F.col("_hf_disposition")), lambda c: F.format_number(F.coalesce(F.col(c), F.lit(0.0)), 2)
+            told = {
+                "GOAL": goal, "MASS": score("leakage_mass"), "MOST": F.lit(str(how.tolerance.repair_above)), "UTILITY": score("utility_score"), "WARNING": F.when(F.col("any_high_leaked"), "Something of high sensitivity leaks: that has to go first."),
+                "LEAKED": rewrite.leaked_items(F.col("_hf_privacy_answers"), F.col("_hf_privacy_qa")), "BLOCK": F.to_json(block), "PAIRS": F.to_json(rewrite.pairs_for_prompt(F.col(schemas.MAP), block)), "ORIGINAL": F.col(schemas.TEXT), "TEXT": F.coalesce(F.col(schemas.OUTPUT), F.lit("")),
+            }
+            again = prompts.fill_columns(prompts.REPAIR, told)
             x = self.written_text(x, again, "repairer", "rewrite-repair", drop=False)
             return x.drop("_hf_privacy_answers", "_hf_compare", "_hf_importance")
 
@@ -325,6 +331,24 @@ class Engine:
             open_stage = (self.recorder, self.recorder.record("stage", stage="run", status="started"), seen, began)
         return Result(user, trace, failed, config, loaded.resolved, self.ledger if kept else None, open_stage)
 
+    def export_detection(self, config: Config, data: Input, folder: str) -> str:
+        """A detection to be run elsewhere: the input's rows, numbered and with their ids, and the configuration beside them."""
+        loaded = self.load(data)
+        loaded.frame.write.mode("overwrite").parquet(f"{folder}/rows")
+        told = {**spec_of(config), "text_column": loaded.resolved, "data_summary": data.data_summary, "roles": self.roles}
+        self.spark.createDataFrame([(json.dumps(told, sort_keys=True),)], "value string").coalesce(1).write.mode("overwrite").text(f"{folder}/detection")
+        return folder
+
+    def run_exported(self, folder: str) -> DataFrame:
+        """The rows of an exported detection with what was found in them; failed rows are in ``failed``."""
+        told = json.loads("".join(r.value for r in self.spark.read.text(f"{folder}/detection").collect()))
+        self.failed, self.summary, self.ledger = [], told["data_summary"] or "", Ledger(self.spark, self.folder)
+        self.roles = {**told["roles"], **self.roles}
+        rows = self.spark.read.parquet(f"{folder}/rows")
+        if self.provider is None:
+            return self.detect(rows, config_of(told))
+        return self.cut(self.detect(self.start(rows), config_of(told)), "detection")
+
     def preview(self, config: Config, data: Input, rows: int = 10) -> Result:
         return self.run(config, data, rows)
 

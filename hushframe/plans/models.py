@@ -68,12 +68,12 @@ class Models:
         leave roles out: they take the first model. ``providers`` (in the same text or
         one of its own) lists name, endpoint and api_key.
         """
-        told = _load(models)
+        told = plain_values(models)
         listed = told.get("model_configs") or []
         for m in listed:
             if not all(m.get(k) for k in ("alias", "model", "provider")):
                 raise InputError(f"a model has alias, model and provider: {m}")
-        served = (_load(servers) if servers is not None else told).get("providers") or []
+        served = (plain_values(servers) if servers is not None else told).get("providers") or []
         roles: dict[str, str | list[str]] = {}
         known = {r for names in ROLES.values() for r in names}
         for section, chosen in (told.get("selected_models") or {}).items():
@@ -94,7 +94,8 @@ class Models:
         return HttpProvider(self, **options)
 
 
-def _load(source: str | Path) -> dict:
+def plain_values(source: str | Path) -> dict:
+    """A mapping from YAML or JSON: a path, or the text itself."""
     text = str(source)
     if isinstance(source, Path) or ("\n" not in text and text.rsplit(".", 1)[-1] in ("yaml", "yml", "json")):
         try:

@@ -54,8 +54,14 @@ VALIDATE = """Say for each entity of the text whether it is what its label says.
 <<SUMMARY>>
 Entities are marked in the "<<NOTATION>>" notation.
 - keep: the label fits the words where they stand.
-- reclass: the words are sensitive but another label fits better; write it as proposed_label.
+- reclass: the words are sensitive but another label of the list fits better; write it as proposed_label.
 - drop: in this place the words tell nothing of a person, an organisation, a place, a time, an account or a device.
+Labels to choose from, no others:
+<<LABELS>>
+Pieces of words: where a letter, a digit or an underscore stands right before or right after the marks, only part of a longer word is marked, as in "sub<<PIECE>>_sum". Drop these always, however sensitive they look.
+Ages: a number is an age only where the words say that somebody is so old. How long something takes, amounts, sizes, codes, counts and dates are none; in doubt drop.
+Public names: drop a person whom the whole world knows. Towns, firms and schools stay, for they narrow down who is meant.
+Also drop names of fields and columns, words of a format or a program, words that only repeat their label, days told from today, and words for relatives or roles that aren't a profession. Kinds of numbers that look alike (accounts, identity cards, telephones, vehicles) go by what the text calls them.
 Judge by the words around an entity, not by the value alone. Answer every id once and leave ids as they are; reason is one short sentence.
 <<EXCERPT>>
 Replace the nulls of this JSON and return nothing else: <<SKELETON>>"""
@@ -131,9 +137,17 @@ Other names, numbers or dates don't count against it if they were to be protecte
 <<ANSWERS>>
 Return JSON: {"items": [{"id": 1, "score": 0.0, "reason": "..."}]}"""
 REPAIR = """Rewrite again so that what leaked can't be told any more.
-Change only what is needed for that; keep all else word by word.
-Leaked:
+<<GOAL>>
+The last rewrite leaks <<MASS>>, which has to be below <<MOST>>; its use is <<UTILITY>> of 1. <<WARNING>>
+Leaked (questions that can still be answered):
 <<LEAKED>>
+To protect: <<BLOCK>>
+Replacements to use: <<PAIRS>>
+Look for every hint that leads to an answer, also for hints that tell it only together, and take away or blur as many as are needed for another answer to be as likely. Other words for the same hint are no cure. What leads to no answer stays word by word, and the whole reads as one text.
+The original:
+<<ORIGINAL>>
+---
+The last rewrite:
 <<TEXT>>
 Return JSON: {"rewritten_text": "..."}"""
 FINAL_JUDGE = """Judge privacy, quality and style of the second text as a rewrite of the first: high, medium or low each.

@@ -21,10 +21,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..operators.replace import method
-from ..operators.rewrite import Rewrite
 from ..sources.tables import InputError, read_table, slice_rows
-from .config import Config, Detect, Input
+from .config import Input, config_of
 from .engine import Engine
 from .recording import Recorder
 
@@ -83,14 +81,6 @@ class Suite:
         return [Case(f"{w}__{c}__r{k:03}", w, c, k) for w, c in dict.fromkeys(pairs) for k in range(self.repetitions)]
 
 
-def config_of(spec: dict) -> Config:
-    """A configuration from plain values: detect, and replace (with its kind) or rewrite."""
-    detect = Detect(**spec.get("detect", {}))
-    if "rewrite" in spec:
-        return Config(detect, rewrite=Rewrite(**spec["rewrite"]), replace=method(**spec["replace"]) if "replace" in spec else None)
-    return Config(detect, replace=method(**spec.get("replace", {"kind": "redact"})))
-
-
 def _spec(suite: Suite, case: Case) -> str:
     """What a case is made of: a finished one counts as long as this stays."""
     work = next(w for w in suite.workloads if w.id == case.workload)

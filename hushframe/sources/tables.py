@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import urllib.request
 import uuid
 from dataclasses import dataclass, replace
 from pathlib import PurePosixPath
@@ -64,16 +65,30 @@ def kept(frame: DataFrame, name: str) -> DataFrame:
     return frame.sparkSession.read.schema(frame.schema).parquet(path)
 
 
+def fetched(spark: SparkSession, url: str) -> str:
+    """What an http(s) address has, copied by the driver to the shared folder, where all executors can read it."""
+    path = f"{shared_folder(spark)}/fetched-{uuid.uuid4().hex}/{PurePosixPath(urlparse(url).path).name}"
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    try:
+        with urllib.request.urlopen(url, timeout=120) as got:
+            out = target.getFileSystem(spark._jsc.hadoopConfiguration()).create(target)
+            try:
+                while piece := got.read(1 << 20):
+                    out.write(bytearray(piece))
+            finally:
+                out.close()
+    except OSError as e:
+        raise TableError(f"can't read {url}") from e
+    return path
+
+
 def read_table(spark: SparkSession, path: str, rows: int | None = None) -> DataFrame:
     """A CSV or Parquet table, or its first ``rows`` (none for 0 or less)."""
     suffix = suffix_of(path)
     if suffix not in FORMATS:
         raise InputError(f"{suffix or path!r} isn't a format that is read; use {' or '.join(FORMATS)}")
     if "://" in path and is_remote(path):
-        spark.sparkContext.addFile(path)
-        from pyspark import SparkFiles
-
-        path = "file://" + SparkFiles.get(PurePosixPath(urlparse(path).path).name)
+        path = fetched(spark, path)
     try:
         if suffix == ".csv":
             frame = spark.read.options(header=True, inferSchema=True, multiLine=True, escape='"').csv(path)
