@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from importlib.metadata import entry_points
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from .. import schemas
 from ..functions import spans
@@ -53,6 +56,41 @@ def column_step(name: str, needs: tuple[str, ...] = (), adds: tuple[str, ...] =
     return add
 
 
+def row_step(name: str, needs: tuple[str, ...], adds: str) -> Callable[[Callable[..., dict]], Step]:
+    """Registers a function of rows, a batch of them at a time: it gets the needed columns as Arrow arrays by name, and gives the added ones likewise.
+
+    ``adds`` is a schema, as in ``"n int, words array<string>"``; what the function
+    gives is cast to it. Other columns pass by, rows keep their order, and no row can
+    be lost: a function that gives fewer or more values than rows is an error.
+    """
+
+    def add(run: Callable[..., dict]) -> Step:
+        made = T._parse_datatype_string(adds)
+
+        def table_step(df: DataFrame, **settings) -> DataFrame:
+            clash = [f.name for f in made.fields if f.name in df.columns]
+            if clash:
+                raise InputError(f"{name} would add {', '.join(clash)}, which is there")
+            names, width = [*df.columns, *made.names], len(df.columns)
+            at = {c: df.columns.index(c) for c in needs}
+            types = [f.type for f in to_arrow_schema(made)]
+
+            def batches(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+                for part in parts:
+                    got = run(**{c: part.column(i) for c, i in at.items()}, **settings)
+                    new = [pa.array(got[f], t) if not isinstance(got[f], pa.Array) else got[f].cast(t) for f, t in zip(made.names, types, strict=True)]
+                    if any(len(x) != part.num_rows for x in new):
+                        raise ValueError(f"{name} gave another number of values than rows")
+                    yield pa.RecordBatch.from_arrays([*part.columns, *new], names=[f"_{i}" for i in range(len(names))])
+
+            numbered = T.StructType([T.StructField(f"_{i}", f.dataType) for i, f in enumerate([*df.schema.fields, *made.fields])])
+            return df.toDF(*(f"_{i}" for i in range(width))).mapInArrow(batches, numbered).toDF(*names)
+
+        return column_step(name, needs, tuple(made.names))(table_step)
+
+    return add
+
+
 def step(name: str) -> Step:
     """A registered step, or one that an installed package brings."""
     if name not in STEPS:

@@ -3,14 +3,15 @@
 from __future__ import annotations
 
 import re
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import schemas
-from .functions import folding, payload, text
+from .functions import folding, payload, sql, text
 from .operators import artifacts
-from .queries import _measurements, _table, query
+from .queries import ORACLE_SQL, _measurements, _table, query
 from .run_queries import _path
 from .schemas import T
 from .sources import records, tables
@@ -98,3 +99,11 @@ def strict_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Measurements read strictly from JSON lines."""
     path = tables.write_table(_measurements(spark, sf_dir), f"{_path(spark, 'strict-records')}.jsonl")
     return records.read_strictly(spark, path, most_bytes=1 << 40, most_records=1 << 40).groupBy("record_type").agg(F.count(F.lit(1)).alias("n"), F.countDistinct("run_id").alias("runs"))
+
+
+@query(ORACLE_SQL["detect_all"])
+def spans_by_sql(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rule detector as a table function, joined laterally in SQL: what the column functions find."""
+    name, view = sql.register(spark), f"docs_{uuid.uuid4().hex}"
+    _table(spark, sf_dir, "documents").createTempView(view)
+    return spark.sql(f"select d.doc_id, s.label, s.value, s.start_position as s, s.end_position as e from {view} d, lateral {name}(d.text) s")

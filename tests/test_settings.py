@@ -11,9 +11,11 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from hushframe import cli, schemas
-from hushframe.operators import analysis, metrics
+from hushframe.functions import sql
+from hushframe.operators import analysis, detect, metrics
 from hushframe.operators.replace import Annotate, Hash, Redact, Substitute
 from hushframe.operators.rewrite import PrivacyGoal, Rewrite
+from hushframe.plans import columns
 from hushframe.plans.config import Config, Detect, Input, config_of, spec_of
 from hushframe.plans.engine import Engine
 from hushframe.sources import tables
@@ -134,3 +136,40 @@ def test_record_scores(spark):
     assert "utility_score" not in metrics.record_metrics(full, "replace").columns
     with pytest.raises(InputError):
         tables.read_table(spark, "x.txt")
+
+
+def test_steps_of_rows(spark):
+    @columns.row_step("count-words", ("text",), "n int, words array<string>")
+    def count_words(text, mark=" "):
+        words = [(x or "").split(mark) for x in text.to_pylist()]
+        return {"n": [len(w) for w in words], "words": words}
+
+    @columns.row_step("lossy", ("text",), "x int")
+    def lossy(text):
+        return {"x": [1]}
+
+    df = spark.createDataFrame([(1, "a b", {"k": 1}), (2, None, None), (3, "c-d", {})], "id int, text string, m map<string,int>")
+    try:
+        got = columns.apply_steps(df, [("count-words", {"mark": "-"})])
+        assert got.columns == ["id", "text", "m", "n", "words"]
+        assert [(r.id, r.m, r.n, r.words) for r in got.orderBy("id").collect()] == [(1, {"k": 1}, 1, ["a b"]), (2, None, 1, [""]), (3, {}, 2, ["c", "d"])]
+        with pytest.raises(InputError, match="which is there"):
+            columns.apply_steps(got, ["count-words"])
+        with pytest.raises(InputError, match="needs text"):
+            columns.apply_steps(df.drop("text"), ["count-words"])
+        with pytest.raises(Exception, match="another number of values"):
+            columns.apply_steps(df.coalesce(1), ["lossy"]).collect()
+        assert columns.apply_steps(df.limit(0), ["count-words"]).count() == 0
+    finally:
+        del columns.STEPS["count-words"], columns.STEPS["lossy"]
+
+
+def test_spans_as_a_table_function(spark):
+    texts = ["mail a@b.co, see https://x.org/a?b=c@d.e and 10.0.0.1", "plain", None, "é😀 4111111111111111 +49 30 1234 5678 q@é.w"]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    df.createOrReplaceTempView("texts_of_a_test")
+    name = sql.register(spark)
+    got = {tuple(r) for r in spark.sql(f"select d.i, s.* from texts_of_a_test d, lateral {name}(d.t) s").collect()}
+    own = detect.detect(df.withColumnRenamed("t", schemas.TEXT)).select("i", F.explode(schemas.ENTITIES).alias("e")).collect()
+    assert got == {(r.i, r.e.id, r.e.label, r.e.value, r.e.start_position, r.e.end_position, r.e.score, r.e.source) for r in own} and len(got) > 4
+    assert {r.label for r in spark.sql(f"select s.label from texts_of_a_test d, lateral {sql.register(spark, ['email'], 'mails')}(d.t) s").collect()} == {"email"}
