@@ -13,10 +13,14 @@ words with their quantised log terms, and below each context the words of the sh
 that follow it. Words that are so frequent that they would swell a shard are sharded
 by word and context instead; there are at most a few of them a shard, and their
 counts are handed round. Texts are read in chunks; a chunk sends each shard the
-distinct pairs it has, with their training counts and the documents they are in. The
-shard adds up the counts, builds its part of the trie and answers each chunk with
-sums by document. What depends on one word alone is added where its count is, since
-the logarithm of the denominator is a sum over the context's occurrences.
+distinct pairs it has, with their training counts, and keeps to itself in which
+documents they are. The shard adds up the counts, builds its part of the trie and
+answers each chunk with a code a pair and a count a word, in the order in which it was
+asked; the chunk adds them up by document. What goes round is thus in proportion to
+the texts, however many shards there are. What depends on one word alone is added
+where its count is, since the logarithm of the denominator is a sum over the context's
+occurrences. A context is sent as 40 bits of its hash: below one word, which has far
+fewer contexts than that, another one is hardly ever taken for it.
 """
 
 from __future__ import annotations
@@ -38,6 +42,8 @@ MU, CHUNK, PER_SHARD, BITS = 300.0, 1 << 21, 1 << 21, 16
 #: A word is frequent if it has more than 1/(FREQUENT x shards) of all tokens.
 FREQUENT = 4
 START, END = 1, 2
+#: Bytes of a context's hash that are sent.
+SENT = 5
 _words = Words()
 
 
@@ -232,6 +238,33 @@ def _small(x: np.ndarray) -> bytes:
     return bytes([size]) + x.astype(f"<u{size}").tobytes()
 
 
+def _bits(x: np.ndarray) -> bytes:
+    """Whole numbers in as few bits each as all need, after that number and how many there are."""
+    width = int(x.max()).bit_length() if len(x) else 0
+    flags = ((x[:, None] >> np.arange(width)) & 1).astype(np.uint8)
+    return struct.pack("<BQ", width, len(x)) + np.packbits(flags).tobytes()
+
+
+def _unbits(data: bytes) -> np.ndarray:
+    width, n = struct.unpack_from("<BQ", data)
+    flags = np.unpackbits(np.frombuffer(data, np.uint8, offset=9), count=n * width).reshape(n, width)
+    out = np.zeros(n, np.int64)
+    for k in range(width):
+        out |= flags[:, k].astype(np.int64) << k
+    return out
+
+
+def _cut(x: np.ndarray) -> bytes:
+    """The low SENT bytes of hashes."""
+    return np.ascontiguousarray(x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :SENT]).tobytes()
+
+
+def _uncut(data: bytes) -> np.ndarray:
+    out = np.zeros((len(data) // SENT, 8), np.uint8)
+    out[:, :SENT] = np.frombuffer(data, np.uint8).reshape(-1, SENT)
+    return out.view("<u8").ravel().astype(np.uint64)
+
+
 def _put(*parts: bytes) -> bytes:
     return b"".join(struct.pack("<I", len(p)) + p for p in parts)
 
@@ -329,24 +362,27 @@ def _pairs(shards: int, hot_words: np.ndarray, hot_counts: np.ndarray, mu: float
             ids = np.array([k or 0 for k in keys], np.int64)
             about = _put(null.tobytes(), ids.tobytes(), train.astype(np.uint8).tobytes(), size.astype(np.int64).tobytes(), known.astype(np.int64).tobytes(), base.tobytes(), model.tobytes())
 
+            context &= np.uint64((1 << 8 * SENT) - 1)
             spread = np.where(frequent >= 0, _mix(token * np.uint64(0x9E3779B97F4A7C15) + context), _mix(token))
             shard = (spread % np.uint64(shards)).astype(np.int32)
             order = np.lexsort((context, token, shard))
-            shard, token, context, owner = shard[order], token[order], context[order], owner[order]
+            shard, token, context, owner, own = shard[order], token[order], context[order], owner[order], frequent[order] < 0
             learned = train[owner]
-            new = np.ones(len(token), bool)
-            new[1:] = (token[1:] != token[:-1]) | (context[1:] != context[:-1])
-            first = np.flatnonzero(new)
+            other = np.ones(len(token), bool)
+            other[1:] = (token[1:] != token[:-1]) | (shard[1:] != shard[:-1])
+            new = other.copy()
+            new[1:] |= context[1:] != context[:-1]
+            first, word = np.flatnonzero(new), np.flatnonzero(other)
             many = np.diff(np.append(first, len(token)))
+            runs = np.diff(np.append(np.searchsorted(first, word), len(first)))
             taught = np.add.reduceat(learned.astype(np.int64), first)
-            cut_token, cut_pair = np.searchsorted(shard, np.arange(shards + 1)), np.searchsorted(shard[first], np.arange(shards + 1))
+            asked, cut_pair, cut_word = np.unique(shard), np.searchsorted(shard[first], np.arange(shards + 1)), np.searchsorted(shard[word], np.arange(shards + 1))
+            kept = _put(_small(many), _bits(owner), _small(runs), np.packbits(own[word]).tobytes(), asked.tobytes(), np.diff(cut_word)[asked].astype(np.int64).tobytes())
             chunk = task + number
-            to, blobs = [int(chunk % shards)], [b"\1" + about]
-            for s in np.unique(shard).tolist():
-                pair = slice(cut_pair[s], cut_pair[s + 1])
-                at = first[pair]
-                words, runs = np.unique(token[at], return_counts=True)
-                blobs.append(b"\0" + _put(words.tobytes(), _small(runs), context[at].tobytes(), _small(many[pair]), _small(taught[pair]), _small(owner[cut_token[s] : cut_token[s + 1]]), struct.pack("<q", docs)))
+            to, blobs = [int(chunk % shards)], [b"\1" + _put(about, kept)]
+            for s in asked.tolist():
+                pair, words = slice(cut_pair[s], cut_pair[s + 1]), slice(cut_word[s], cut_word[s + 1])
+                blobs.append(b"\0" + _put(token[word[words]].tobytes(), _small(runs[words]), _cut(context[first[pair]]), _small(taught[pair])))
                 to.append(s)
             for at in range(0, len(to), 64):
                 part = slice(at, at + 64)
@@ -371,8 +407,8 @@ def _shard(total: int, distinct: int, hot_words: np.ndarray, hot_counts: np.ndar
             words = [np.frombuffer(p[0], np.uint64) for _, p in parts]
             vocabulary = np.unique(np.concatenate(words))
             place = np.concatenate([np.repeat(np.searchsorted(vocabulary, w), _ints(p[1])) for w, (_, p) in zip(words, parts, strict=True)])
-            context = np.concatenate([np.frombuffer(p[2], np.uint64) for _, p in parts])
-            taught = np.concatenate([_ints(p[4]) for _, p in parts])
+            context = np.concatenate([_uncut(p[2]) for _, p in parts])
+            taught = np.concatenate([_ints(p[3]) for _, p in parts])
             at = np.minimum(np.searchsorted(hot_words, vocabulary), len(hot_words) - 1)
             frequent = hot_words[at] == vocabulary
             count = np.where(frequent, hot_counts[at], np.bincount(place, taught, len(vocabulary)).astype(np.int64))
@@ -387,40 +423,51 @@ def _shard(total: int, distinct: int, hot_words: np.ndarray, hot_counts: np.ndar
             del order, first, new, taught, seen
             trie = Trie.mapped(data)
             found = trie.look_up_all(context, place)
-            term = np.where(found >= 0, trie.upper[np.maximum(found, 0)] if trie.upper.n else 0.0, trie.lower[place])
-            own = ~frequent[place]
-            # an infrequent word's own count also gives its part as the context of what follows
-            term = term - np.where(own, np.log10(count[place] + mu), 0)
-            base = np.where(own, np.log10(count[place] + 1.0), 0)
-            known = own & (count[place] > 0)
+            there = found >= 0
+            code = trie.lower.codes[place]
+            code[there] = trie.upper.codes[found[there]]
+            scale = struct.pack("<idddd", frame["shard"].iloc[0], trie.lower.least, trie.lower.step, trie.upper.least, trie.upper.step)
+            # of a frequent word the chunk has the count itself
+            told = np.where(frequent, 0, count)
             start = 0
-            for chunk, p in parts:
-                n = len(p[2]) // 8
+            for (chunk, p), w in zip(parts, words, strict=True):
+                n = len(p[2]) // SENT
                 here = slice(start, start + n)
                 start += n
-                many, owner, docs = _ints(p[3]), _ints(p[5]), struct.unpack("<q", p[6])[0]
-                spread = lambda x: np.bincount(owner, np.repeat(x, many), docs)  # noqa: E731, B023
                 chunks.append(chunk)
-                answers.append(b"\0" + _put(_small(spread(known[here]).astype(np.int64)), spread(base[here]).tobytes(), spread(term[here]).tobytes()))
+                answers.append(b"\0" + _put(scale, _small(told[np.searchsorted(vocabulary, w)]), np.packbits(there[here]).tobytes(), code[here].tobytes()))
         return pd.DataFrame({"chunk": chunks, "blob": answers})
 
     return run
 
 
-def _collect(total: int, distinct: int):
-    """The documents of a chunk, from its own part and the shards' answers."""
+def _collect(total: int, distinct: int, mu: float):
+    """The documents of a chunk, from what it kept and the shards' answers."""
     width = np.log10(total + distinct + 1.0)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
-        about = next(_get(b[1:]) for b in frame["blob"] if b[0] == 1)
+        about, kept = (_get(x) for x in next(_get(b[1:]) for b in frame["blob"] if b[0] == 1))
         null, ids, train = np.frombuffer(about[0], np.uint8), np.frombuffer(about[1], np.int64), np.frombuffer(about[2], np.uint8)
         size, known = np.frombuffer(about[3], np.int64), np.frombuffer(about[4], np.int64).copy()
         base, model = np.frombuffer(about[5]).copy(), np.frombuffer(about[6]).copy()
-        sums = [_get(b[1:]) for b in frame["blob"] if b[0] == 0]
-        for a, b, c in sorted(sums, key=lambda s: s[1]):
-            known += _ints(a)
-            base += np.frombuffer(b)
-            model += np.frombuffer(c)
+        many, owner, runs, asked, words = _ints(kept[0]), _unbits(kept[1]), _ints(kept[2]), np.frombuffer(kept[4], np.int32), np.frombuffer(kept[5], np.int64)
+        own = np.unpackbits(np.frombuffer(kept[3], np.uint8), count=len(runs)).astype(bool)
+        word, values = 0, [(np.zeros(0, np.int64), np.zeros(0), np.zeros(0))]
+        told = {struct.unpack_from("<i", a[0])[0]: a for a in (_get(b[1:]) for b in frame["blob"] if b[0] == 0)}
+        # shard by shard, in the order in which they were asked
+        for s, n in zip(asked.tolist(), words.tolist(), strict=True):
+            scale, counts, there, codes = told.pop(s)
+            _, low, low_step, high, high_step = struct.unpack("<idddd", scale)
+            code = np.frombuffer(codes, np.uint16)
+            each = runs[word : word + n]
+            infrequent, count = np.repeat(own[word : word + n], each), np.repeat(_ints(counts), each)
+            found = np.unpackbits(np.frombuffer(there, np.uint8), count=len(code)).astype(bool)
+            # an infrequent word's own count also gives its part as the context of what follows
+            term = np.where(found, high + code * high_step, low + code * low_step) - np.where(infrequent, np.log10(count + mu), 0)
+            values.append(((infrequent & (count > 0)).astype(np.int64), np.where(infrequent, np.log10(count + 1.0), 0), term))
+            word += n
+        for sums, parts in zip((known, base, model), zip(*values, strict=True), strict=True):
+            sums += np.bincount(owner, np.repeat(np.concatenate(parts), many), len(size)).astype(sums.dtype)
         keys = pd.array(np.where(null == 1, 0, ids), "Int64")
         keys[null == 1] = pd.NA
         return pd.DataFrame({"key": keys, "learned": train.astype(bool), "n_tokens": size, "n_known": known, "base_score": base - size * width, "score": model})
@@ -452,5 +499,5 @@ def score(docs: DataFrame, learn, key: str = "doc_id", text: str = "text", mu: f
 
     pairs = picked.mapInArrow(_pairs(shards, hot_words, hot_counts, mu), "shard int, chunk long, blob binary")
     answers = pairs.groupBy("shard").applyInPandas(_shard(total, distinct, hot_words, hot_counts, mu), "chunk long, blob binary")
-    out = answers.groupBy("chunk").applyInPandas(_collect(total, distinct), "key long, learned boolean, n_tokens long, n_known long, base_score double, score double")
+    out = answers.groupBy("chunk").applyInPandas(_collect(total, distinct, mu), "key long, learned boolean, n_tokens long, n_known long, base_score double, score double")
     return out.select(F.col("key").alias(key), "learned", "n_tokens", "n_known", F.lit(total).cast("long").alias("train_tokens"), "base_score", "score")

@@ -14,7 +14,7 @@ import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from hushframe.llm import filter_audit, fim, html_text, suffix_dedup
+from hushframe.llm import filter_audit, fim, html_text, ngram_trie, suffix_dedup
 from hushframe.llm.queries import ORACLE_SQL, QUERIES
 
 FOLDER = "/root/testdata/sf0.001"
@@ -218,3 +218,24 @@ def test_html_values_of_any_length(size):
     for stray in ("<a href=it's>x</a> ", '<a title=">x</a> ', "<i k='\"v>", '<a href="', '<p x="' + "a" * 50):
         html_text.extract("<article><p>" + stray * (size // len(stray)))
     assert time.monotonic() - began < 20
+
+
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="no test tables")
+def test_scoring_sends_as_much_at_any_number_of_shards(spark):
+    docs = spark.read.parquet(f"{FOLDER}/documents.parquet").select(F.col("doc_id").alias("key"), (F.col("doc_id") % 7 != 2).alias("learned"), "text").coalesce(2)
+    sizes = {}
+    for shards in (20, 800):
+        sent = docs.mapInArrow(ngram_trie._pairs(shards, np.array([1, 2], np.uint64), np.array([200, 200]), ngram_trie.MU), "shard int, chunk long, blob binary").cache()
+        back = sent.groupBy("shard").applyInPandas(ngram_trie._shard(100_000, 5_000, np.array([1, 2], np.uint64), np.array([200, 200]), ngram_trie.MU), "chunk long, blob binary")
+        sizes[shards] = [df.agg(F.sum(F.length("blob"))).first()[0] for df in (sent, back)]
+    assert all(b < 3 * a for a, b in zip(sizes[20], sizes[800], strict=True)), sizes
+
+
+def test_bits_there_and_back():
+    rng = np.random.default_rng(5)
+    for most in (0, 1, 5, 1000, 1 << 33):
+        for n in (0, 1, 7, 1000):
+            x = rng.integers(0, most + 1, n)
+            assert (ngram_trie._unbits(ngram_trie._bits(x)) == x).all()
+    h = rng.integers(0, 1 << 63, 50).astype(np.uint64)
+    assert (ngram_trie._uncut(ngram_trie._cut(h)) == h & np.uint64((1 << 40) - 1)).all()
