@@ -241,7 +241,9 @@ def _small(x: np.ndarray) -> bytes:
 def _bits(x: np.ndarray) -> bytes:
     """Whole numbers in as few bits each as all need, after that number and how many there are."""
     width = int(x.max()).bit_length() if len(x) else 0
-    flags = ((x[:, None] >> np.arange(width)) & 1).astype(np.uint8)
+    flags = np.empty((len(x), width), np.uint8)
+    for k in range(width):
+        flags[:, k] = (x >> k) & 1
     return struct.pack("<BQ", width, len(x)) + np.packbits(flags).tobytes()
 
 
