@@ -253,8 +253,11 @@ def model_column(df: DataFrame, prompt: str, output: str, kind: T.DataType, prov
     """
     many = isinstance(df.schema[prompt].dataType, T.ArrayType)
     todo = F.col(prompt).isNotNull() if when is None else F.col(prompt).isNotNull() & F.coalesce(F.col(when), F.lit(False))
-    done = answers(df.filter(todo).withColumn("_hf_asked", F.col(prompt)), "_hf_asked", provider, pool, threads)
-    done = done.withColumn(output, parsed("answer", kind, many)).withColumnRenamed("error", f"{output}_error").drop("answer", *USE)
+    # columns by number, so that none is called like one of ours
+    numbers = [f"_{i}" for i in range(len(df.columns))]
+    asked = df.filter(todo).toDF(*numbers).withColumn("_asked", F.col(numbers[df.columns.index(prompt)]))
+    kept = [F.col(k).alias(c) for k, c in zip(numbers, df.columns, strict=True)]
+    done = answers(asked, "_asked", provider, pool, threads).select(*kept, parsed("answer", kind, many).alias(output), F.col("error").alias(f"{output}_error"))
     rest = df.filter(~todo).withColumns({f"{output}_error": F.lit(None).cast("string"), output: F.lit(None).cast(done.schema[output].dataType)})
     return done.unionByName(rest)
 

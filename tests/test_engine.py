@@ -99,6 +99,9 @@ def test_model_column_skips_rows_that_need_no_call(spark):
     df = spark.createDataFrame([(1, ["a", "b"], True), (2, ["c"], False), (3, None, True)], "id int, p array<string>, w boolean")
     out = model.model_column(df, "p", "x", schemas.T.StringType(), lambda: lambda p, alias: p + alias, ["1", "2"], when="w")
     assert {r.id: r.x for r in out.collect()} == {1: ["a1", "b2"], 2: None, 3: None}
+    clash = df.withColumnsRenamed({"id": "calls", "w": "error"})
+    out = model.model_column(clash, "p", "answer", schemas.T.StringType(), lambda: lambda p, alias: p + alias, ["1"], when="error")
+    assert out.columns == ["calls", "p", "error", "answer", "answer_error"] and {r.calls: r.answer for r in out.collect()} == {1: ["a1", "b1"], 2: None, 3: None}
 
 
 def test_names_are_kept_apart(spark):
