@@ -12,7 +12,7 @@ from pyspark.sql import types as T
 from ..functions.text import f1, ratio
 from ..sources.records import LABEL_MAPS, NUMBERS, REQUESTS, VERDICTS
 from ..sources.tables import kept
-from .medians import rolled_up
+from .medians import counted, rolled_up
 
 GROUP_KEYS = ("workload_id", "workload_category", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "entity_label_set_id", "entity_label_count", "threshold")
 USAGE_KEYS = ("workload_id", "config_id", "experimental_detection_strategy", "experimental_replacement_strategy", "dd_parser_compat", "workflow_name", "model_alias", "model_name", "model_provider_name")
@@ -149,7 +149,7 @@ def group_rows(cases: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = k
     Cases are made once, into a table; medians of large groups are selected, so that
     no task holds a group.
     """
-    cases = keep(cases, "cases")
+    cases, rows = counted(cases, "cases", keep)
     have = lambda names: [n for n in names if n in cases.columns]
     totals = ("error_stage_count", "error_ndd_workflow_count", "error_model_workflow_count")
     medians = have((
@@ -170,7 +170,7 @@ def group_rows(cases: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = k
     ]
     for name, _, bad in VERDICTS:
         aggregates += [zero(f"{name}_judged_record_count").alias(f"sum_{name}_judged_record_count"), zero(f"{name}_valid_record_count").alias(f"sum_{name}_valid_record_count"), zero(bad).alias(f"sum_{bad}")]
-    out = rolled_up(cases, GROUP_KEYS, aggregates, medians, keep)
+    out = rolled_up(cases, GROUP_KEYS, aggregates, medians, keep, rows=rows)
     c = F.col
     derived = {"failed_case_rate": ratio(c("failed_case_count"), c("case_count")), "empty_detection_rate": ratio(c("total_empty_detection_count"), c("total_record_count")), "empty_detection_with_ground_truth_rate": ratio(c("total_empty_detection_with_ground_truth_count"), c("total_ground_truth_record_count"))}
     derived |= {f"micro_{k}": v for k, v in _quality("sum_").items()}
@@ -195,9 +195,9 @@ def usage_rows(measurements: DataFrame) -> DataFrame:
 
 
 def usage_group_rows(usage: DataFrame, keep: Callable[[DataFrame, str], DataFrame] = kept) -> DataFrame:
-    usage = keep(usage, "usage")
+    usage, rows = counted(usage, "usage", keep)
     sums = [F.countDistinct("case_id").alias("case_count"), F.count(F.lit(1)).alias("workflow_count"), *(F.sum(n).alias(f"sum_{n}") for n in REQUESTS), F.sum("observed_reasoning_tokens").alias("sum_observed_reasoning_tokens")]
-    out = rolled_up(usage, USAGE_KEYS, sums, ("observed_total_requests", "observed_failed_requests", "observed_total_tokens"), keep)
+    out = rolled_up(usage, USAGE_KEYS, sums, ("observed_total_requests", "observed_failed_requests", "observed_total_tokens"), keep, rows=rows)
     return out.withColumn("observed_failed_request_rate", ratio(F.col("sum_observed_failed_requests"), F.col("sum_observed_total_requests")))
 
 

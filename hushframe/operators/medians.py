@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 #: Values of a group and column that one task may put in order, and parts that a range is divided into.
@@ -109,9 +109,18 @@ def medians(df: DataFrame, keys: Sequence[str], names: Sequence[str], keep: Call
     return rest.unionByName(large.join(told, _same(large, told, keys), "left").drop(*(f"_{k}" for k in keys)))
 
 
-def rolled_up(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], names: Sequence[str], keep: Callable[[DataFrame, str], DataFrame], most: int = MOST) -> DataFrame:
-    """``aggregates`` and ``medians`` of the groups: in one pass where no group is large."""
-    if larger(df, keys, keep, most).isEmpty():
+def counted(df: DataFrame, name: str, keep: Callable[[DataFrame, str], DataFrame]) -> tuple[DataFrame, int]:
+    """``df`` kept, and how many rows it has, counted while it is written."""
+    seen = Observation()
+    return keep(df.observe(seen, F.count(F.lit(1)).alias("n")), name), seen.get["n"]
+
+
+def rolled_up(df: DataFrame, keys: Sequence[str], aggregates: Sequence[Column], names: Sequence[str], keep: Callable[[DataFrame, str], DataFrame], most: int = MOST, rows: int | None = None) -> DataFrame:
+    """``aggregates`` and ``medians`` of the groups: in one pass where no group is large.
+
+    ``rows``, if known: no group is larger than all together.
+    """
+    if (rows is not None and rows <= most) or larger(df, keys, keep, most).isEmpty():
         return df.groupBy(*keys).agg(*aggregates, *plains(names))
     out, told = df.groupBy(*keys).agg(*aggregates), _aside(medians(df, keys, names, keep, most), keys)
     return out.join(told, _same(out, told, keys)).drop(*(f"_{k}" for k in keys))
