@@ -21,6 +21,11 @@ _PARTS = (("code", 0), ("city", 6), ("name", 12))
 #: Each part has a letter, and is there once: spread to other places, it could push another one out.
 _LETTERS = " and ".join(f"regexp_matches(substr(text, {at + 1}, 6), '[A-Za-z]') and length(text) - length(replace(lower(text), lower(substr(text, {at + 1}, 6)), '')) = 6" for _, at in _PARTS)
 _FOUND = f"length(text) >= 18 and {_LETTERS}"
+#: Once, counted without overlaps: a third part that is also one to five places further left, between edges of words if its own are word characters,
+#: is spread to there, and of two equally long spans the first stays. Values are stripped, and a shorter one pushes nothing out.
+_WORD, _BLANK = r"[\p{L}\p{N}_]", r"[\s\x0B\x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]"
+_EDGE = "not (regexp_matches(substr(text, {own}, 1), '" + _WORD.replace("{", "{{").replace("}", "}}") + "') and regexp_matches(substr(text, {next}, 1), '[A-Za-z0-9_]'))"
+_PUSHED = f"(not regexp_matches(substr(text, 13, 6), '^{_BLANK}|{_BLANK}$') and (" + " or ".join(f"(lower(substr(text, {13 - k}, 6)) = lower(substr(text, 13, 6)) and {_EDGE.format(own=13, next=12 - k)} and {_EDGE.format(own=18, next=19 - k)})" for k in range(1, 6)) + "))"
 
 
 def three_spans() -> Callable[[str, str], str]:
@@ -52,7 +57,7 @@ def _run(spark: SparkSession, sf_dir: str, recorder: Recorder | None = None) ->
     return engine.Engine(spark, three_spans, _ROLES, recorder=recorder).run(config, Input(_table(spark, sf_dir, "documents"), id_column="doc_id"))
 
 
-@query(f"select doc_id, 'thing' as label, s, s + 6 as e, substr(text, s + 1, 6) as found from documents, (values (0), (12)) as t(s) where {_FOUND} and length(text) % 5 <> 0")
+@query(f"select doc_id, 'thing' as label, s, s + 6 as e, substr(text, s + 1, 6) as found from documents, (values (0), (12)) as t(s) where {_FOUND} and length(text) % 5 <> 0 and not (s = 12 and {_PUSHED})")
 def model_detection_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three entities a row, judged one a call: the calls begin at the judges in turn, and their decisions come together."""
     each = _run(spark, sf_dir).trace.select("doc_id", schemas.TEXT, F.explode(schemas.FINAL).alias("e")).filter("e.source = 'detector'")
