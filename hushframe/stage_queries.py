@@ -9,7 +9,7 @@ from . import schemas
 from .functions import spans, text
 from .operators import analysis, detect, judge, metrics, replace, rewrite
 from .plans import columns, domains, prompts
-from .queries import _LINES, _PRF, _RESOLVED, _RW, _SPAN_SQL, _answers, _decisions, _docs, _found, _line_spans, _lines, _needle_sql, _sql_spans, _table, _truth, query
+from .queries import _LINES, _PRF, _RESOLVED, _RW, _SPAN_SQL, _above_0, _answers, _decisions, _docs, _each, _found, _line_spans, _lines, _needle_sql, _sql_spans, _table, _truth, query
 
 
 def _sql_text(x: str) -> str:
@@ -24,7 +24,7 @@ def augmented_positions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A suggested value at all its occurrences; suggestions without a value or a label count for nothing."""
     made = F.array(*(F.struct(F.lit(v).alias("value"), F.lit(k).alias("label"), F.lit("r").alias("reason")) for v, k in ((" And ", " conjunction"), ("  ", "blank"), ("the", " "))))
     found = _docs(spark, sf_dir).withColumn("all", spans.add_suggestions(F.col(schemas.TEXT), spans.no_spans(), made))
-    return found.select("doc_id", F.explode("all").alias("e")).select("doc_id", F.col("e.start_position").alias("start"))
+    return _each(found, "all", "e").select("doc_id", F.col("e.start_position").alias("start"))
 
 
 @query(f"select id, label, s from (select id, label, s, row_number() over (partition by id, s % 5 order by n) as k from ({_SPAN_SQL})) where k = 1")
@@ -77,7 +77,8 @@ def parsed_answers(spark: SparkSession, sf_dir: str) -> DataFrame:
 def steps_in_a_row(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The detector's JSON answer parsed, and candidates made of it, by named steps."""
     rows = _docs(spark, sf_dir).withColumn(schemas.RAW, detect.rule_answer(F.col(schemas.TEXT)))
-    return columns.apply_steps(rows, ["parse-raw", ("candidates", {"window": 8})]).select("doc_id", F.size("_hf_candidates").cast("long").alias("n")).filter("n > 0")
+    out = columns.apply_steps(rows, ["parse-raw", ("candidates", {"window": 8})]).select("doc_id", F.size("_hf_candidates").cast("long").alias("n"))
+    return _above_0(out, "n")
 
 
 @query(f"{_RESOLVED} select distinct doc_id, value, label from spans")
