@@ -26,3 +26,37 @@ def test_a_value_that_overlaps_itself_is_pushed_out(spark, tmp_path):
     got, want = both(spark, tmp_path, "model_detection_chunks", texts)
     assert got == want
     assert [[r[2] for r in got if r[0] == k] for k in range(len(texts))] == [[0], [0], [0], [0, 12], [0], [0, 12], [0, 12]]
+
+
+def plan(spark, folder, name):
+    """What is planned to run, without what a scan is told."""
+    both(spark, folder, name, ["x"])
+    text = QUERIES[name](spark, str(folder))._jdf.queryExecution().executedPlan().toString()
+    return "\n".join(line for line in text.split("\n") if "FileScan" not in line)
+
+
+def test_steps_try_each_rule_once(spark, tmp_path):
+    from hushframe import stage_queries  # noqa: F401
+
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))
+    told = plan(spark, tmp_path, "steps_in_a_row")
+    assert told.count("regexp_extract_all(") == 6 and told.count(" split(") + told.count("(split(") == 6
+    texts = ["", "a@b.cc 1.2.3.4", "1234567890123456 " * 3 + "https://x.yy/a@b.cc", "+49 123 456 78 and 10.0.0.1"]
+    got, want = both(spark, tmp_path, "steps_in_a_row", texts)
+    assert got == want == [(1, 2), (2, 4), (3, 2)]
+
+
+def test_occurrences_are_searched_once(spark, tmp_path):
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 20))
+    # one search for the span that is given, one for all, and one for the texts of many
+    assert plan(spark, tmp_path, "expand_occurrences").count("(?iu)") == 3
+    texts = ["and", "hand sand", "And AND and, and-and; land and\u00e9 and_ \U0001f600 and" * 40, "none", "", "and " * 5000]
+    got, want = both(spark, tmp_path, "expand_occurrences", texts)
+    assert got == want and [n for _, n in got][-1] == 5000
+
+
+def test_lines_are_exchanged_once(spark):
+    from hushframe import run_queries  # noqa: F401
+
+    told = QUERIES["server_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert told.count("Exchange ") == 1
