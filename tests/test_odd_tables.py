@@ -60,3 +60,20 @@ def test_lines_are_exchanged_once(spark):
 
     told = QUERIES["server_answers"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert told.count("Exchange ") == 1
+
+
+def test_answers_are_read_once_a_step(spark, tmp_path, monkeypatch):
+    from hushframe import asking_queries
+    from hushframe.operators import model
+
+    pq.write_table(pa.table({"doc_id": pa.array([1], pa.int64()), "text": ["Abcdefghijklmnopqr some"]}), f"{tmp_path}/documents.parquet")
+    spark.conf.set("spark.sql.maxPlanStringLength", str(1 << 22))
+    told, answers = [], model.answers
+
+    def seen(df, *a, **k):
+        told.append(df._jdf.queryExecution().optimizedPlan().toString())
+        return answers(df, *a, **k)
+
+    monkeypatch.setattr(model, "answers", seen)
+    asking_queries._run(spark, str(tmp_path))
+    assert [plan.count("$.entities") for plan in told] == [0, 1, 1]
