@@ -30,8 +30,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-#: Bytes up to which a string is a leaf of the tree; entries at which a cache starts anew.
-LEAF_BYTES, CACHE = 8, 300_000
+#: Bytes up to which a string is a leaf of the tree; entries at which the cache of matches, and those of their parts, start anew.
+LEAF_BYTES, CACHE, PARTS = 8, 300_000, 100_000
 #: Bytes up to which merging looks through all pairs each time; longer strings take a heap.
 SHORT_BYTES = 48
 
@@ -102,7 +102,7 @@ class Bpe:
 
     def merged(self, data: bytes) -> list[bytes]:
         """``merge`` with a cache of short strings; not to be changed by callers."""
-        held, limit = (self._merged, CACHE) if len(data) <= 16 else (self._windows, CACHE // 16)
+        held, limit = (self._merged, PARTS) if len(data) <= 16 else (self._windows, PARTS // 16)
         if (known := held.get(data)) is None:
             known = self.merge(data)
             if len(data) <= 256:
@@ -114,7 +114,7 @@ class Bpe:
     def stable(self, left: bytes, right: bytes) -> bool:
         key = (left, right)
         if (known := self._stable.get(key)) is None:
-            if len(self._stable) >= CACHE:
+            if len(self._stable) >= PARTS:
                 self._stable.clear()
             known = self._stable[key] = self.merged(left + right) == [left, right]
         return known

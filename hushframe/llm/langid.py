@@ -13,6 +13,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -77,7 +78,7 @@ class Space:
         codes, owner = codes[inside], owner[:-2][inside]
         if n**3 <= 1 << 22:
             seen = np.flatnonzero(np.bincount(codes, minlength=n**3))
-            where = np.zeros(n**3, np.int64)
+            where = np.zeros(n**3, np.int32)
             where[seen] = np.arange(len(seen))
             place = where[codes]
         else:
@@ -125,6 +126,17 @@ def fit(sample: DataFrame, text: str = "text", lang: str = "lang", dimensions: i
     return total
 
 
+def _pieces(batch: pa.RecordBatch, column: int, rows: int = 256, size: int = 1 << 19) -> Iterator[pa.RecordBatch]:
+    """Slices of at most so many rows, and so many bytes of text unless one row has more."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    at = 0
+    while at < batch.num_rows:
+        fit = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + size, "right"))
+        end = max(at + 1, min(at + rows, fit))
+        yield batch.slice(at, end - at)
+        at = end
+
+
 def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], text: str = "text", dimensions: int = DIMENSIONS, seed: int = SEED) -> DataFrame:
     """``keep``, lang_pred and score (the cosine, 0 where negative) for every row.
 
@@ -139,8 +151,7 @@ def predict(docs: DataFrame, profiles: dict[str, np.ndarray], keep: list[str], t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
+            for part in _pieces(batch, len(fields)):
                 rows, letters = space(dimensions, seed).bundles(part.column(len(fields)).to_pylist())
                 pred, score = [UNKNOWN] * len(rows), np.zeros(len(rows))
                 if names:

@@ -77,3 +77,12 @@ def test_answers_are_read_once_a_step(spark, tmp_path, monkeypatch):
     monkeypatch.setattr(model, "answers", seen)
     asking_queries._run(spark, str(tmp_path))
     assert [plan.count("$.entities") for plan in told] == [0, 1, 1]
+
+
+def test_language_batches_are_bounded_by_text():
+    from hushframe.llm.langid import _pieces
+
+    texts = ["x" * 300, None, "", "y" * 700, "z" * 5000, "a"] + ["b"] * 9
+    batch = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], names=["k", "t"])
+    got = [p.column(1).to_pylist() for p in _pieces(batch, 1, 4, 1000)]
+    assert [len(p) for p in got] == [4, 1, 4, 4, 2] and sum(got, []) == texts
